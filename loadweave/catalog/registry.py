@@ -52,6 +52,10 @@ READINGS = """
 """
 
 
+# Factors without a short decimal form, so that rounded means are never ties.
+SCALES = (0.7071067811865476, 0.0577350269189626, 2.23606797749979)
+
+
 def weather_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Events as city weather with the five variables."""
     e = table(spark, folder, "events")
@@ -59,17 +63,17 @@ def weather_rows(spark: SparkSession, folder: str) -> DataFrame:
         "event_id",
         F.col("ts").alias("datetime"),
         (F.col("user_id") % 32).cast("int").alias("city"),
-        (F.col("value") / 7).alias("temperature_2m"),
-        ((F.col("user_id") % 17) + F.col("value") / 13).alias("wind_speed_10m"),
-        (F.col("value") * 3 / 11).alias("direct_radiation"),
+        (F.col("value") * SCALES[0]).alias("temperature_2m"),
+        ((F.col("user_id") % 17) + F.col("value") * SCALES[1]).alias("wind_speed_10m"),
+        (F.col("value") * SCALES[2]).alias("direct_radiation"),
         (F.col("event_id") % 101).cast("double").alias("diffuse_radiation"),
         ((F.col("user_id") % 11) * 10).cast("double").alias("cloud_cover"),
     )
 
 
-WEATHER_ROWS = """
-  (SELECT event_id, ts AS datetime, CAST(user_id % 32 AS INTEGER) AS city, value / 7 AS temperature_2m,
-          (user_id % 17) + value / 13 AS wind_speed_10m, value * 3 / 11 AS direct_radiation,
+WEATHER_ROWS = f"""
+  (SELECT event_id, ts AS datetime, CAST(user_id % 32 AS INTEGER) AS city, value * CAST({SCALES[0]} AS DOUBLE) AS temperature_2m,
+          (user_id % 17) + value * CAST({SCALES[1]} AS DOUBLE) AS wind_speed_10m, value * CAST({SCALES[2]} AS DOUBLE) AS direct_radiation,
           CAST(event_id % 101 AS DOUBLE) AS diffuse_radiation,
           CAST((user_id % 11) * 10 AS DOUBLE) AS cloud_cover FROM events)
 """
