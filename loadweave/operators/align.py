@@ -11,6 +11,7 @@ from loadweave.functions.schema import numeric_columns
 from loadweave.functions.text import finite
 from loadweave.functions.timeutil import day_floor, interval, naive, step_floor
 from loadweave.operators.longseries import PIECE, carried, with_pieces
+from loadweave.session import stage
 
 
 def national_mean(df: DataFrame, time: str = "datetime", exclude: Sequence[str] = ("city",)) -> DataFrame:
@@ -114,11 +115,11 @@ def nearest_join(
     merged = wanted.withColumn("known", F.lit(None).cast("timestamp_ntz")).withColumn("wanted", F.lit(True))
     merged = merged.unionByName(known.withColumn("wanted", F.lit(False)))
     series = merged.groupBy("t").agg(F.max("known").alias("known"), F.max("wanted").alias("wanted"))
-    cut = with_pieces(series, "t", pieces)
-    floored = carried(cut, "t", {"below": F.col("known")})
-    ceiled = carried(floored, "t", {"above": F.col("known")}, following=True).drop(PIECE)
+    cut = with_pieces(stage(series, "times"), "t", pieces)
+    known = F.col("known")
+    between_known = carried(cut, "t", last={"below": known}, first={"above": known}).drop(PIECE)
     nearer = F.when(F.col("above").isNull() | (F.col("t") - F.col("below") <= F.col("above") - F.col("t")), F.col("below"))
-    match = ceiled.where("wanted").select(F.col("t").alias(target_time), nearer.otherwise(F.col("above")).alias("_match"))
+    match = between_known.where("wanted").select(F.col("t").alias(target_time), nearer.otherwise(F.col("above")).alias("_match"))
     matched = targets.join(match, target_time, "left")
     rows = lookup.withColumn("_match", F.col(lookup_time))
     return matched.join(rows, "_match", "left").select(*targets.columns, *lookup.columns)

@@ -18,10 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loadweave.functions.timeutil import epoch_seconds
+from loadweave.session import stage
 
 MAX_PIECES = 20_000
 SAMPLE_PER_PIECE = 50
 PIECE = "_piece"
+KEY = "_series_piece"
 
 
 def order_number(df: DataFrame, order: str) -> Column:
@@ -52,42 +54,57 @@ def split_points(df: DataFrame, order: str, pieces: int | None = None) -> list[f
 
 
 def with_pieces(df: DataFrame, order: str, pieces: int | None = None, cuts: list[float] | None = None) -> DataFrame:
-    """Adds the piece number of each row; pieces ascend with the order column."""
+    """Adds the piece number of each row; pieces ascend with the order column, nulls first."""
     cuts = split_points(df, order, pieces) if cuts is None else cuts
     if not cuts:
         return df.withColumn(PIECE, F.lit(0))
     binner = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_k", outputCol="_bin", handleInvalid="keep")
     binned = binner.transform(df.withColumn("_k", order_number(df, order)))
-    return binned.withColumn(PIECE, F.col("_bin").cast("int")).drop("_k", "_bin")
+    return binned.withColumn(PIECE, F.coalesce(F.col("_bin").cast("int"), F.lit(-1))).drop("_k", "_bin")
 
 
-def join_summary(df: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on keys that may be null; every key of ``df`` occurs in ``summary``."""
-    renamed = summary.withColumnsRenamed({key: f"_s_{key}" for key in keys})
-    matches = [F.col(key).eqNullSafe(F.col(f"_s_{key}")) for key in keys]
-    return df.join(renamed, matches).drop(*[f"_s_{key}" for key in keys])
+def with_key(df: DataFrame, series: Sequence[str], piece: str = PIECE) -> DataFrame:
+    """Adds the key of series and piece.
+
+    With series it is a struct: structs are equal where their fields are equal
+    or both null, so a plain join on it keeps null series, and the join, the
+    aggregation and the windows on it all share one hash partitioning.
+    """
+    return df.withColumn(KEY, F.struct(*series, F.col(piece).alias(PIECE)) if series else F.col(piece))
+
+
+def over_pieces(series: Sequence[str]):
+    """Window over the summary rows of a series in piece order."""
+    if not series:
+        return Window.orderBy(KEY)  # one row per piece
+    return Window.partitionBy(*[F.col(f"{KEY}.{name}") for name in series]).orderBy(F.col(f"{KEY}.{PIECE}"))
 
 
-def running_total(summary: DataFrame, series: Sequence[str], value: str, name: str) -> DataFrame:
+def earlier_total(sizes: DataFrame, series: Sequence[str], value: str, name: str) -> DataFrame:
     """Sum of ``value`` over the earlier pieces of the series (summary rows only)."""
-    earlier = Window.partitionBy(*series).orderBy(PIECE).rowsBetween(Window.unboundedPreceding, -1)
-    return summary.withColumn(name, F.coalesce(F.sum(value).over(earlier), F.lit(0)))
+    earlier = over_pieces(series).rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.withColumn(name, F.coalesce(F.sum(value).over(earlier), F.lit(0)))
 
 
 def number_rows(
-    df: DataFrame, order: str, series: Sequence[str] = (), name: str = "row", pieces: int | None = None
+    df: DataFrame,
+    order: str | Column,
+    series: Sequence[str] = (),
+    name: str = "row",
+    pieces: int | None = None,
+    piece: str | None = None,
 ) -> DataFrame:
     """Adds the exact 0-based position of each row in its series.
 
-    ``df`` may already carry pieces; else they are cut here.
+    ``piece`` names a column that already cuts the series in order; else pieces
+    are cut here at sampled values of ``order``.
     """
-    keys = [*series, PIECE]
-    tagged = df if PIECE in df.columns else with_pieces(df, order, pieces)
-    sizes = tagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-    offsets = running_total(sizes, series, "_size", "_offset").drop("_size")
-    within = Window.partitionBy(*keys).orderBy(order)
-    joined = join_summary(tagged, offsets, keys)
-    return joined.withColumn(name, F.row_number().over(within) - 1 + F.col("_offset")).drop("_offset", PIECE)
+    tagged = with_key(df if piece else with_pieces(df, order, pieces), series, piece or PIECE)
+    sizes = tagged.groupBy(KEY).agg(F.count(F.lit(1)).alias("_size"))
+    offsets = earlier_total(sizes, series, "_size", "_offset").drop("_size")
+    within = Window.partitionBy(KEY).orderBy(order)
+    numbered = tagged.join(offsets, KEY).withColumn(name, F.row_number().over(within) - 1 + F.col("_offset"))
+    return numbered.drop("_offset", KEY, PIECE)
 
 
 def with_halo(df: DataFrame, row: str, size: int, before: int = 0, after: int = 0) -> DataFrame:
@@ -112,37 +129,40 @@ def with_halo(df: DataFrame, row: str, size: int, before: int = 0, after: int =
 def carried(
     df: DataFrame,
     order: str,
-    values: dict[str, Column],
+    last: dict[str, Column] | None = None,
+    first: dict[str, Column] | None = None,
     series: Sequence[str] = (),
     piece: str = PIECE,
-    following: bool = False,
     inclusive: bool = True,
 ) -> DataFrame:
-    """Last value known up to each row, or the first one known from it on.
+    """Adds the last value known up to each row, and the first one known from it on.
 
-    ``values`` maps output names to expressions; nulls are passed over. Within
-    a piece this is a window; across pieces it is the last (first) value of the
+    ``last`` and ``first`` map output names to expressions; nulls are passed
+    over. Within a piece this is a window; across pieces it is the value of the
     nearest piece that has one, found on the summary table.
     """
-    keys = [*series, piece]
-    prepared = df.withColumns({f"_v_{name}": value for name, value in values.items()})
-    edge = F.min_by if following else F.max_by
-    summary = prepared.groupBy(*keys).agg(
-        *[edge(F.col(f"_v_{n}"), F.when(F.col(f"_v_{n}").isNotNull(), F.col(order))).alias(f"_e_{n}") for n in values]
-    )
-    by_piece = Window.partitionBy(*series).orderBy(piece)
-    by_row = Window.partitionBy(*keys).orderBy(order)
-    step = 0 if inclusive else 1
-    if following:
-        pick, pieces, rows = F.first, by_piece.rowsBetween(1, Window.unboundedFollowing), by_row.rowsBetween(step, Window.unboundedFollowing)
-    else:
-        pick, pieces, rows = F.last, by_piece.rowsBetween(Window.unboundedPreceding, -1), by_row.rowsBetween(Window.unboundedPreceding, -step)
-    summary = summary.select(*keys, *[pick(f"_e_{n}", ignorenulls=True).over(pieces).alias(f"_c_{n}") for n in values])
-    joined = join_summary(prepared, summary, keys)
-    filled = joined.withColumns(
-        {n: F.coalesce(pick(f"_v_{n}", ignorenulls=True).over(rows), F.col(f"_c_{n}")) for n in values}
+    last, first = last or {}, first or {}
+    values = {**last, **first}
+    prepared = with_key(df.withColumns({f"_v_{name}": value for name, value in values.items()}), series, piece)
+
+    def edge(name: str) -> Column:
+        known = F.when(F.col(f"_v_{name}").isNotNull(), F.col(order))
+        return (F.max_by if name in last else F.min_by)(F.col(f"_v_{name}"), known).alias(f"_e_{name}")
+
+    ends = prepared.groupBy(KEY).agg(*[edge(name) for name in values])
+    by_piece, by_row, step = over_pieces(series), Window.partitionBy(KEY).orderBy(order), 0 if inclusive else 1
+    earlier, later = by_piece.rowsBetween(Window.unboundedPreceding, -1), by_piece.rowsBetween(1, Window.unboundedFollowing)
+    above, below = by_row.rowsBetween(Window.unboundedPreceding, -step), by_row.rowsBetween(step, Window.unboundedFollowing)
+
+    def nearest(prefix: str, name: str, backward, forward) -> Column:
+        pick, frame = (F.last, backward) if name in last else (F.first, forward)
+        return pick(f"{prefix}{name}", ignorenulls=True).over(frame)
+
+    summary = ends.select(KEY, *[nearest("_e_", n, earlier, later).alias(f"_c_{n}") for n in values])
+    filled = prepared.join(summary, KEY).withColumns(
+        {n: F.coalesce(nearest("_v_", n, above, below), F.col(f"_c_{n}")) for n in values}
     )
-    return filled.drop(*[f"_v_{n}" for n in values], *[f"_c_{n}" for n in values])
+    return filled.drop(KEY, *[f"_v_{n}" for n in values], *[f"_c_{n}" for n in values])
 
 
 def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float | None]:
@@ -152,7 +172,7 @@ def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list
     holds a wanted rank is found on the summary and only there values are ranked.
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    tagged = with_pieces(counts, "v")
+    tagged = with_pieces(stage(counts, "value-counts"), "v")
     sizes = tagged.groupBy(PIECE).agg(F.sum("n").alias("_size"))
     table = [(r[PIECE], r["_size"]) for r in sizes.orderBy(PIECE).collect()]  # at most MAX_PIECES rows
     total = sum(size for _, size in table)

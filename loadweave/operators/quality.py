@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadweave.functions.timeutil import interval
-from loadweave.operators.longseries import PIECE, with_pieces
+from loadweave.operators.longseries import KEY, over_pieces, with_key, with_pieces
 
 
 def continuity(
@@ -20,15 +20,17 @@ def continuity(
     from the last time of one and the first of the next, on the summary table.
     """
     tagged = with_pieces(df.select(*series, time), time, pieces)
-    within = Window.partitionBy(*series, PIECE).orderBy(time)
+    tagged = with_key(tagged, series)
+    within = Window.partitionBy(KEY).orderBy(time)
     stepped = tagged.withColumn("_step", F.col(time) - F.lag(time).over(within))
     bad = F.count(F.when(F.col("_step") != expected, 1))
-    parts = stepped.groupBy(*series, PIECE).agg(
+    parts = stepped.groupBy(KEY).agg(
         F.count(F.lit(1)).alias("rows"), F.min(time).alias("min_dt"), F.max(time).alias("max_dt"), bad.alias("_bad")
     )
-    between = F.col("min_dt") - F.lag("max_dt").over(Window.partitionBy(*series).orderBy(PIECE))
+    between = F.col("min_dt") - F.lag("max_dt").over(over_pieces(series))
     linked = parts.withColumn("_joint", F.when(between != expected, 1).otherwise(0))
-    return linked.groupBy(*series).agg(
+    names = [F.col(f"{KEY}.{name}").alias(name) for name in series]
+    return linked.groupBy(*names).agg(
         F.sum("rows").alias("rows"),
         F.min("min_dt").alias("min_dt"),
         F.max("max_dt").alias("max_dt"),

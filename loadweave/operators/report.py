@@ -76,7 +76,7 @@ def assign_blocks(lines: DataFrame, lines_per_chunk: int = LINES_PER_CHUNK) -> D
             F.lit(None).cast("int").alias("hour_pos"),
         ),
     )
-    placed = carried(opened, "line", {"_block": marker}, ["file"], "_chunk", inclusive=False)
+    placed = carried(opened, "line", {"_block": marker}, series=["file"], piece="_chunk", inclusive=False)
     return placed.where(F.col("_block.opens") & ~F.col("is_date")).select(
         "file", "line", "cells", "_block.day", "_block.header", "_block.hour_pos"
     )

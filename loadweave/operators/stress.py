@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loadweave.functions.timeutil import interval
 from loadweave.operators.align import resample_mean
 from loadweave.operators.longseries import PIECE, carried, exact_quantiles, with_pieces
+from loadweave.session import stage
 
 
 def residual_load(
@@ -54,10 +55,9 @@ def fill_gaps(
     grid = resample_mean(df, time, value, minutes, keys)
     week = grid.select(*keys, (F.col(time) + interval(days=7)).alias(time), F.col(value).alias("_week"))
     known = grid.join(week, [*keys, time], "left").withColumn("_known", F.coalesce(value, "_week"))
-    cut = with_pieces(known, time, pieces)
+    cut = with_pieces(stage(known, "grid"), time, pieces)
     point = F.when(F.col("_known").isNotNull(), F.struct(F.col(time).alias("t"), F.col("_known").alias("v")))
-    before = carried(cut, time, {"_left": point}, keys)
-    both = carried(before, time, {"_right": point}, keys, following=True).drop(PIECE)
+    both = carried(cut, time, last={"_left": point}, first={"_right": point}, series=keys).drop(PIECE)
 
     def seconds(later, earlier):
         return (F.col(later) - F.col(earlier)).cast("interval second").cast("decimal(20,6)").cast("double")

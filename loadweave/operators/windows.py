@@ -26,7 +26,7 @@ def roll_rows(steps_per_hour: int = 2, hours: Sequence[int] = ROLL_HOURS) -> dic
 def previous_time(df: DataFrame, time: str, series: Sequence[str] = (), name: str = "previous", pieces: int | None = None) -> DataFrame:
     """Adds the time of the row before, per series (none: the whole table)."""
     tagged = with_pieces(df, time, pieces)
-    return carried(tagged, time, {name: F.col(time)}, series, inclusive=False).drop(PIECE)
+    return carried(tagged, time, {name: F.col(time)}, series=series, inclusive=False).drop(PIECE)
 
 
 def step_to_previous(df: DataFrame, time: str, series: Sequence[str] = (), name: str = "step", pieces: int | None = None) -> DataFrame:

@@ -7,11 +7,11 @@ width) are aggregated per file and joined back.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadweave.functions.text import strip, unquote
-from loadweave.operators.longseries import PIECE, running_total
+from loadweave.operators.longseries import number_rows
 
 # The 27 characters that windows-1252 assigns in 0x80-0x9F, the
 # code points ISO-8859-1 has there, and the five bytes windows-1252 leaves open.
@@ -34,7 +34,7 @@ def read_report_lines(spark: SparkSession, paths: str | list[str], pad: bool = F
     scanned = spark.read.text(paths).select(
         F.col("value").cast("binary").alias("bytes"),
         F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias(PIECE),
+        F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_id"),
     )
     return split_lines(number_lines(decode_lines(scanned)), pad)
@@ -47,8 +47,8 @@ def decode_lines(scanned: DataFrame) -> DataFrame:
     charsets = scanned.groupBy("file").agg(F.min(valid).alias("_utf8"), F.max(latin.rlike(CP1252_OPEN)).alias("_open"))
     western = F.when(F.col("_open"), latin).otherwise(F.translate(latin, CP1252_BYTES, CP1252_CHARS))
     text: Column = F.when(F.col("_utf8"), F.col("bytes").cast("string")).otherwise(western)
-    decoded = scanned.join(charsets, "file").select("file", PIECE, "_id", text.alias("text"))
-    parts = decoded.select("file", PIECE, "_id", F.posexplode(F.split("text", OTHER_LINE_ENDS)).alias("_part", "text"))
+    decoded = scanned.join(charsets, "file").select("file", "_block", "_id", text.alias("text"))
+    parts = decoded.select("file", "_block", "_id", F.posexplode(F.split("text", OTHER_LINE_ENDS)).alias("_part", "text"))
     return parts.where(strip("text") != "")
 
 
@@ -58,11 +58,8 @@ def number_lines(lines: DataFrame) -> DataFrame:
     The splits of the scan serve as pieces: lines are ranked within a split,
     and the line counts of earlier splits are added.
     """
-    sizes = lines.groupBy("file", PIECE).agg(F.count(F.lit(1)).alias("_size"))
-    offsets = running_total(sizes, ["file"], "_size", "_offset").drop("_size")
-    rank = F.row_number().over(Window.partitionBy("file", PIECE).orderBy("_id", "_part"))
-    joined = lines.join(offsets, ["file", PIECE])
-    return joined.select("file", (rank - 1 + F.col("_offset")).alias("line"), "text")
+    place = F.struct("_id", "_part")
+    return number_rows(lines, place, ["file"], "line", piece="_block").select("file", "line", "text")
 
 
 def split_lines(lines: DataFrame, pad: bool = False) -> DataFrame:

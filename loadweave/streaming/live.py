@@ -85,20 +85,14 @@ def follow_history(
     checkpoint: str,
     clock: Callable[[], str] = utc_now,
     files_per_batch: int | None = None,
-    then: Callable[[DataFrame, int], None] | None = None,
 ) -> StreamingQuery:
-    """Starts a stream that merges every payload file in ``landing`` and stops when none is left.
-
-    ``then`` is called after each merge with the current history and the batch id.
-    """
+    """Starts a stream that merges every payload file in ``landing`` and stops when none is left."""
     reader = spark.readStream.schema(LOAD_PAYLOAD)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         merge_batch(batch, root, batch_id, clock())
-        if then:
-            then(read_current(batch.sparkSession, root), batch_id)
 
     return (
         reader.json(landing)
