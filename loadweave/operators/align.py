@@ -116,8 +116,8 @@ def nearest_join(
     merged = merged.unionByName(known.withColumn("wanted", F.lit(False)))
     series = merged.groupBy("t").agg(F.max("known").alias("known"), F.max("wanted").alias("wanted"))
     cut = with_pieces(stage(series, "times"), "t", pieces)
-    known = F.col("known")
-    between_known = carried(cut, "t", last={"below": known}, first={"above": known}).drop(PIECE)
+    lookup_at = F.col("known")
+    between_known = carried(cut, "t", last={"below": lookup_at}, first={"above": lookup_at}).drop(PIECE)
     nearer = F.when(F.col("above").isNull() | (F.col("t") - F.col("below") <= F.col("above") - F.col("t")), F.col("below"))
     match = between_known.where("wanted").select(F.col("t").alias(target_time), nearer.otherwise(F.col("above")).alias("_match"))
     matched = targets.join(match, target_time, "left")

@@ -73,11 +73,11 @@ def with_key(df: DataFrame, series: Sequence[str], piece: str = PIECE) -> DataFr
     return df.withColumn(KEY, F.struct(*series, F.col(piece).alias(PIECE)) if series else F.col(piece))
 
 
-def over_pieces(series: Sequence[str]):
-    """Window over the summary rows of a series in piece order."""
-    if not series:
-        return Window.orderBy(KEY)  # one row per piece
-    return Window.partitionBy(*[F.col(f"{KEY}.{name}") for name in series]).orderBy(F.col(f"{KEY}.{PIECE}"))
+def over_pieces(series: Sequence[str], backwards: bool = False):
+    """Window over the summary rows of a series in piece order (one row per piece)."""
+    piece = F.col(f"{KEY}.{PIECE}") if series else F.col(KEY)
+    order = piece.desc() if backwards else piece.asc()
+    return Window.partitionBy(*[F.col(f"{KEY}.{name}") for name in series]).orderBy(order)
 
 
 def earlier_total(sizes: DataFrame, series: Sequence[str], value: str, name: str) -> DataFrame:
@@ -150,17 +150,21 @@ def carried(
         return (F.max_by if name in last else F.min_by)(F.col(f"_v_{name}"), known).alias(f"_e_{name}")
 
     ends = prepared.groupBy(KEY).agg(*[edge(name) for name in values])
-    by_piece, by_row, step = over_pieces(series), Window.partitionBy(KEY).orderBy(order), 0 if inclusive else 1
-    earlier, later = by_piece.rowsBetween(Window.unboundedPreceding, -1), by_piece.rowsBetween(1, Window.unboundedFollowing)
-    above, below = by_row.rowsBetween(Window.unboundedPreceding, -step), by_row.rowsBetween(step, Window.unboundedFollowing)
-
-    def nearest(prefix: str, name: str, backward, forward) -> Column:
-        pick, frame = (F.last, backward) if name in last else (F.first, forward)
-        return pick(f"{prefix}{name}", ignorenulls=True).over(frame)
-
-    summary = ends.select(KEY, *[nearest("_e_", n, earlier, later).alias(f"_c_{n}") for n in values])
+    # What follows is what comes before in descending order: such frames grow
+    # by one row, while a frame that shrinks is evaluated anew for each row.
+    start, step = Window.unboundedPreceding, 0 if inclusive else 1
+
+    def nearest(prefix: str, name: str, by_piece: bool) -> Column:
+        backwards = name not in last
+        if by_piece:
+            frame = over_pieces(series, backwards).rowsBetween(start, -1)
+        else:
+            frame = Window.partitionBy(KEY).orderBy(F.desc(order) if backwards else F.asc(order)).rowsBetween(start, -step)
+        return F.last(f"{prefix}{name}", ignorenulls=True).over(frame)
+
+    summary = ends.select(KEY, *[nearest("_e_", n, True).alias(f"_c_{n}") for n in values])
     filled = prepared.join(summary, KEY).withColumns(
-        {n: F.coalesce(nearest("_v_", n, above, below), F.col(f"_c_{n}")) for n in values}
+        {n: F.coalesce(nearest("_v_", n, False), F.col(f"_c_{n}")) for n in values}
     )
     return filled.drop(KEY, *[f"_v_{n}" for n in values], *[f"_c_{n}" for n in values])
 
