@@ -98,9 +98,13 @@ def clean_weather(df: DataFrame) -> DataFrame:
 
 
 def read_weather(spark: SparkSession, paths: str | list[str], same_header: bool = False) -> DataFrame:
-    """City weather files, united by column name; numeric text becomes double."""
-    frames = read_csv_by_header(spark, paths, same_header)
-    return cast_numeric_texts(clean_weather(union_all(*frames)), exclude=("city", "file"))
+    """City weather files, united by column name; numeric text becomes double.
+
+    The time column is found file by file, so files that call it ``date`` and
+    files that call it ``datetime`` can be read together.
+    """
+    frames = [clean_weather(frame) for frame in read_csv_by_header(spark, paths, same_header)]
+    return cast_numeric_texts(union_all(*frames), exclude=("city", "file"))
 
 
 def choose_wide_files(spark: SparkSession, root: str, years: str) -> dict[int, str]:
