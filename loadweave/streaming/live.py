@@ -1,14 +1,17 @@
 """Load history kept up to date from arriving payloads, and live scoring.
 
-The history is a sequence of immutable Parquet versions. A version becomes
-current when its row in the log is written, so readers never see a version in
-the making, and a batch that is run again replaces its own version only.
+The history lies in Parquet below ``data/<version>/<day>``. A batch rewrites
+only the days it touches and then writes a manifest that names the version of
+every retained day. The manifest is written last and as one file: readers
+never see a version in the making, they open no file but the current ones, and
+a batch that is run again replaces its own version only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from datetime import datetime, timezone
+from collections.abc import Callable, Sequence
+from datetime import date, datetime, timedelta, timezone
+from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
@@ -16,43 +19,64 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from loadweave.functions.timeutil import utc_from_iso
-from loadweave.operators.align import combine_first, retain
+from loadweave.functions.timeutil import naive, utc_from_iso
+from loadweave.operators.align import combine_first
 from loadweave.operators.dedup import keep_last
 from loadweave.operators.features import live_features
 from loadweave.plans.model import score
+from loadweave.session import stage
 from loadweave.sources.payloads import LOAD_PAYLOAD, flatten_load
 
 KEEP_DAYS = 10
-LOG_SCHEMA = "version bigint"
+MANIFEST_SCHEMA = "day date, version bigint, cutoff timestamp_ntz"
 HISTORY_SCHEMA = "datetime timestamp_ntz, load_mw double"
 
 
+class Manifest(NamedTuple):
+    """Version of each retained day, and the time up to which rows have left the history."""
+
+    days: dict[date, int]
+    cutoff: datetime | None
+
+
 def utc_now() -> str:
     return datetime.now(timezone.utc).replace(tzinfo=None).isoformat(sep=" ")
 
 
 def current_version(spark: SparkSession, root: str, before: int | None = None) -> int | None:
-    """Newest complete version, or the newest one below ``before``."""
+    """Newest complete version (below ``before``), from the names of the manifests alone."""
     try:
-        log = spark.read.schema(LOG_SCHEMA).parquet(f"{root}/log/*")
+        listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{root}/manifest/*").select("path")
     except AnalysisException as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
+        if missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
+    versions = listed.select(F.regexp_extract("path", r"/manifest/(\d+)/[^/]*$", 1).cast("bigint").alias("version"))
     if before is not None:
-        log = log.where(F.col("version") < before)
-    return log.agg(F.max("version")).first()[0]
+        versions = versions.where(F.col("version") < before)
+    return versions.agg(F.max("version")).first()[0]
 
 
-def read_version(spark: SparkSession, root: str, version: int | None) -> DataFrame:
+def read_manifest(spark: SparkSession, root: str, before: int | None = None) -> Manifest | None:
+    version = current_version(spark, root, before)
     if version is None:
+        return None
+    rows = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{root}/manifest/{version}").collect()  # one row per day
+    return Manifest({r["day"]: r["version"] for r in rows}, rows[0]["cutoff"] if rows else None)
+
+
+def read_days(spark: SparkSession, root: str, manifest: Manifest | None, only: Sequence[date] | None = None) -> DataFrame:
+    """Rows of the manifest's days, or of some of them."""
+    chosen = {} if manifest is None else {d: v for d, v in manifest.days.items() if only is None or d in only}
+    if not chosen:
         return spark.createDataFrame([], HISTORY_SCHEMA)
-    return spark.read.schema(HISTORY_SCHEMA).parquet(f"{root}/data/{version}")
+    rows = spark.read.schema(HISTORY_SCHEMA).parquet(*[f"{root}/data/{v}/day={d}" for d, v in chosen.items()])
+    return rows if manifest.cutoff is None else rows.where(F.col("datetime") > naive(manifest.cutoff))
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
-    return read_version(spark, root, current_version(spark, root))
+    """The current history."""
+    return read_days(spark, root, read_manifest(spark, root))
 
 
 def new_values(payloads: DataFrame) -> DataFrame:
@@ -65,17 +89,26 @@ def new_values(payloads: DataFrame) -> DataFrame:
 
 
 def merge_batch(payloads: DataFrame, root: str, version: int, as_of: str, keep_days: int = KEEP_DAYS) -> None:
-    """Merges one batch into the history as ``version``; an empty batch changes nothing."""
+    """Merges one batch into the history as ``version``; an empty batch changes nothing.
+
+    Rows up to ``as_of`` minus ``keep_days`` leave the history, except that the
+    very first batch is stored whole.
+    """
     spark = payloads.sparkSession
-    fresh = new_values(payloads)
-    if fresh.isEmpty():
+    fresh = stage(new_values(payloads), "batch")
+    days = [r["day"] for r in fresh.select(F.col("datetime").cast("date").alias("day")).distinct().collect()]
+    if not days:
         return
-    base = current_version(spark, root, before=version)
+    base = read_manifest(spark, root, before=version)
     merged = fresh
     if base is not None:
-        merged = retain(combine_first(fresh, read_version(spark, root, base), "datetime", ["load_mw"]), "datetime", as_of, keep_days)
-    merged.sortWithinPartitions("datetime").write.mode("overwrite").parquet(f"{root}/data/{version}")
-    spark.createDataFrame([(version,)], LOG_SCHEMA).write.mode("overwrite").parquet(f"{root}/log/{version}")
+        merged = combine_first(fresh, read_days(spark, root, base, days), "datetime", ["load_mw"])
+    dated = merged.withColumn("day", F.col("datetime").cast("date")).repartitionByRange("day", "datetime")
+    dated.sortWithinPartitions("day", "datetime").write.mode("overwrite").partitionBy("day").parquet(f"{root}/data/{version}")
+    cutoff = None if base is None else datetime.fromisoformat(as_of) - timedelta(days=keep_days)
+    versions = {**(base.days if base else {}), **{day: version for day in days}}
+    kept = [(day, v, cutoff) for day, v in sorted(versions.items()) if cutoff is None or day >= cutoff.date()]
+    spark.createDataFrame(kept, MANIFEST_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{root}/manifest/{version}")
 
 
 def follow_history(
@@ -124,8 +157,9 @@ def follow_predictions(
 ) -> StreamingQuery:
     """History upsert followed by one scored row per batch below ``out``.
 
-    A payload that cannot be merged leaves the stored history as it was, and
-    the row is computed from that.
+    If a batch cannot be merged, its row is computed from the stored history;
+    then the stream stops with the error, so that a restart merges the batch
+    and replaces its row instead of losing the data.
     """
     reader = spark.readStream.schema(LOAD_PAYLOAD)
     if files_per_batch:
@@ -136,10 +170,9 @@ def follow_predictions(
         session = batch.sparkSession
         try:
             merge_batch(batch, root, batch_id, now)
-        except Exception as problem:  # the stored history is still complete
-            print(f"history not updated: {problem}")
-        row = live_prediction(session, root, weather(), model, now, steps_per_hour)
-        row.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        finally:
+            row = live_prediction(session, root, weather(), model, now, steps_per_hour)
+            row.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return (
         reader.json(landing)

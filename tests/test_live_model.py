@@ -76,7 +76,8 @@ def test_merge_rules(spark, tmp_path):
 def test_version_without_log_entry_is_not_current(spark, tmp_path):
     root = str(tmp_path / "h")
     merge_batch(parsed(spark, document(930, 940)), root, 1, NOW)
-    read_current(spark, root).limit(1).write.parquet(f"{root}/data/2")
+    half = read_current(spark, root).limit(1).withColumn("day", F.col("datetime").cast("date"))
+    half.write.partitionBy("day").parquet(f"{root}/data/2")
     assert current_version(spark, root) == 1 and read_current(spark, root).count() == 10
 
 
@@ -116,22 +117,37 @@ def test_live_predictions_survive_a_bad_batch(spark, training, tmp_path, monkeyp
     load, weather, table = training
     model = train(table, params=BoostingParams(trees=2))
     land(tmp_path / "in", "0.json", document(0, 450))
-    land(tmp_path / "in", "1.json", document(450, 460))
     import loadweave.streaming.live as live
 
     merge = live.merge_batch
 
-    def fail_once(batch, root, version, as_of, keep_days=10):
-        if version == 1:
-            raise RuntimeError("unreadable")
-        merge(batch, root, version, as_of, keep_days)
+    def fail(*arguments):
+        raise RuntimeError("unreadable")
 
-    monkeypatch.setattr(live, "merge_batch", fail_once)
-    follow_predictions(
-        spark, str(tmp_path / "in"), str(tmp_path / "h"), str(tmp_path / "c"), lambda: weather, model, str(tmp_path / "out"), lambda: "2024-01-10 09:00:00", files_per_batch=1
-    ).awaitTermination()
+    def run():
+        follow_predictions(
+            spark, str(tmp_path / "in"), str(tmp_path / "h"), str(tmp_path / "c"), lambda: weather, model, str(tmp_path / "out"), lambda: "2024-01-10 09:00:00", files_per_batch=1
+        ).awaitTermination()
+
+    run()
+    land(tmp_path / "in", "1.json", document(450, 460))
+    monkeypatch.setattr(live, "merge_batch", fail)
+    with pytest.raises(Exception, match="unreadable"):
+        run()
     out = spark.read.parquet(str(tmp_path / "out" / "batch=*"))
-    assert out.count() == 2
+    assert out.count() == 2 and set(FEATURES) <= set(out.columns)
     assert {r["datetime"] for r in out.collect()} == {datetime(2024, 1, 10, 9)}
     assert read_current(spark, str(tmp_path / "h")).count() == 450
-    assert set(FEATURES) <= set(out.columns)
+    monkeypatch.setattr(live, "merge_batch", merge)
+    run()
+    assert read_current(spark, str(tmp_path / "h")).count() == 460
+    assert spark.read.parquet(str(tmp_path / "out" / "batch=*")).count() == 2
+
+
+def test_a_batch_rewrites_only_its_days(spark, tmp_path):
+    root = str(tmp_path / "h")
+    merge_batch(parsed(spark, document(0, 240)), root, 1, "2024-01-06 00:00:00")
+    merge_batch(parsed(spark, document(238, 250, 0.5)), root, 2, "2024-01-06 05:00:00")
+    assert sorted(p.name for p in (tmp_path / "h" / "data" / "2").glob("day=*")) == ["day=2024-01-05", "day=2024-01-06"]
+    got = rows(read_current(spark, root))
+    assert [v for _, v in got] == [float(i) if i < 238 else i + 0.5 for i in range(250)]
