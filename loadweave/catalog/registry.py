@@ -95,11 +95,12 @@ HOURLY_WEATHER = f"""
 def half_hour_load(spark: SparkSession, folder: str) -> DataFrame:
     """One load value per half hour that has readings."""
     r = readings(spark, folder)
-    return r.groupBy(step_floor("datetime", 30).alias("datetime")).agg(F.avg("load_mw").alias("load_mw"))
+    scaled = F.col("load_mw") * SCALES[0]
+    return r.groupBy(step_floor("datetime", 30).alias("datetime")).agg(F.avg(scaled).alias("load_mw"))
 
 
-HALF_HOUR_LOAD = """
-  (SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS datetime, avg(value) AS load_mw FROM events GROUP BY 1)
+HALF_HOUR_LOAD = f"""
+  (SELECT time_bucket(INTERVAL 30 MINUTE, ts) AS datetime, avg(value * CAST({SCALES[0]} AS DOUBLE)) AS load_mw FROM events GROUP BY 1)
 """
 
 

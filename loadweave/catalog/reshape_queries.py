@@ -69,7 +69,7 @@ def report_rows(spark, folder) -> DataFrame:
     label = F.format_string("%02d:00-%02d:00", F.col("hour"), F.col("hour") + 1)
     rows = hours.select("day", (F.col("hour") + 2).alias("number"), F.concat_ws(";", label, *cells).alias("text"))
     days = e.select(day_floor("t").alias("day")).distinct()
-    title = F.concat(F.lit("Données de réalisation du "), F.date_format("day", "dd/MM/yyyy"))
+    title = F.concat(F.lit("Données de réalisation du "), F.date_format("day", "dd/MM/yyyy"), F.lit(";" * len(TECHNOLOGIES)))
     header = F.lit(";".join(["Heures", *TECHNOLOGIES]))
     heads = days.select("day", F.explode(F.array(F.struct(F.lit(0).alias("number"), title.alias("text")), F.struct(F.lit(1).alias("number"), header.alias("text")))).alias("l"))
     return rows.unionByName(heads.select("day", "l.*"))

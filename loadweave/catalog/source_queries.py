@@ -63,7 +63,7 @@ def load_wide_scan(spark, folder):
 
 @query(
     "report_text_scan",
-    f"""SELECT 'Données de réalisation du ' || strftime(day, '%d/%m/%Y') AS cells FROM {COUNTS_SQL} GROUP BY day
+    f"""SELECT 'Données de réalisation du ' || strftime(day, '%d/%m/%Y') || '{'|' * len(TECHNOLOGIES)}' AS cells FROM {COUNTS_SQL} GROUP BY day
         UNION ALL SELECT 'Heures|{"|".join(TECHNOLOGIES)}' FROM {COUNTS_SQL} GROUP BY day
         UNION ALL SELECT lpad(CAST(hour AS VARCHAR), 2, '0') || ':00-' || lpad(CAST(hour + 1 AS VARCHAR), 2, '0') || ':00|' ||
           {" || '|' || ".join(f"CASE WHEN {k} = 0 THEN '-' ELSE CAST({k} AS VARCHAR) || ',5' END" for k in TECHNOLOGIES)} FROM {COUNTS_SQL}""",
