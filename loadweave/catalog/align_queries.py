@@ -8,6 +8,7 @@ from loadweave.catalog.registry import (
     HALF_HOUR_LOAD,
     HOURLY_WEATHER,
     READINGS,
+    SCALES,
     VARIABLES,
     WEATHER_ROWS,
     half_hour_load,
@@ -96,10 +97,10 @@ def hourly_resample_per_city(spark, folder):
 @query(
     "hourly_dataset",
     f"""SELECT datetime, round(l.load_mw, 6) AS load_mw, {_ROUNDED} FROM
-        {_grid_sql("(SELECT datetime, load_mw FROM " + READINGS + ")")} l JOIN {HOURLY_WEATHER} w USING (datetime)""",
+        {_grid_sql(f"(SELECT datetime, load_mw * CAST({SCALES[0]} AS DOUBLE) AS load_mw FROM {READINGS})")} l JOIN {HOURLY_WEATHER} w USING (datetime)""",
 )
 def hourly_dataset(spark, folder):
-    r = readings(spark, folder).select("datetime", "load_mw", "event_id")
+    r = readings(spark, folder).select("datetime", (F.col("load_mw") * SCALES[0]).alias("load_mw"), "event_id")
     load = keep_first(r, ["datetime"], ["event_id"]).select("datetime", "load_mw")
     return rounded(hourly(load, hourly_weather(spark, folder)), "load_mw", *VARIABLES)
 

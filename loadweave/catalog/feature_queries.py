@@ -23,7 +23,7 @@ from loadweave.operators.features import (
     live_features,
     ordered_features,
 )
-from loadweave.plans.model import BoostingParams, score, train
+from loadweave.plans.model import BoostingParams, score, score_requests, train
 from loadweave.session import scratch_path, stage
 
 _NAMES = "[" + ", ".join(f"'{f}'" for f in FEATURES) + "]"
@@ -147,6 +147,15 @@ def score_stored_model(spark, folder):
     return score(PipelineModel.load(path), rows).select("datetime", "prediction")
 
 
+@query("score_requests")
+def score_requests_query(spark, folder):
+    """Feature maps of all events, most of them incomplete or with a name too many."""
+    load = stage(half_hour_load(spark, folder), "load")
+    model = train(stage(feature_table(load, hourly_weather(spark, folder)), "features"), params=BoostingParams(trees=3))
+    result = score_requests(model, _feature_maps(spark, folder))
+    return result.select("event_id", "prediction", F.size("missing_features").alias("missing"), F.size("extra_features").alias("extra"))
+
+
 @query("train_and_score_generation")
 def train_and_score_generation(spark, folder):
     """Wind and solar models with their own feature lists."""

@@ -16,25 +16,27 @@ NO_LABEL = "Unnamed"
 
 # Every character the Unicode standard counts as white space, plus the four
 # information separators.
-BLANK = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+BLANKS = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
 def strip(text: Column | str) -> Column:
     """Trim white space of any kind from both ends."""
-    return F.regexp_replace(col(text), f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(col(text), F.lit(BLANKS))
 
 
 def unquote(text: Column | str) -> Column:
-    return strip(F.regexp_replace(strip(text), '^"+|"+$', ""))
+    return strip(F.btrim(strip(text), F.lit('"')))
 
 
 def unique_labels(labels: Column | str) -> Column:
     """Header labels made unique: blank becomes a placeholder, repeats are numbered."""
 
     def named(label: Column) -> Column:
-        text = strip(label)
-        return F.when((text == "") | (F.lower(text) == "nan"), F.lit(NO_LABEL)).otherwise(text)
+        return F.when((label == "") | (F.lower(label) == "nan"), F.lit(NO_LABEL)).otherwise(label)
 
     def numbered(all_labels: Column):
         def one(label: Column, position: Column) -> Column:
@@ -43,8 +45,9 @@ def unique_labels(labels: Column | str) -> Column:
 
         return one
 
-    names = F.transform(col(labels), named)
-    return F.transform(names, numbered(names))
+    # The outer transform binds the cleaned labels to a variable, so they are computed once.
+    names = F.transform(F.transform(col(labels), strip), named)
+    return F.get(F.transform(F.array(names), lambda every: F.transform(every, numbered(every))), F.lit(0))
 
 
 def is_date_line(text: Column | str) -> Column:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loadweave.functions.calendar import calendar_columns, cyclic_columns
@@ -39,6 +40,15 @@ class MissingFeatures(ValueError):
         self.missing, self.extra = missing, extra
 
 
+def read_contract(spark: SparkSession, path: str) -> tuple[list[str], str | None]:
+    """Feature names in binding order and the target from a JSON metadata file."""
+    document = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    features = document.get("features") if isinstance(document, dict) else None
+    if not isinstance(features, list) or not features or not all(isinstance(f, str) for f in features):
+        raise ValueError(f"no feature list in {path}")
+    return features, document.get("target")
+
+
 def check_contract(df: DataFrame, features: Sequence[str] = FEATURES) -> list[str]:
     """Raises if a feature is missing; returns the columns outside the contract."""
     missing = [name for name in features if name not in df.columns]

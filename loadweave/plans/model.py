@@ -11,7 +11,7 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loadweave.operators.features import FEATURES, TARGET, check_contract
+from loadweave.operators.features import FEATURES, TARGET, check_contract, contract_of_maps
 from loadweave.session import scratch_root
 
 
@@ -61,3 +61,21 @@ def score(model: PipelineModel, df: DataFrame, features: Sequence[str] = FEATURE
     """Adds ``prediction``; rows with a missing feature value are left out."""
     check_contract(df, features)
     return model.transform(df).drop("_features")
+
+
+def score_requests(
+    model: PipelineModel, requests: DataFrame, values: str = "features", features: Sequence[str] = FEATURES
+) -> DataFrame:
+    """Scores name-to-value maps, one request per row, none left out.
+
+    Adds prediction, missing_features and extra_features; a request that lacks a
+    feature, or has no value for it, keeps a null prediction.
+    """
+    given = requests.withColumn(values, F.map_filter(values, lambda _, v: v.isNotNull()))
+    checked = contract_of_maps(given, values, features)
+    kept = checked.columns
+    complete = checked.where(F.size("missing_features") == 0)
+    wide = complete.select(*kept, *[F.col(values)[name].cast("double").alias(name) for name in features])
+    scored = model.transform(wide).select(*kept, "prediction")
+    failed = checked.where(F.size("missing_features") > 0).withColumn("prediction", F.lit(None).cast("double"))
+    return scored.unionByName(failed)

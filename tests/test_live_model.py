@@ -5,8 +5,8 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from loadweave.operators.features import FEATURES, TARGET, WEATHER, feature_table
-from loadweave.plans.model import BoostingParams, boosted_trees, score, train
+from loadweave.operators.features import FEATURES, TARGET, WEATHER, feature_table, read_contract
+from loadweave.plans.model import BoostingParams, boosted_trees, score, score_requests, train
 from loadweave.sources.payloads import LOAD_PAYLOAD
 from loadweave.streaming.live import current_version, follow_history, follow_predictions, merge_batch, read_current
 
@@ -107,6 +107,25 @@ def test_training_and_scoring(spark, training, tmp_path):
         score(model, table.drop("hour"))
 
 
+def test_requests_are_all_answered(spark, training):
+    _, _, table = training
+    model = train(table, params=BoostingParams(trees=2))
+    good = {name: 1.0 for name in FEATURES}
+    maps = [(1, good), (2, {**good, "pressure": 5.0}), (3, {k: v for k, v in good.items() if k != "hour"}), (4, {**good, "month": None})]
+    got = {r["i"]: r for r in score_requests(model, spark.createDataFrame(maps, "i int, features map<string,double>")).collect()}
+    assert got[1]["prediction"] == got[2]["prediction"] is not None and got[2]["extra_features"] == ["pressure"]
+    assert got[3]["prediction"] is None and got[3]["missing_features"] == ["hour"]
+    assert got[4]["prediction"] is None and got[4]["missing_features"] == ["month"]
+
+
+def test_contract_file(spark, tmp_path):
+    (tmp_path / "m.json").write_text(json.dumps({"target": "load", "features": ["b", "a"]}, indent=1))
+    assert read_contract(spark, str(tmp_path / "m.json")) == (["b", "a"], "load")
+    (tmp_path / "n.json").write_text("{}")
+    with pytest.raises(ValueError):
+        read_contract(spark, str(tmp_path / "n.json"))
+
+
 def test_declared_parameters():
     trees = boosted_trees().getStages()[1]
     assert (trees.getMaxIter(), trees.getMaxDepth(), trees.getStepSize(), trees.getSubsamplingRate(), trees.getSeed()) == (500, 6, 0.05, 0.8, 42)
