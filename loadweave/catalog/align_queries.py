@@ -25,7 +25,6 @@ from loadweave.operators.backtest import daily_metrics, walk_forward_folds, walk
 from loadweave.operators.dedup import keep_first
 from loadweave.operators.stress import fill_gaps, flag_extreme, residual_load
 from loadweave.plans.datasets import hourly_dataset as hourly
-from loadweave.session import stage
 
 _ROUNDED = ", ".join(f"round({v}, 6) AS {v}" for v in VARIABLES)
 
@@ -62,25 +61,24 @@ def weighted_national_mean(spark, folder):
     return rounded(A.weighted_mean(w, weights, ["temperature_2m", "cloud_cover"]), "temperature_2m", "cloud_cover")
 
 
-_SPARSE = f"(SELECT datetime, load_mw FROM {READINGS} WHERE city = 7 AND technology = 'view')"
+def _grid_sql(source: str, keys: tuple[str, ...] = ()) -> str:
+    """Hourly means of each series with its empty hours."""
+    listed = "".join(f"{k}, " for k in keys)
+    return f"""(SELECT {"".join(f"s.{k}, " for k in keys)}s.datetime, g.load_mw FROM
+      (SELECT {listed}unnest(generate_series(date_trunc('hour', min(datetime)), date_trunc('hour', max(datetime)), INTERVAL 1 HOUR)) AS datetime
+       FROM {source} {"GROUP BY " + ", ".join(keys) if keys else ""}) s
+      LEFT JOIN (SELECT {listed}date_trunc('hour', datetime) AS datetime, avg(load_mw) AS load_mw FROM {source} GROUP BY ALL) g
+        ON {"".join(f"s.{k} = g.{k} AND " for k in keys)}s.datetime = g.datetime)"""
 
 
-def _sparse(spark, folder):
-    r = readings(spark, folder)
-    return r.where((F.col("city") == 7) & (F.col("technology") == "view")).select("datetime", "load_mw")
-
-
-def _grid_sql(source: str) -> str:
-    return f"""(SELECT s.datetime, g.load_mw FROM
-      (SELECT unnest(generate_series((SELECT date_trunc('hour', min(datetime)) FROM {source}),
-                                     (SELECT date_trunc('hour', max(datetime)) FROM {source}), INTERVAL 1 HOUR)) AS datetime) s
-      LEFT JOIN (SELECT date_trunc('hour', datetime) AS datetime, avg(load_mw) AS load_mw FROM {source} GROUP BY 1) g
-        ON s.datetime = g.datetime)"""
+# Readings per city and technology are sparse: most of their hours are empty.
+SPARSE_KEYS = ("city", "technology")
+_SCALED = f"(SELECT city, technology, datetime, load_mw * CAST({SCALES[0]} AS DOUBLE) AS load_mw FROM {READINGS})"
 
 
-@query("hourly_resample_gaps", f"SELECT datetime, round(load_mw, 6) AS load_mw FROM {_grid_sql(_SPARSE)}")
+@query("hourly_resample_gaps", f"SELECT city, technology, datetime, round(load_mw, 6) AS load_mw FROM {_grid_sql(READINGS, SPARSE_KEYS)}")
 def hourly_resample_gaps(spark, folder):
-    return rounded(A.resample_mean(_sparse(spark, folder)), "load_mw")
+    return rounded(A.resample_mean(readings(spark, folder), keys=SPARSE_KEYS), "load_mw")
 
 
 @query(
@@ -97,7 +95,7 @@ def hourly_resample_per_city(spark, folder):
 @query(
     "hourly_dataset",
     f"""SELECT datetime, round(l.load_mw, 6) AS load_mw, {_ROUNDED} FROM
-        {_grid_sql(f"(SELECT datetime, load_mw * CAST({SCALES[0]} AS DOUBLE) AS load_mw FROM {READINGS})")} l JOIN {HOURLY_WEATHER} w USING (datetime)""",
+        {_grid_sql(_SCALED)} l JOIN {HOURLY_WEATHER} w USING (datetime)""",
 )
 def hourly_dataset(spark, folder):
     r = readings(spark, folder).select("datetime", (F.col("load_mw") * SCALES[0]).alias("load_mw"), "event_id")
@@ -105,9 +103,13 @@ def hourly_dataset(spark, folder):
     return rounded(hourly(load, hourly_weather(spark, folder)), "load_mw", *VARIABLES)
 
 
-@query("hourly_join", f"SELECT datetime, round(load_mw, 6) AS load_mw, round(cloud_cover, 6) AS cloud_cover FROM {_grid_sql(_SPARSE)} JOIN {HOURLY_WEATHER} USING (datetime)")
+@query(
+    "hourly_join",
+    f"""SELECT city, technology, datetime, round(load_mw, 6) AS load_mw, round(cloud_cover, 6) AS cloud_cover
+        FROM {_grid_sql(READINGS, SPARSE_KEYS)} JOIN {HOURLY_WEATHER} USING (datetime)""",
+)
 def hourly_join(spark, folder):
-    load = A.resample_mean(_sparse(spark, folder))
+    load = A.resample_mean(readings(spark, folder), keys=SPARSE_KEYS)
     joined = A.align_hourly(load, hourly_weather(spark, folder).select("datetime", "cloud_cover"))
     return rounded(joined, "load_mw", "cloud_cover")
 
@@ -126,7 +128,7 @@ def combine_first(spark, folder):
     return A.combine_first(new, old, "datetime", ["load_mw"])
 
 
-_LOOKUP = f"(SELECT datetime AS known, max(load_mw) AS known_mw FROM {_SPARSE} GROUP BY 1)"
+_LOOKUP = f"(SELECT datetime AS known, max(load_mw) AS known_mw FROM {READINGS} WHERE technology = 'view' GROUP BY 1)"
 
 
 @query(
@@ -142,7 +144,8 @@ _LOOKUP = f"(SELECT datetime AS known, max(load_mw) AS known_mw FROM {_SPARSE} G
 )
 def nearest_lookup(spark, folder):
     targets = readings(spark, folder).select("event_id", "datetime")
-    lookup = _sparse(spark, folder).groupBy(F.col("datetime").alias("known")).agg(F.max("load_mw").alias("known_mw"))
+    views = readings(spark, folder).where(F.col("technology") == "view")
+    lookup = views.groupBy(F.col("datetime").alias("known")).agg(F.max("load_mw").alias("known_mw"))
     return A.nearest_join(targets, lookup, "datetime", "known")
 
 
@@ -255,16 +258,19 @@ def extreme_demand(spark, folder):
 
 @query(
     "gap_fill",
-    f"""WITH g AS (SELECT * FROM {_grid_sql(_SPARSE)}),
-        k AS (SELECT g.datetime, g.load_mw, w.load_mw AS week, coalesce(g.load_mw, w.load_mw) AS known
-              FROM g LEFT JOIN g w ON w.datetime = g.datetime - INTERVAL 7 DAY),
-        p AS (SELECT *, max(CASE WHEN known IS NOT NULL THEN datetime END) OVER (ORDER BY datetime ROWS UNBOUNDED PRECEDING) AS t0,
-                     min(CASE WHEN known IS NOT NULL THEN datetime END) OVER (ORDER BY datetime ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS t1 FROM k)
-        SELECT p.datetime,
+    f"""WITH g AS (SELECT * FROM {_grid_sql(_SCALED, SPARSE_KEYS)}),
+        k AS (SELECT g.city, g.technology, g.datetime, g.load_mw, w.load_mw AS week, coalesce(g.load_mw, w.load_mw) AS known
+              FROM g LEFT JOIN g w ON w.city = g.city AND w.technology = g.technology AND w.datetime = g.datetime - INTERVAL 7 DAY),
+        p AS (SELECT *, max(CASE WHEN known IS NOT NULL THEN datetime END) OVER (w ROWS UNBOUNDED PRECEDING) AS t0,
+                     min(CASE WHEN known IS NOT NULL THEN datetime END) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS t1
+              FROM k WINDOW w AS (PARTITION BY city, technology ORDER BY datetime))
+        SELECT p.city, p.technology, p.datetime,
                round(coalesce(p.known, a.known + (b.known - a.known) * (epoch(p.datetime) - epoch(t0)) / nullif(epoch(t1) - epoch(t0), 0)), 6) AS load_mw,
                CASE WHEN p.load_mw IS NOT NULL THEN 'observed' WHEN p.week IS NOT NULL THEN 'last_week'
                     WHEN t0 IS NOT NULL AND t1 IS NOT NULL THEN 'interpolated' END AS filled_from
-        FROM p LEFT JOIN k a ON a.datetime = t0 LEFT JOIN k b ON b.datetime = t1""",
+        FROM p LEFT JOIN k a ON a.city = p.city AND a.technology = p.technology AND a.datetime = t0
+               LEFT JOIN k b ON b.city = p.city AND b.technology = p.technology AND b.datetime = t1""",
 )
 def gap_fill(spark, folder):
-    return rounded(fill_gaps(stage(_sparse(spark, folder), "sparse")), "load_mw")
+    r = readings(spark, folder).select(*SPARSE_KEYS, "datetime", (F.col("load_mw") * SCALES[0]).alias("load_mw"))
+    return rounded(fill_gaps(r, keys=SPARSE_KEYS), "load_mw")

@@ -224,3 +224,23 @@ def continuity_per_city(spark, folder):
 def coverage_summary(spark, folder):
     r = readings(spark, folder).withColumn("datetime", hour_floor("datetime"))
     return coverage(r, "datetime", "city", "technology").withColumn("kinds", F.array_join("kinds", ","))
+
+
+@query(
+    "history_on_time_grid",
+    f"""WITH g AS (SELECT city, technology, date_trunc('hour', datetime) AS datetime, avg(load_mw) AS load_mw FROM {READINGS} GROUP BY 1, 2, 3),
+        s AS (SELECT city, technology, unnest(generate_series(min(datetime), max(datetime), INTERVAL 1 HOUR)) AS datetime FROM g GROUP BY 1, 2),
+        f AS (SELECT s.*, g.load_mw FROM s LEFT JOIN g USING (city, technology, datetime))
+        SELECT city, technology, datetime, round(lag(load_mw, 24) OVER w, 6) AS load_lag_24h,
+               CASE WHEN count(load_mw) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 3
+                    THEN round(avg(load_mw) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) END AS load_roll_mean_3h
+        FROM f WINDOW w AS (PARTITION BY city, technology ORDER BY datetime)""",
+)
+def history_on_time_grid(spark, folder):
+    """Lags and means as durations: sparse series on an hourly grid."""
+    r = readings(spark, folder).select("city", "technology", "datetime", "load_mw")
+    names = ["load_lag_24h", "load_roll_mean_3h"]
+    timed = history_features(
+        r, "datetime", "load_mw", ["city", "technology"], {names[0]: 24}, {"3h": 3}, mode="time", step_minutes=60
+    )
+    return rounded(timed.select("city", "technology", "datetime", *names), *names)

@@ -26,26 +26,30 @@ from loadweave.operators.features import (
 from loadweave.plans.model import BoostingParams, score, score_requests, train
 from loadweave.session import scratch_path, stage
 
-_NAMES = "[" + ", ".join(f"'{f}'" for f in FEATURES) + "]"
+# Which event types lack which features in the feature maps below.
+_LACKING = {"error": ("cloud_cover",), "signup": ("hour", "month", "load_lag_1h")}
 
 
 def _feature_maps(spark, folder):
-    """Per event a map that misses one feature in each group and sometimes has one too many."""
+    """Per event a map of feature values; two event types lack some, one has a name too many."""
+    kind = F.col("event_type")
+
+    def present(name: str):
+        return ~kind.isin([k for k, names in _LACKING.items() if name in names])
+
     entries = [
-        F.struct(F.lit(name).alias("k"), (F.col("value") + i).alias("v"), ((F.col("event_id") + i) % 23 != 0).alias("present"))
-        for i, name in enumerate(FEATURES)
+        F.struct(F.lit(name).alias("k"), (F.col("value") + i).alias("v"), present(name).alias("present")) for i, name in enumerate(FEATURES)
     ]
-    entries.append(F.struct(F.lit("pressure").alias("k"), F.col("value").alias("v"), (F.col("event_id") % 5 == 0).alias("present")))
+    entries.append(F.struct(F.lit("pressure").alias("k"), F.col("value").alias("v"), (kind == "view").alias("present")))
     kept = F.filter(F.array(*entries), lambda e: e["present"])
     pairs = F.transform(kept, lambda e: F.struct(e["k"].alias("key"), e["v"].alias("value")))
     return table(spark, folder, "events").select("event_id", F.map_from_entries(pairs).alias("features"))
 
 
-@query(
-    "contract_check",
-    f"""SELECT event_id, array_to_string([x FOR x, i IN {_NAMES} IF (event_id + i - 1) % 23 = 0], ',') AS missing,
-               CASE WHEN event_id % 5 = 0 THEN 'pressure' ELSE '' END AS extra FROM events""",
-)
+_MISSING_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{','.join(n for n in FEATURES if n in names)}'" for k, names in _LACKING.items()) + " ELSE '' END"
+
+
+@query("contract_check", f"SELECT event_id, {_MISSING_SQL} AS missing, CASE WHEN event_type = 'view' THEN 'pressure' ELSE '' END AS extra FROM events")
 def contract_check(spark, folder):
     checked = contract_of_maps(_feature_maps(spark, folder), "features")
     return checked.select("event_id", F.array_join("missing_features", ",").alias("missing"), F.array_join("extra_features", ",").alias("extra"))
@@ -53,7 +57,8 @@ def contract_check(spark, folder):
 
 @query(
     "contract_projection",
-    f"""SELECT event_id, {", ".join(f"round(value + {i}, 6) AS {name}" for i, name in enumerate(FEATURES))} FROM events WHERE event_id % 23 = 1""",
+    f"""SELECT event_id, {", ".join(f"round(value + {i}, 6) AS {name}" for i, name in enumerate(FEATURES))} FROM events
+        WHERE event_type NOT IN ('error', 'signup')""",
 )
 def contract_projection(spark, folder):
     return rounded(features_from_maps(_feature_maps(spark, folder), "features", keep=["event_id"]), *FEATURES)

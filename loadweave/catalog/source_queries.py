@@ -56,7 +56,7 @@ def load_wide_scan(spark, folder):
     wide = rounded(wide_days(spark, folder, shift=0), *hours)
     name = files.WIDE_STEM.format(year=2024)
     wide.write.option("header", True).option("sep", ";").csv(f"{root}/2024/{name}.csv")
-    wide.limit(1).write.parquet(f"{root}/2024/another.parquet")
+    wide.select("day").write.parquet(f"{root}/2024/another.parquet")
     read = files.read_load_wide(spark, root, "2023-2024")[2024]
     return read.select("day", *[F.col(h).cast("double").alias(h) for h in hours])
 

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loadweave.functions.text import finite
+from loadweave.operators.align import resample_mean
 from loadweave.operators.longseries import PIECE, carried, number_rows, with_halo, with_pieces
+from loadweave.session import stage
 
 # Look-backs in hours of the feature contract.
 LAG_HOURS = (1, 24, 48, 168)
@@ -48,17 +50,24 @@ def history_features(
     plan: str = "chunks",
     chunk: int | None = None,
     pieces: int | None = None,
+    mode: str = "rows",
+    step_minutes: int = 30,
 ) -> DataFrame:
     """Row lags, rolling means and rolling sample deviations of a series.
 
     ``lags`` maps names to row counts, ``rolls`` maps suffixes to window sizes.
     A rolling value is null until its window is full and while a null is in it.
+    ``mode="rows"`` counts rows as they are, gaps or not; ``mode="time"`` first
+    brings each series to a regular grid of ``step_minutes`` (columns: series,
+    time, value), so that a number of rows is a duration.
     ``plan="chunks"`` works on numbered chunks with a halo and suits series of
     any length; ``plan="series"`` gives each series to one task and suits many
     short ones.
     """
     lags = lag_rows() if lags is None else lags
     rolls = roll_rows() if rolls is None else rolls
+    if mode == "time":
+        df = stage(resample_mean(df, time, value, step_minutes, series), "grid")
     clean = df.withColumn(value, finite(value))
     if plan == "series":
         w = Window.partitionBy(*series).orderBy(time)
