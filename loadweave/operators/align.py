@@ -73,7 +73,7 @@ def resample_mean(
         .agg(F.avg(value).alias(value))
     )
     bounds = steps.groupBy(*keys).agg(F.min(time).alias("_low"), F.max(time).alias("_high"))
-    return time_spine(bounds, "_low", "_high", time, minutes, keys).join(steps, [*keys, time], "left")
+    return merge_on([*keys, time], steps, time_spine(bounds, "_low", "_high", time, minutes, keys)).select(*keys, time, value)
 
 
 def align_hourly(load: DataFrame, weather: DataFrame, time: str = "datetime") -> DataFrame:
@@ -81,17 +81,21 @@ def align_hourly(load: DataFrame, weather: DataFrame, time: str = "datetime") ->
     return load.join(weather, time, "inner")
 
 
-def combine_first(new: DataFrame, old: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
-    """Union of keys; the new value where it is known, else the old one.
+def merge_on(keys: Sequence[str], *frames: DataFrame) -> DataFrame:
+    """Full outer join of tables that are unique on the keys and share no other column.
 
-    Keys are unique on each side, so this is a full outer join; as a union with
-    one aggregation it takes one shuffle and combines before it.
+    As a union with one aggregation it takes one shuffle, null keys are equal,
+    and no key can be hot.
     """
-    both = new.select(key, *values, F.lit(True).alias("_new")).unionByName(old.select(key, *values, F.lit(False).alias("_new")))
-    picked = [
-        F.coalesce(F.max(F.when(F.col("_new"), F.col(v))), F.max(F.when(~F.col("_new"), F.col(v)))).alias(v) for v in values
-    ]
-    return both.groupBy(key).agg(*picked)
+    rows = union_all(*frames)
+    return rows.groupBy(*keys).agg(*[F.max(c).alias(c) for c in rows.columns if c not in keys])
+
+
+def combine_first(new: DataFrame, old: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
+    """Union of keys; the new value where it is known, else the old one. Keys are unique on each side."""
+    newer = new.select(key, *[F.col(v).alias(f"_new_{v}") for v in values])
+    older = old.select(key, *[F.col(v).alias(f"_old_{v}") for v in values])
+    return merge_on([key], newer, older).select(key, *[F.coalesce(f"_new_{v}", f"_old_{v}").alias(v) for v in values])
 
 
 def nearest_row(df: DataFrame, time: str, moment) -> DataFrame:

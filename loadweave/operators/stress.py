@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loadweave.functions.timeutil import interval
-from loadweave.operators.align import resample_mean
+from loadweave.operators.align import merge_on, resample_mean
 from loadweave.operators.longseries import PIECE, carried, exact_quantiles, with_pieces
 from loadweave.session import stage
 
@@ -52,9 +52,10 @@ def fill_gaps(
     it is interpolated linearly between the nearest known values. Holes at the
     ends stay null.
     """
-    grid = resample_mean(df, time, value, minutes, keys)
+    grid = stage(resample_mean(df, time, value, minutes, keys), "hours")
     week = grid.select(*keys, (F.col(time) + interval(days=7)).alias(time), F.col(value).alias("_week"))
-    known = grid.join(week, [*keys, time], "left").withColumn("_known", F.coalesce(value, "_week"))
+    merged = merge_on([*keys, time], grid.withColumn("_grid", F.lit(True)), week).where("_grid")
+    known = merged.drop("_grid").withColumn("_known", F.coalesce(value, "_week"))
     cut = with_pieces(stage(known, "grid"), time, pieces)
     point = F.when(F.col("_known").isNotNull(), F.struct(F.col(time).alias("t"), F.col("_known").alias("v")))
     both = carried(cut, time, last={"_left": point}, first={"_right": point}, series=keys).drop(PIECE)

@@ -160,6 +160,17 @@ def test_residual_and_extremes(spark):
     assert flag_extreme(load.where("load_mw > 99")).count() == 0
 
 
+def test_null_series_are_series_too(spark):
+    rows = [(None, at(0), 1.0), (None, at(2), 3.0), ("a", at(0), 10.0), ("a", at(1), 20.0)]
+    df = spark.createDataFrame(rows, "k string, datetime timestamp_ntz, load_mw double")
+    grid = A.resample_mean(df, keys=["k"]).collect()
+    assert {(r["k"], r["datetime"]): r["load_mw"] for r in grid} == {
+        (None, at(0)): 1.0, (None, at(1)): None, (None, at(2)): 3.0, ("a", at(0)): 10.0, ("a", at(1)): 20.0,
+    }
+    filled = {(r["k"], r["datetime"]): r["load_mw"] for r in fill_gaps(df, keys=["k"], pieces=2).collect()}
+    assert filled[(None, at(1))] == 2.0 and len(filled) == 5
+
+
 def test_gap_fill(spark):
     known = {0: 1.0, 1: 2.0, 4: 8.0, 168: 100.0, 169: None, 175: 50.0, 180: 60.0}
     df = spark.createDataFrame([(at(h), v) for h, v in known.items()], "datetime timestamp_ntz, load_mw double")
