@@ -10,6 +10,7 @@ which the deduplication operators ensure.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loadweave.functions.text import finite
 from loadweave.functions.timeutil import epoch_seconds
 from loadweave.session import stage
 
@@ -50,7 +52,7 @@ def split_points(df: DataFrame, order: str, pieces: int | None = None) -> list[f
         keys = keys.sample(fraction=share, seed=42)
     shares = [i / pieces for i in range(1, pieces)]
     cuts = keys.agg(F.percentile_approx("k", shares, 10 * pieces)).first()[0]
-    return sorted(set(cuts or []))
+    return sorted({cut for cut in cuts or [] if math.isfinite(cut)})
 
 
 def with_pieces(df: DataFrame, order: str, pieces: int | None = None, cuts: list[float] | None = None) -> DataFrame:
@@ -175,7 +177,8 @@ def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list
     Values are counted first, so a frequent value is one row. The piece that
     holds a wanted rank is found on the summary and only there values are ranked.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    values = df.select(finite(column).alias("v")).where(F.col("v").isNotNull())
+    counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     tagged = with_pieces(stage(counts, "value-counts"), "v")
     sizes = tagged.groupBy(PIECE).agg(F.sum("n").alias("_size"))
     table = [(r[PIECE], r["_size"]) for r in sizes.orderBy(PIECE).collect()]  # at most MAX_PIECES rows

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loadweave.functions.text import finite
 from loadweave.functions.timeutil import interval
 from loadweave.operators.align import merge_on, resample_mean
 from loadweave.operators.longseries import PIECE, carried, exact_quantiles, with_pieces
@@ -40,7 +41,7 @@ def flag_extreme(df: DataFrame, value: str = "load_mw", share: float = 0.95, nam
     threshold = exact_quantiles(df, value, [share])[0]
     if threshold is None:
         return df.withColumn(name, F.lit(None).cast("int"))
-    return df.withColumn(name, F.when(F.col(value).isNotNull(), (F.col(value) >= threshold).cast("int")))
+    return df.withColumn(name, (finite(value) >= threshold).cast("int"))
 
 
 def fill_gaps(

@@ -61,7 +61,8 @@ def history_features(
     brings each series to a regular grid of ``step_minutes`` (columns: series,
     time, value), so that a number of rows is a duration.
     ``plan="chunks"`` works on numbered chunks with a halo and suits series of
-    any length; ``plan="series"`` gives each series to one task and suits many
+    any length; it reads its input several times, so pass a stored table (see
+    ``session.stage``). ``plan="series"`` gives each series to one task and suits many
     short ones.
     """
     lags = lag_rows() if lags is None else lags

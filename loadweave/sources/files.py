@@ -56,7 +56,7 @@ def read_csv_by_header(spark: SparkSession, paths: str | list[str], same_header:
     """
     if same_header:
         names = spark.read.option("header", False).csv(paths).first()
-        groups = [(list(names), paths)]
+        groups = [([name.lstrip("\ufeff") for name in names], paths)]
     else:
         groups = header_groups(spark, paths)
     frames = []

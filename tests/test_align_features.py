@@ -158,6 +158,8 @@ def test_residual_and_extremes(spark):
     assert got == [(3.0, 0.0, 7.0), (None, None, None), (0.0, 1.0, None)]
     assert [r["is_extreme"] for r in flag_extreme(load, share=0.5).orderBy("datetime").collect()] == [0, 1, None]
     assert flag_extreme(load.where("load_mw > 99")).count() == 0
+    odd = spark.createDataFrame([(1.0,), (3.0,), (float("nan"),), (float("inf"),)], "load_mw double")
+    assert [r["is_extreme"] for r in flag_extreme(odd, share=0.5).collect()] == [0, 1, None, None]
 
 
 def test_null_series_are_series_too(spark):
