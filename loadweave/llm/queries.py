@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadweave.llm import bpe, packing
+from loadweave.llm import bpe, langid, linequality, packing
 from loadweave.session import stage
 
 
@@ -41,6 +41,16 @@ def fold(key: str, folds: int) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % folds
 
 
+@query("op1_language_id")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from four fifths of the labelled ones."""
+    docs = table(spark, folder, "documents")
+    held_out = fold("doc_id", 5) == 0
+    model = langid.learn(docs.filter(~held_out))
+    # Only the text reaches the prediction; the key passes through.
+    return langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model).drop("text")
+
+
 @query("op2_best_fit_packing")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     """All documents in sequences of at most 1024 tokens: one row per piece."""
@@ -64,3 +74,17 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 
     listed = decoded.mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded binary")
     return listed.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def quality_model(spark: SparkSession, folder: str) -> linequality.Model:
+    """Learned from three quarters of the labelled documents."""
+    labels = table(spark, folder, "labels").filter(fold("doc_id", 4) != 2).select("doc_id", "quality")
+    return linequality.learn(labels.join(table(spark, folder, "documents").select("doc_id", "text"), "doc_id"))
+
+
+@query("op8_quality")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """The quality of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "text")
+    scored = linequality.score(docs, quality_model(spark, folder)).drop("text")
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
