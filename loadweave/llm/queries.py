@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadweave.llm import bpe, langid, linequality, packing
+from loadweave.llm import bpe, dartminhash, langid, linequality, packing
 from loadweave.session import stage
 
 
@@ -59,6 +59,12 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(stored, 1024)
 
 
+@query("op3_near_duplicates")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """The class of near copies of every document: five words, similarity 0.8."""
+    return dartminhash.near_duplicates(table(spark, folder, "documents"), 0.8)
+
+
 @query("op6_byte_bpe")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded and decoded again: counts and digests."""
