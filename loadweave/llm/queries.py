@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadweave.llm import bpe, dartminhash, langid, linequality, packing
+from loadweave.llm import bpe, dartminhash, langid, linededup, linequality, packing
 from loadweave.session import stage
 
 
@@ -82,6 +82,13 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return listed.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op7_repeated_lines")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the lines that occurred before, and where those were."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return linededup.remove_repeated_lines(docs).withColumn("n_removed", F.size("removed"))
+
+
 def quality_model(spark: SparkSession, folder: str) -> linequality.Model:
     """Learned from three quarters of the labelled documents."""
     labels = table(spark, folder, "labels").filter(fold("doc_id", 4) != 2).select("doc_id", "quality")
