@@ -28,7 +28,7 @@ from loadweave.llm.columns import row_slices, text_bytes
 from loadweave.llm.pieces import PieceIds
 from loadweave.session import stage
 
-SLICE_BYTES = 24 << 20
+SLICE_BYTES = 8 << 20
 ROWS_PER_BUCKET = 100_000
 
 
