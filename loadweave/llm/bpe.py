@@ -24,7 +24,7 @@ from loadweave.llm.pieces import PieceIds
 
 NONE = np.int32(1 << 30)
 END = 0xFFFF
-SLICE_BYTES = 24 << 20
+SLICE_BYTES = 4 << 20
 
 
 class RankQueue:
@@ -201,30 +201,35 @@ def binary_rows(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values, "<u4"))]).cast(pa.binary())
 
 
+def encode_column(texts: pa.Array, vocabulary: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row, ids one after the other, ids per row) of stretches of a string column; null as empty."""
+    table = piece_ids(vocabulary)
+    data, offsets = text_bytes(texts)
+    for i, j in row_slices(offsets, SLICE_BYTES):
+        low = offsets[i]
+        yield i, j, *table.rows(data[low : offsets[j]], offsets[i : j + 1] - low)
+
+
 def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """Adds a binary column of little-endian unsigned 32-bit ids, and n_tokens.
 
     vocabulary: a rank file. Null text counts as empty and gives no id. Other
-    columns pass through; columns that have the new names are replaced.
+    columns pass through, repeated rows too; columns that have the new names
+    are replaced.
     """
-    kept = docs.drop(ids, "n_tokens") if text not in (ids, "n_tokens") else docs
+    kept = docs.drop(*{ids, "n_tokens"} - {text})
     schema = T.StructType([*kept.schema.fields, T.StructField(ids, T.BinaryType()), T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = piece_ids(vocabulary)
         for batch in batches:
-            data, offsets = text_bytes(batch.column(batch.schema.get_field_index(text)))
-            for i, j in row_slices(offsets, SLICE_BYTES):
-                low = offsets[i]
-                values, counts = table.rows(data[low : offsets[j]], offsets[i : j + 1] - low)
-                part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns, binary_rows(values, counts), pa.array(counts, pa.int64())], names=[*batch.schema.names, ids, "n_tokens"])
+            for i, j, values, counts in encode_column(batch.column(batch.schema.get_field_index(text)), vocabulary):
+                yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, binary_rows(values, counts), pa.array(counts, pa.int64())], names=[*batch.schema.names, ids, "n_tokens"])
 
     return kept.mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds the bytes that the ids stand for; null ids give null."""
+    """Adds the bytes that the ids stand for; null ids give null. A column of that name is replaced."""
     kept = encoded.drop(out)
     schema = T.StructType([*kept.schema.fields, T.StructField(out, T.BinaryType())])
 
@@ -232,8 +237,7 @@ def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids", out: str = "de
         vocab = merges(vocabulary)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
-            texts = [None if v is None else vocab.decode(np.frombuffer(v, "<u4")) for v in column.to_pylist()]
+            texts = [None if v.as_py() is None else vocab.decode(np.frombuffer(v.as_py(), "<u4")) for v in column]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, out])
 
     return kept.mapInArrow(run, schema)
-

@@ -67,19 +67,25 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op6_byte_bpe")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document encoded and decoded again: counts and digests."""
+    """Every document encoded and decoded again: counts and digests.
+
+    Encoding, decoding and digests share one Python worker per task; ids and
+    decoded bytes never leave it.
+    """
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    encoded = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"), path).drop("text")
-    decoded = bpe.decode(encoded, path)
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decimal = [str(i).encode() for i in range(1 << 16)]
+        vocabulary = bpe.merges(path)
+        decimal = [str(i) for i in range(vocabulary.size)]
         for batch in batches:
-            ids = [",".encode().join([decimal[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_tokens"), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), batch.column("decoded")], names=["doc_id", "n_tokens", "ids_sha256", "decoded"])
-
-    listed = decoded.mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded binary")
-    return listed.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+            for i, j, values, counts in bpe.encode_column(batch.column(1), path):
+                listed, decoded = [], []
+                for ids in np.split(values, np.cumsum(counts)[:-1]):
+                    listed.append(hashlib.sha256(",".join([decimal[x] for x in ids.tolist()]).encode()).hexdigest())
+                    decoded.append(hashlib.sha256(vocabulary.decode(ids)).hexdigest())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(counts, pa.int64()), pa.array(listed, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return table(spark, folder, "documents").select("doc_id", "text").mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 @query("op7_repeated_lines")
