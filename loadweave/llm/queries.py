@@ -12,8 +12,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadweave.llm import bpe, dartminhash, langid, linededup, linequality, packing
-from loadweave.session import stage
+from loadweave.llm import bpe, dartminhash, editsketch, langid, linededup, linequality, packing, pqindex, sharding, urltree
+from loadweave.session import scratch_path, stage
 
 
 class Query(NamedTuple):
@@ -65,6 +65,18 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return dartminhash.near_duplicates(table(spark, folder, "documents"), 0.8)
 
 
+@query("op4_near_vectors")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.9."""
+    return pqindex.near_vectors(table(spark, folder, "embeddings"), 0.9)
+
+
+@query("op5_edit_fingerprints")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return editsketch.compare_with_next(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query("op6_byte_bpe")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded and decoded again: counts and digests.
@@ -107,3 +119,39 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "text")
     scored = linequality.score(docs, quality_model(spark, folder)).drop("text")
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+# The rules that the query is to apply.
+URL_RULES = [
+    urltree.Rule("allow", "com", "/"),
+    urltree.Rule("block", "example.com", "/en/"),
+    urltree.Rule("allow", "www.example.com", "/en/"),
+    urltree.Rule("block", "net", "/es/"),
+    urltree.Rule("block", "net", "/fr/"),
+]
+
+
+@query("op9_url_filter")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """The verdict on every page's url."""
+    judged = urltree.judge(table(spark, folder, "pages").select("page_id", "url"), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
+@query("op10_shards")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents, written to 16 shards in shuffled order and read back."""
+    shuffled = sharding.external_shuffle(table(spark, folder, "documents").select("doc_id", "text"), 16)
+    path = scratch_path(spark, "shards")
+    sharding.write_shards(shuffled, path)
+    shards = spark.read.schema(shuffled.schema).parquet(path)
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    return shards.select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
