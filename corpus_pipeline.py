@@ -29,8 +29,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents of good or doubtful quality, judged line by line."""
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id"), F.col("quality").alias("_quality"))
-    model = linequality.learn(docs.select("doc_id", "text").join(labels, "doc_id"), label="_quality")
+    model = linequality.learn(table(spark, sf_dir, "labels"), docs)
     return linequality.score(docs, model, out="_score").filter(F.col("_score") >= LEAST_QUALITY).select(docs.columns)
 
 

@@ -58,20 +58,25 @@ def powers(n: int) -> np.ndarray:
     return _POWERS[0]
 
 
-def hash_runs(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Position-independent 64-bit hashes of values[start:end]; runs do not overlap and go upwards.
+def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Position-independent 64-bit hashes of the bytes data[start:end] of each run; they also depend on the length.
 
-    values: unsigned 64-bit integers. The result also depends on the length.
+    Runs go upwards and do not overlap. They are taken some at a time, so the
+    working memory does not grow with them unless one run is very long.
     """
-    if not len(starts):
-        return np.zeros(0, np.uint64)
     lengths = ends - starts
-    inside = np.arange(len(values), dtype=np.int64)
-    inside -= np.repeat(np.concatenate([[0], starts]), np.diff(np.concatenate([[0], starts, [len(values)]])))
-    longest = int(lengths.max())
-    within = inside < np.repeat(np.concatenate([[0], lengths]), np.diff(np.concatenate([[0], starts, [len(values)]])))
-    terms = np.where(within, values * powers(longest + 1)[np.minimum(inside, longest)], U(0))
-    return mix(np.add.reduceat(terms, starts) + lengths.astype(np.uint64) * U(0xA24BAED4963EE407))
+    result = np.zeros(len(starts), np.uint64)
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    for i, j in row_slices(bounds, 1 << 18):
+        size = lengths[i:j]
+        begin = bounds[i:j] - bounds[i]
+        inside = np.arange(int(bounds[j] - bounds[i])) - np.repeat(begin, size)
+        if not len(inside):
+            continue
+        terms = BYTE_VALUES[data[np.repeat(starts[i:j], size) + inside]] * powers(int(size.max()))[inside]
+        some = size > 0
+        result[i:j][some] = np.add.reduceat(terms, begin[some])
+    return mix(result + lengths.astype(np.uint64) * U(0xA24BAED4963EE407))
 
 
 class HashIndex:

@@ -23,11 +23,10 @@ from loadweave.llm.components import components
 from loadweave.llm.shingles import elements, similarities
 from loadweave.session import stage
 
-SLICE_BYTES, SLICE_ROWS = 2 << 20, 500
+SLICE_BYTES, SLICE_ROWS = 1 << 20, 200
 #: Cumulative probabilities of 0, 1, ... darts in a cell of area one.
 POISSON = np.exp(-1.0) * np.cumsum(1 / np.cumprod([1.0, *range(1, 12)]))
 BANDS, ROWS = 32, 6
-#: Pairs of one bucket key that share a task are checked in batches of this many rows.
 CHECK_ROWS = 400
 
 

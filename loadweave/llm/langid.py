@@ -28,7 +28,7 @@ from loadweave.llm.pieces import LETTER, char_classes
 
 UNKNOWN = "und"
 BLOCK = 4096  # symbols; a phrase ends with its block
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 SYMBOLS = 96  # most frequent letters that get a symbol of their own
 GAP, RARE = 0, 1  # anything between letters; letters without a symbol
 
@@ -110,16 +110,20 @@ class Parser:
         for p in points:
             symbols, _ = self.squeeze(self.symbol[p], np.array([0, len(p)]))
             moves = suffix_automaton(symbols.tolist())
-            target = np.full((len(moves), width), -1, np.int64)
+            # One more state, after a symbol that the sample does not have at all.
+            lost = len(moves)
+            target = np.full((lost + 1, width), -1, np.int64)
             for state, move in enumerate(moves):
                 if move:
                     target[state, list(move)] = list(move.values())
-            restart = np.where(target[0] >= 0, target[0], 0)
+            restart = np.where(target[0] >= 0, target[0], lost)
             ends = target < 0
+            ends[0] = False  # state 0 is that of an empty first phrase
+            target[0] = restart
             tables.append(((np.where(ends, restart, target) + rows) * width << 1 | ends).astype(np.int64))
             self.starts.append(rows * width)
             self.bits.append(np.log2(max(2, len(symbols))))
-            rows += len(moves)
+            rows += lost + 1
         self.table = np.concatenate(tables).ravel()
         if self.table[-1] < 1 << 31 and len(self.table) < 1 << 30:
             self.table = self.table.astype(np.int32)

@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loadweave.llm.columns import BYTE_VALUES, hash_runs, row_slices, text_bytes
+from loadweave.llm.columns import hash_runs, row_slices, text_bytes
 
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 UPPER, LOWER, DIGIT, BLANK, POINT, SIGN, INNER = range(7)
 OWN = ("upper", "digits", "signs", "points", "word_length", "words", "repeats", "closed", "starts_upper", "signed_words", "short")
 FEATURES = tuple(f"{where}_{f}" for where in ("own", "previous", "next") for f in OWN) + ("first", "last", "same_as_previous")
@@ -90,7 +90,7 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     over[n - 1] = word[n - 1]
     word_end = np.flatnonzero(over) + 1
     words = per_line(first)
-    hashes = hash_runs(BYTE_VALUES[data], word_start, word_end)
+    hashes = hash_runs(data, word_start, word_end)
     line_of_word = np.searchsorted(starts, word_start, "right") - 1
     again = np.zeros(len(word_start), bool)
     again[1:] = (hashes[1:] == hashes[:-1]) & (line_of_word[1:] == line_of_word[:-1])
@@ -104,7 +104,7 @@ def line_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
         upper / np.maximum(letters, 1), digits / some, signs / some, points / some, np.minimum(some / many, 40) / 10,
         np.log1p(words) / 5, repeats / many, last_kind == POINT, kinds[starts] == UPPER, signed / many, words < 4,
     ]).astype(float)
-    line_hash = hash_runs(BYTE_VALUES[data], starts, ends)
+    line_hash = hash_runs(data, starts, ends)
     opens = np.zeros(len(starts) + 1, bool)
     opens[rows] = True
     closes = opens[1:].copy()
@@ -218,29 +218,35 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def learn(labelled: DataFrame, label: str = "quality", text: str = "text", key: str = "doc_id", max_docs: int = 4000, max_lines: int = 60, max_chars: int = 20_000) -> Model:
-    """Fits the model to labelled rows (label 0 or 1) that this collects in a bounded sample.
+def learn(labels: DataFrame, docs: DataFrame, label: str = "quality", text: str = "text", key: str = "doc_id", max_docs: int = 3000, max_lines: int = 60, max_chars: int = 6000) -> Model:
+    """Fits the model to labelled documents (label 0 or 1), of which the driver gets a bounded sample.
 
-    Bounds: about `max_docs` documents, half of them of each label where there
-    are enough, chosen by the hash of their key; of a longer text, a stretch of
+    labels: key and label; docs: key and text. Bounds: about `max_docs` labels,
+    half of each kind where there are enough, chosen by the hash of their key
+    (at most twice as many where keys repeat); of a longer text, a stretch of
     `max_chars` characters at a place that the hash decides, and of that at
-    most `max_lines` lines. Rows with a null label or text teach nothing.
+    most `max_lines` lines. The chosen labels alone, not the documents, are
+    sent to all tasks. Null labels and texts teach nothing.
     """
-    rows = labelled.filter(F.col(label).isin(0, 1) & F.col(text).isNotNull()).select(F.col(label).cast("int").alias("y"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.lit(83)).alias("h"))
+    rows = labels.filter(F.col(label).isin(0, 1)).select(F.col(key).alias("_key"), F.col(label).cast("int").alias("y"), F.xxhash64(F.col(key), F.lit(83)).alias("h"))
     counts = {r[0]: r[1] for r in rows.groupBy("y").count().collect()}
     if not counts:
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0), np.zeros(1, np.int64), np.zeros(0))
     share = F.create_map(*[F.lit(x) for y, n in counts.items() for x in (y, min(1.0, max_docs / 2 / n))])
+    chosen = rows.filter(F.pmod("h", F.lit(1 << 20)) < share[F.col("y")] * (1 << 20)).limit(2 * max_docs)
+    texts = docs.filter(F.col(text).isNotNull()).select(F.col(key).alias("_doc"), F.col(text).alias("text"))
     place = F.pmod(F.shiftright("h", 20), F.greatest(F.length("text") - max_chars + 1, F.lit(1)).cast("long")).cast("int") + 1
-    chosen = rows.filter(F.pmod("h", F.lit(1 << 20)) < share[F.col("y")] * (1 << 20)).select("y", "h", F.substring("text", place, F.lit(max_chars)).alias("text"))
-    found = sorted(chosen.collect(), key=lambda r: (r["h"], r["y"]))
-    texts = ["\n".join(r["text"].split("\n")[:max_lines]) for r in found]
-    labels = np.array([r["y"] for r in found], float)
-    features, lengths, at = line_features(*text_bytes(pa.array(texts, pa.string())))
-    model = fit(features, lengths, at, labels)
+    joined = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_key")).select("y", "h", F.substring("text", place, F.lit(max_chars)).alias("text"))
+    found = sorted(joined.limit(2 * max_docs).collect(), key=lambda r: (r["h"], r["y"], r["text"]))
+    labels_ = np.array([r["y"] for r in found], float)
+    data, offsets = text_bytes(pa.array(["\n".join(r["text"].split("\n")[:max_lines]) for r in found], pa.string()))
+    parts = [line_features(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in row_slices(offsets, SLICE_BYTES)]
+    if not parts:
+        return fit(np.zeros((0, len(FEATURES))), np.zeros(0), np.zeros(1, np.int64), np.zeros(0))
+    at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(rows_) for _, _, rows_ in parts]))])
+    model = fit(np.concatenate([f for f, _, _ in parts]), np.concatenate([n for _, n, _ in parts]), at, labels_)
     # The sample holds the labels in equal parts; all labelled rows do not.
-    total = counts.get(1, 0) / sum(counts.values())
-    total = float(np.clip(total, 0.01, 0.99))
+    total = float(np.clip(counts.get(1, 0) / sum(counts.values()), 0.01, 0.99))
     shift = np.log(total / (1 - total)) - np.log(model.prior / (1 - model.prior))
     return model._replace(base=model.base + float(shift), prior=total)
 

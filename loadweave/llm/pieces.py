@@ -13,12 +13,12 @@ from functools import cache
 
 import numpy as np
 
-from loadweave.llm.columns import BYTE_VALUES, HashIndex, hash_runs, row_slices
+from loadweave.llm.columns import HashIndex, hash_runs, row_slices
 
 LETTER, NUMBER, SPACE, OTHER = range(4)
 # The code points with the Unicode property White_Space.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 
 @cache
@@ -112,7 +112,7 @@ class PieceIds:
             low, high = offsets[i], offsets[j]
             block = data[low:high]
             s = piece_starts(block, offsets[i:j] - low)
-            hashes.append(hash_runs(BYTE_VALUES[block], s, np.append(s[1:], len(block))) | np.uint64(1))
+            hashes.append(hash_runs(block, s, np.append(s[1:], len(block))) | np.uint64(1))
             starts.append(s + low)
         starts = np.concatenate(starts) if starts else np.zeros(0, np.int64)
         hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)

@@ -109,8 +109,8 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 
 def quality_model(spark: SparkSession, folder: str) -> linequality.Model:
     """Learned from three quarters of the labelled documents."""
-    labels = table(spark, folder, "labels").filter(fold("doc_id", 4) != 2).select("doc_id", "quality")
-    return linequality.learn(labels.join(table(spark, folder, "documents").select("doc_id", "text"), "doc_id"))
+    labels = table(spark, folder, "labels").filter(fold("doc_id", 4) != 2)
+    return linequality.learn(labels, table(spark, folder, "documents"))
 
 
 @query("op8_quality")

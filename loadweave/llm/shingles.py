@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from loadweave.llm.columns import BYTE_VALUES, U, hash_runs, mix, text_bytes
+from loadweave.llm.columns import U, hash_runs, mix, text_bytes
 
 # Words are runs of ASCII letters and digits and of all other non-ASCII characters, in lower case.
 _IN_WORD = np.array([i >= 0x80 or chr(i).isalnum() for i in range(256)])
@@ -26,7 +26,7 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     begins[1:] &= ~inside[:-1] | row[1:n]
     closes[:-1] &= ~inside[1:] | row[1:n]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(closes) + 1
-    return hash_runs(BYTE_VALUES[data], starts, ends), np.searchsorted(starts, offsets)
+    return hash_runs(data, starts, ends), np.searchsorted(starts, offsets)
 
 
 def elements(column: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
