@@ -51,7 +51,7 @@ def test_phrases_are_longest_matches(sample, text):
 @given(st.lists(st.integers(0, 2), max_size=25))
 def test_automaton_accepts_exactly_the_substrings(symbols):
     moves = langid.suffix_automaton(symbols)
-    inside = {tuple(symbols[i:j]) for i in range(len(symbols)) for j in range(i, len(symbols) + 1)}
+    inside = {tuple(symbols[i:j]) for i in range(len(symbols) + 1) for j in range(i, len(symbols) + 1)}
     for word in itertools.chain.from_iterable(itertools.product(range(3), repeat=k) for k in range(4)):
         state = 0
         for s in word:
