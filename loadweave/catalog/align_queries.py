@@ -117,14 +117,15 @@ def hourly_join(spark, folder):
 @query(
     "combine_first",
     f"""WITH n AS (SELECT date_trunc('hour', datetime) AS datetime, max(CASE WHEN load_mw > 5 THEN load_mw END) AS load_mw
-                   FROM {READINGS} WHERE technology = 'view' GROUP BY 1),
-             o AS (SELECT date_trunc('hour', datetime) AS datetime, max(load_mw) AS load_mw FROM {READINGS} WHERE technology = 'click' GROUP BY 1)
+                   FROM {READINGS} WHERE event_id % 2 = 0 GROUP BY 1),
+             o AS (SELECT date_trunc('hour', datetime) AS datetime, max(load_mw) AS load_mw FROM {READINGS} WHERE event_id % 2 = 1 GROUP BY 1)
         SELECT datetime, coalesce(n.load_mw, o.load_mw) AS load_mw FROM n FULL JOIN o USING (datetime)""",
 )
 def combine_first(spark, folder):
+    """Every event is on one of the two sides."""
     r = readings(spark, folder).withColumn("datetime", hour_floor("datetime"))
-    new = r.where(F.col("technology") == "view").groupBy("datetime").agg(F.max(F.when(F.col("load_mw") > 5, F.col("load_mw"))).alias("load_mw"))
-    old = r.where(F.col("technology") == "click").groupBy("datetime").agg(F.max("load_mw").alias("load_mw"))
+    new = r.where(F.col("event_id") % 2 == 0).groupBy("datetime").agg(F.max(F.when(F.col("load_mw") > 5, F.col("load_mw"))).alias("load_mw"))
+    old = r.where(F.col("event_id") % 2 == 1).groupBy("datetime").agg(F.max("load_mw").alias("load_mw"))
     return A.combine_first(new, old, "datetime", ["load_mw"])
 
 

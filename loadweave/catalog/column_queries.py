@@ -171,12 +171,12 @@ _HOUR = "lpad(CAST(hour(ts) AS VARCHAR), 2, '0') || ':00'"
 
 @query(
     "hour_interval",
-    f"""SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE {_HOUR} || ' – ' || {_HOUR} END AS hour_interval,
+    f"""SELECT event_id, CASE event_type WHEN 'error' THEN NULL WHEN 'click' THEN {_HOUR} || chr(160) || '–' || chr(8239) || {_HOUR} ELSE {_HOUR} || ' – ' || {_HOUR} END AS hour_interval,
               CASE WHEN event_type = 'error' THEN NULL ELSE CAST(hour(ts) * 60 AS INTEGER) END AS start_minute FROM events""",
 )
 def hour_interval(spark, folder):
     hour = F.concat(F.lpad(F.hour("ts").cast("string"), 2, "0"), F.lit(":00"))
-    label = F.concat(hour, F.lit(" – "), hour)
+    label = F.concat(hour, F.when(F.col("event_type") == "click", "\u00a0–\u202f").otherwise(" – "), hour)
     cells = F.when(F.col("event_type") == "error", F.array(F.lit("Total"), F.lit("-")))
     cells = cells.when(F.col("event_type") == "view", F.array(F.lit("x"), label)).otherwise(F.array(label, F.lit("x")))
     found = table(spark, folder, "events").select("event_id", X.hour_interval(cells, 0).alias("hour_interval"))

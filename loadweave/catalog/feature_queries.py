@@ -20,10 +20,11 @@ from loadweave.operators.features import (
     contract_of_maps,
     feature_table,
     features_from_maps,
+    horizon_features,
     live_features,
     ordered_features,
 )
-from loadweave.plans.model import BoostingParams, score, score_requests, train
+from loadweave.plans.model import backtest_report, score, score_requests, train, walk_forward
 from loadweave.session import scratch_path, stage
 
 # Which event types lack which features in the feature maps below.
@@ -127,52 +128,104 @@ def cold_start_query(spark, folder):
     return cold_start(users, F.col("history_rows"), ["load_lag_1h"]).drop("history_rows")
 
 
-# The declared 500 trees suit a training job; the registered queries grow fewer.
-QUERY_PARAMS = BoostingParams(trees=10)
+HORIZON = 24
+_STORED: dict[tuple[str, str], str] = {}
 
 
-@query("train_and_score_load")
-def train_and_score_load(spark, folder):
-    """Trains on the first three weeks and scores the rest."""
+def forecast_rows(spark, folder):
+    """Features of every half hour and the load a day later as ``target``."""
     load = stage(half_hour_load(spark, folder), "load")
-    rows = stage(feature_table(load, hourly_weather(spark, folder)), "features")
-    split = rows.agg(F.min("datetime")).first()[0].isoformat(sep=" ")
-    start = F.lit(split).cast("timestamp_ntz") + interval(days=21)
-    model = train(rows.where(F.col("datetime") < start), params=QUERY_PARAMS)
-    return score(model, rows.where(F.col("datetime") >= start)).select("datetime", TARGET, "prediction")
+    return horizon_features(feature_table(load, hourly_weather(spark, folder)), "datetime", TARGET, HORIZON)
+
+
+def stored_model(spark, folder) -> PipelineModel:
+    """The day-ahead model with the declared parameters: fitted once per folder and session, saved, and loaded."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _STORED:
+        path = scratch_path(spark, "model")
+        train(stage(forecast_rows(spark, folder), "features"), label="target").write().overwrite().save(path)
+        _STORED[key] = path
+    return PipelineModel.load(_STORED[key])
+
+
+# Every feature row, its target time, the load there, and how many features have no value.
+_FILLED_SQL = " + ".join(f"CASE WHEN {n} IS NULL THEN 1 ELSE 0 END" for n in FEATURES)
+_FORECAST_SQL = f"""
+  SELECT f.datetime, f.datetime + INTERVAL {HORIZON} HOUR AS target_time, round(t.load_mw, 6) AS target, CAST({_FILLED_SQL.replace("WHEN ", "WHEN f.")} AS INTEGER) AS filled, true AS scored
+  FROM ({_features_sql()}) f LEFT JOIN {HALF_HOUR_LOAD} t ON t.datetime = f.datetime + INTERVAL {HORIZON} HOUR
+  {{where}}
+"""
+
 
+def _forecast(scored):
+    later = (F.col("datetime") + interval(hours=HORIZON)).alias("target_time")
+    return scored.select("datetime", later, F.round("target", 6).alias("target"), F.col("filled").cast("int").alias("filled"), F.col("prediction").isNotNull().alias("scored"))
 
-@query("score_stored_model")
+
+@query("train_and_score_load", _FORECAST_SQL.format(where=""))
+def train_and_score_load(spark, folder):
+    """Trains the day-ahead model and answers every feature row, those with missing values too."""
+    return _forecast(score(stored_model(spark, folder), forecast_rows(spark, folder)))
+
+
+@query("score_stored_model", f"SELECT datetime, true AS scored FROM ({_features_sql()})")
 def score_stored_model(spark, folder):
     """A model saved, loaded and applied to all feature rows."""
     load = stage(half_hour_load(spark, folder), "load")
-    rows = stage(feature_table(load, hourly_weather(spark, folder)), "features")
-    path = scratch_path(spark, "model")
-    train(rows, params=BoostingParams(trees=3)).write().overwrite().save(path)
-    return score(PipelineModel.load(path), rows).select("datetime", "prediction")
+    rows = feature_table(load, hourly_weather(spark, folder))
+    return score(stored_model(spark, folder), rows).select("datetime", F.col("prediction").isNotNull().alias("scored"))
 
 
-@query("score_requests")
+@query(
+    "score_requests",
+    f"""SELECT event_id, event_type NOT IN ('error', 'signup') AS scored,
+               CAST(CASE event_type {" ".join(f"WHEN '{k}' THEN {len(names)}" for k, names in _LACKING.items())} ELSE 0 END AS INTEGER) AS missing,
+               CAST(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END AS INTEGER) AS extra FROM events""",
+)
 def score_requests_query(spark, folder):
     """Feature maps of all events, most of them incomplete or with a name too many."""
-    load = stage(half_hour_load(spark, folder), "load")
-    model = train(stage(feature_table(load, hourly_weather(spark, folder)), "features"), params=BoostingParams(trees=3))
-    result = score_requests(model, _feature_maps(spark, folder))
-    return result.select("event_id", "prediction", F.size("missing_features").alias("missing"), F.size("extra_features").alias("extra"))
+    result = score_requests(stored_model(spark, folder), _feature_maps(spark, folder))
+    return result.select("event_id", F.col("prediction").isNotNull().alias("scored"), F.size("missing_features").alias("missing"), F.size("extra_features").alias("extra"))
 
 
-@query("train_and_score_generation")
+@query(
+    "train_and_score_generation",
+    f"""WITH g AS (SELECT date_trunc('hour', ts) AS datetime, round(sum(value) FILTER (WHERE event_type = 'view'), 6) AS wind_mw,
+                          round(sum(value) FILTER (WHERE event_type = 'click'), 6) AS solar_mw FROM events GROUP BY 1)
+        SELECT g.datetime, t.wind_mw, t.solar_mw, true AS wind_scored, true AS solar_scored
+        FROM g LEFT JOIN g t ON t.datetime = g.datetime + INTERVAL {HORIZON} HOUR""",
+)
 def train_and_score_generation(spark, folder):
-    """Wind and solar models with their own feature lists."""
+    """Day-ahead wind and solar models with their own feature lists; the outputs shown are those a day later."""
     e = table(spark, folder, "events")
     output = e.groupBy(hour_floor("ts").alias("datetime")).agg(
-        F.sum(F.when(F.col("event_type") == "view", F.col("value"))).alias("wind_mw"),
-        F.sum(F.when(F.col("event_type") == "click", F.col("value"))).alias("solar_mw"),
+        F.round(F.sum(F.when(F.col("event_type") == "view", F.col("value"))), 6).alias("wind_mw"),
+        F.round(F.sum(F.when(F.col("event_type") == "click", F.col("value"))), 6).alias("solar_mw"),
     )
     weather = hourly_weather(spark, folder).withColumns({"hour_of_day": F.hour("datetime"), "day_of_year": F.dayofyear("datetime")})
     rows = stage(output.join(weather, "datetime"), "generation")
-    result = rows.select("datetime", *set(WIND_FEATURES) | set(SOLAR_FEATURES), "wind_mw", "solar_mw")
+    for label in ("wind_mw", "solar_mw"):
+        rows = horizon_features(rows, "datetime", label, HORIZON).drop(label).withColumnRenamed("target", label)
+    result = stage(rows, "generation")
     for label, features in (("wind_mw", WIND_FEATURES), ("solar_mw", SOLAR_FEATURES)):
-        model = train(rows, features, label, QUERY_PARAMS)
-        result = score(model, result, features).withColumnRenamed("prediction", f"predicted_{label}")
-    return result.select("datetime", "wind_mw", "solar_mw", "predicted_wind_mw", "predicted_solar_mw")
+        model = train(result, features, label)
+        result = score(model, result, features).withColumn(label.replace("mw", "scored"), F.col("prediction").isNotNull()).drop("prediction", "filled")
+    return result.select("datetime", "wind_mw", "solar_mw", "wind_scored", "solar_scored")
+
+
+BACKTEST_FOLDS = ("2024-01-28",)
+
+
+@query(
+    "walk_forward_backtest",
+    f"""SELECT date_trunc('day', f.datetime + INTERVAL {HORIZON} HOUR) AS day, count(*) AS n, true AS measured
+        FROM ({_features_sql()}) f JOIN {HALF_HOUR_LOAD} t ON t.datetime = f.datetime + INTERVAL {HORIZON} HOUR
+        WHERE date_trunc('day', f.datetime + INTERVAL {HORIZON} HOUR) IN ({", ".join(f"TIMESTAMP '{d}'" for d in BACKTEST_FOLDS)}) AND t.load_mw IS NOT NULL
+        GROUP BY 1""",
+)
+def walk_forward_backtest(spark, folder):
+    """Each fold is forecast by a model of the days before it; one row per day."""
+    forecasts = walk_forward(forecast_rows(spark, folder), "datetime", "target", BACKTEST_FOLDS, horizon_hours=HORIZON)
+    daily, _ = backtest_report(forecasts)
+    measured = F.col("daily_mape_pct").isNotNull() & F.col("daily_mae_mw").isNotNull() & F.col("daily_rmse_mw").isNotNull()
+    return daily.select("day", "n", measured.alias("measured"))

@@ -9,7 +9,9 @@ from loadweave.functions.timeutil import col
 
 # Report patterns and header words that results depend on.
 DATE_LINE = r"(?i)(?:r.al|donn).*?(\d{2}/\d{2}/\d{4})"
-HOUR_INTERVAL = r"^\s*(\d{1,2}:\d{2})\s*[-–]\s*(\d{1,2}:\d{2})\s*$"
+# White space as in BLANKS below: exports use no-break spaces.
+BLANK = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]*"
+HOUR_INTERVAL = rf"^{BLANK}(\d{{1,2}}:\d{{2}}){BLANK}[-–]{BLANK}(\d{{1,2}}:\d{{2}}){BLANK}$"
 HEADER_WORDS = ("heures", "biomasse", "filière", "nucléaire")
 HOUR_WORD = "heures"
 NO_LABEL = "Unnamed"

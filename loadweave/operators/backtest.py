@@ -23,6 +23,18 @@ def daily_metrics(df: DataFrame, time: str, actual: str, forecast: str) -> DataF
     )
 
 
+def pooled_metrics(df: DataFrame, actual: str, forecast: str) -> DataFrame:
+    """One row over all complete pairs: rmse, mae, mape (in percent), n."""
+    y, e = finite(actual), finite(forecast) - finite(actual)
+    pairs = df.select(y.alias("y"), e.alias("e")).where(F.col("e").isNotNull())
+    return pairs.agg(
+        F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"),
+        F.avg(F.abs("e")).alias("mae"),
+        (F.avg(F.try_divide(F.abs("e"), F.abs("y"))) * 100).alias("mape"),
+        F.count(F.lit(1)).alias("n"),
+    )
+
+
 def with_persistence(df: DataFrame, time: str, value: str, hours: int = 24, name: str = "forecast") -> DataFrame:
     """Adds the value ``hours`` earlier as forecast; times must be unique."""
     earlier = df.select((F.col(time) + interval(hours=hours)).alias(time), F.col(value).alias(name))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The columns that identify a row in each kind of table.
 LOAD_FILE_KEY = ("datetime", "date", "year", "statut", "slot_index")
 REPORT_KEY = ("datetime", "date", "year", "hour_interval", "technology")
 MIX_KEY = ("production_type", "production_subtype", "start_date", "end_date")
@@ -22,12 +23,12 @@ _FIXED = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.Timestamp
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """The first row of each key in the given order; null keys are equal."""
+    """The first row of each key in the given order, nulls first; null keys are equal."""
     return _keep(df, keys, order, F.min_by)
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """The last row of each key in the given order; null keys are equal."""
+    """The last row of each key in the given order, nulls before all values; null keys are equal."""
     return _keep(df, keys, order, F.max_by)
 
 
@@ -36,8 +37,9 @@ def _keep(df, keys, order, pick):
     if not rest:
         return df.dropDuplicates(list(keys))
     ordering = [F.col(o) if isinstance(o, str) else o for o in order]
-    if len(ordering) == 1 and isinstance(order[0], str) and all(_fixed(df, name) for name in [*rest, order[0]]):
-        # Fixed-width buffers: a hash aggregation without any sort.
+    if len(ordering) == 1 and isinstance(order[0], str) and not df.schema[order[0]].nullable and all(_fixed(df, name) for name in [*rest, order[0]]):
+        # Fixed-width buffers: a hash aggregation without any sort. It would pass over rows
+        # with a null order, so it serves only where there can be none; structs order them.
         chosen = df.groupBy(*keys).agg(*[pick(name, order[0]).alias(name) for name in rest])
         return chosen.select(*df.columns)
     best = pick(F.struct(*rest), F.struct(*ordering)).alias("_best")

@@ -22,7 +22,7 @@ from loadweave.functions.text import finite
 from loadweave.functions.timeutil import epoch_seconds
 from loadweave.session import stage
 
-MAX_PIECES = 20_000
+ROWS_PER_PIECE = 1_000_000
 SAMPLE_PER_PIECE = 50
 PIECE = "_piece"
 KEY = "_series_piece"
@@ -40,13 +40,20 @@ def order_number(df: DataFrame, order: str) -> Column:
     return F.col(order).cast("double")
 
 
+def default_pieces(rows: int, shuffles: int) -> int:
+    return max(2, 2 * shuffles, -(-rows // ROWS_PER_PIECE))
+
+
 def split_points(df: DataFrame, order: str, pieces: int | None = None) -> list[float]:
-    """Ascending cuts that divide the rows about evenly; at most MAX_PIECES."""
-    spark = df.sparkSession
-    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pieces = pieces or max(2, min(MAX_PIECES, 2 * shuffles))
+    """Ascending cuts that divide the rows about evenly.
+
+    The number of pieces follows the rows, and is twice the number of shuffle
+    partitions at least. One second is not cut: rows of the same second are in
+    one piece, however many they are.
+    """
     keys = df.select(order_number(df, order).alias("k"))
     rows = keys.count()
+    pieces = pieces or default_pieces(rows, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     share = SAMPLE_PER_PIECE * pieces / max(rows, 1)
     if share < 1.0:
         keys = keys.sample(fraction=share, seed=42)
@@ -181,7 +188,7 @@ def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> list
     counts = values.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     tagged = with_pieces(stage(counts, "value-counts"), "v")
     sizes = tagged.groupBy(PIECE).agg(F.sum("n").alias("_size"))
-    table = [(r[PIECE], r["_size"]) for r in sizes.orderBy(PIECE).collect()]  # at most MAX_PIECES rows
+    table = [(r[PIECE], r["_size"]) for r in sizes.orderBy(PIECE).collect()]  # one row per piece
     total = sum(size for _, size in table)
     if not total:
         return [None for _ in shares]

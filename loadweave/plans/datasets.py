@@ -15,7 +15,7 @@ from loadweave.operators.quality import load_continuity, weather_continuity
 from loadweave.operators.report import report_to_long
 from loadweave.operators.reshape import wide_to_long
 from loadweave.session import stage
-from loadweave.sources.files import FILE_ORDER, read_load_long, read_load_wide, read_weather
+from loadweave.sources.files import FILE_ORDER, file_names, read_load_long, read_load_wide, read_weather
 from loadweave.sources.report_text import read_report_lines
 from loadweave.sources.tables import write_parquet, write_years
 
@@ -30,11 +30,11 @@ def unique_load_per_file(load: DataFrame) -> DataFrame:
     return keep_first(load, ["file", "datetime"], FILE_ORDER).select("file", "datetime", "load_mw")
 
 
-def build_load_dataset(spark: SparkSession, paths: str | list[str], out: str, same_header: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Cleaned load written to ``out``; returns it with the continuity report per file."""
-    raw = stage(read_load_long(spark, paths, same_header), "load")
+def build_load_dataset(spark: SparkSession, paths: str | list[str], out: str) -> tuple[DataFrame, DataFrame]:
+    """Cleaned load written to ``out``; returns it with the continuity report, a line for every file."""
+    raw = stage(read_load_long(spark, paths), "load")
     write_parquet(unique_load(raw), out, sort="datetime")
-    report = load_continuity(stage(unique_load_per_file(raw).select("file", "datetime"), "load-files"))
+    report = load_continuity(stage(unique_load_per_file(raw).select("file", "datetime"), "load-files"), files=file_names(spark, paths))
     return spark.read.parquet(out), report
 
 
@@ -44,9 +44,9 @@ def unique_weather(weather: DataFrame) -> DataFrame:
     return keep_first(weather, ["city", "datetime"], order).drop(*FILE_ORDER)
 
 
-def build_weather_dataset(spark: SparkSession, paths: str | list[str], out: str, same_header: bool = False) -> tuple[DataFrame, DataFrame]:
+def build_weather_dataset(spark: SparkSession, paths: str | list[str], out: str) -> tuple[DataFrame, DataFrame]:
     """National hourly weather written to ``out``; returns it with the continuity report per city."""
-    clean = stage(unique_weather(read_weather(spark, paths, same_header)), "weather")
+    clean = stage(unique_weather(read_weather(spark, paths)), "weather")
     write_parquet(national_mean(clean), out, sort="datetime")
     return spark.read.parquet(out), weather_continuity(clean)
 

@@ -6,13 +6,17 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loadweave.functions.text import finite
+from loadweave.operators.backtest import daily_metrics, pooled_metrics
 from loadweave.operators.features import FEATURES, TARGET, check_contract, contract_of_maps
-from loadweave.session import scratch_root
+from loadweave.session import scratch_root, stage
+
+ROWS_PER_TASK = 50_000
 
 
 @dataclass(frozen=True)
@@ -28,8 +32,9 @@ class BoostingParams:
 
 
 def boosted_trees(features: Sequence[str] = FEATURES, label: str = TARGET, params: BoostingParams | None = None) -> Pipeline:
+    """Assembles the filled features (see train) and boosts trees on them."""
     p = params or BoostingParams()
-    assembler = VectorAssembler(inputCols=list(features), outputCol="_features", handleInvalid="skip")
+    assembler = VectorAssembler(inputCols=[f"_filled_{n}" for n in features], outputCol="_features")
     trees = GBTRegressor(
         featuresCol="_features",
         labelCol=label,
@@ -40,6 +45,7 @@ def boosted_trees(features: Sequence[str] = FEATURES, label: str = TARGET, param
         subsamplingRate=p.row_share,
         featureSubsetStrategy=str(p.column_share),
         seed=p.seed,
+        checkpointInterval=50,
     )
     return Pipeline(stages=[assembler, trees])
 
@@ -47,20 +53,36 @@ def boosted_trees(features: Sequence[str] = FEATURES, label: str = TARGET, param
 def train(
     df: DataFrame, features: Sequence[str] = FEATURES, label: str = TARGET, params: BoostingParams | None = None
 ) -> PipelineModel:
-    """Fits on the rows with a label and all features."""
+    """Fits on all rows with a label.
+
+    A missing feature value counts as the mean of the training rows, 0.0 where
+    they have none; the means are part of the model, so rows with missing
+    values are scored in the same way.
+    """
     check_contract(df, features)
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         # Boosting cuts the lineage of its intermediate errors here.
         context.setCheckpointDir(scratch_root(df.sparkSession))
-    rows = df.select(*features, label).where(F.col(label).isNotNull())
-    return boosted_trees(features, label, params).fit(rows)
+    rows = stage(df.select(*features, label).where(finite(label).isNotNull()), "training")
+    facts = rows.agg(F.count(F.lit(1)).alias("_rows"), *[F.avg(finite(name)).alias(name) for name in features]).first()
+    filled = ", ".join(f"coalesce(nanvl(CAST(`{n}` AS DOUBLE), NULL), {facts[n] or 0.0!r}D) AS `_filled_{n}`" for n in features)
+    fill = SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__")
+    # Boosting is a long row of short jobs: as many tasks as the rows are worth.
+    dealt = rows.coalesce(max(1, -(-facts["_rows"] // ROWS_PER_TASK)))
+    return Pipeline(stages=[fill, *boosted_trees(features, label, params).getStages()]).fit(dealt)
+
+
+def missing_values(features: Sequence[str]) -> Column:
+    """How many of a row's features have no value."""
+    return sum((finite(n).isNull().cast("int") for n in features), F.lit(0))
 
 
 def score(model: PipelineModel, df: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
-    """Adds ``prediction``; rows with a missing feature value are left out."""
+    """Adds ``prediction`` to every row, and in ``filled`` how many of its features had no value."""
     check_contract(df, features)
-    return model.transform(df).drop("_features")
+    scored = model.transform(df.withColumn("filled", missing_values(features)))
+    return scored.drop("_features", *[f"_filled_{n}" for n in features])
 
 
 def score_requests(
@@ -73,9 +95,43 @@ def score_requests(
     """
     given = requests.withColumn(values, F.map_filter(values, lambda _, v: v.isNotNull()))
     checked = contract_of_maps(given, values, features)
-    kept = checked.columns
-    complete = checked.where(F.size("missing_features") == 0)
-    wide = complete.select(*kept, *[F.col(values)[name].cast("double").alias(name) for name in features])
-    scored = model.transform(wide).select(*kept, "prediction")
-    failed = checked.where(F.size("missing_features") > 0).withColumn("prediction", F.lit(None).cast("double"))
-    return scored.unionByName(failed)
+    wide = checked.select("*", *[F.col(values)[name].cast("double").alias(name) for name in features])
+    scored = model.transform(wide).select(*checked.columns, "prediction")
+    return scored.withColumn("prediction", F.when(F.size("missing_features") == 0, F.col("prediction")))
+
+
+def walk_forward(
+    rows: DataFrame,
+    time: str,
+    label: str,
+    folds: Sequence[str],
+    features: Sequence[str] = FEATURES,
+    horizon_hours: int = 24,
+    params: BoostingParams | None = None,
+) -> DataFrame:
+    """Forecasts of each fold by a model that knows only what lay before it: fold, target_time, actual, forecast.
+
+    rows: features at ``time`` and the label ``horizon_hours`` later. A fold
+    trains on the rows whose label lay before its start and forecasts the
+    ``horizon_hours`` from its start on. Each fold is one distributed fit; the
+    loop is over folds only. A fold without training rows is left out.
+    """
+    rows = stage(rows.withColumn("target_time", F.col(time) + F.make_interval(hours=F.lit(horizon_hours))), "backtest")
+    found = None
+    for fold in folds:
+        start = F.lit(fold).cast("timestamp_ntz")
+        known = rows.where((F.col("target_time") < start) & finite(label).isNotNull())
+        if known.isEmpty():
+            continue
+        asked = rows.where((F.col("target_time") >= start) & (F.col("target_time") < start + F.make_interval(hours=F.lit(horizon_hours))))
+        scored = score(train(known, features, label, params), asked, features)
+        part = scored.select(start.alias("fold"), "target_time", F.col(label).alias("actual"), F.col("prediction").alias("forecast"))
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        raise ValueError("no fold has rows to train on")
+    return found
+
+
+def backtest_report(forecasts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The daily report, and rmse, mae and mape over all pairs."""
+    return daily_metrics(forecasts, "target_time", "actual", "forecast"), pooled_metrics(forecasts, "actual", "forecast")

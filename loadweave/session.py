@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,11 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir.
 
-    Where none is named, as in a bare local session, the checkpoint folder of
-    the context serves, and is set to a private one if need be.
+    Where none is named, the checkpoint folder of the context serves. A bare
+    local session gets a private one; on a cluster that is an error, as other
+    machines would not see the folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"name a shared folder in spark.checkpoint.dir; {master} cannot use one of this machine")
         root = tempfile.mkdtemp(prefix="loadweave-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")

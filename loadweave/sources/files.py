@@ -48,17 +48,17 @@ def header_groups(spark: SparkSession, paths: str | list[str]) -> list[tuple[lis
     return sorted(parsed, key=lambda group: group[1][0])
 
 
-def read_csv_by_header(spark: SparkSession, paths: str | list[str], same_header: bool = False) -> list[DataFrame]:
-    """One DataFrame of text columns per distinct header, names repaired.
+def file_names(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """file: the name of every file, from the listing alone."""
+    listed = spark.read.format("binaryFile").load(paths).select("path")
+    return listed.select(F.regexp_extract("path", r"[^/]*$", 0).alias("file")).distinct()
 
-    ``same_header=True`` trusts the header of the first file for all of them and
-    saves the pass over the first lines.
-    """
-    if same_header:
-        names = spark.read.option("header", False).csv(paths).first()
-        groups = [([name.lstrip("\ufeff") for name in names], paths)]
-    else:
-        groups = header_groups(spark, paths)
+
+def read_csv_by_header(spark: SparkSession, paths: str | list[str]) -> list[DataFrame]:
+    """One DataFrame of text columns per distinct header, names repaired; an error if no file has a header."""
+    groups = header_groups(spark, paths)
+    if not groups:
+        raise ValueError(f"no file with a header in {paths}")
     frames = []
     for names, files in groups:
         schema = ", ".join(f"_c{i} string" for i in range(len(names)))
@@ -82,9 +82,9 @@ def clean_load(df: DataFrame) -> DataFrame:
     return value.select("datetime", "load_mw", *[F.col(f"_p_{c}").alias(c) for c in place])
 
 
-def read_load_long(spark: SparkSession, paths: str | list[str], same_header: bool = False) -> DataFrame:
+def read_load_long(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Long load files in UTC: datetime, load_mw, file, _block, _id. Raises if there is no file."""
-    return union_all(*[clean_load(frame) for frame in read_csv_by_header(spark, paths, same_header)])
+    return union_all(*[clean_load(frame) for frame in read_csv_by_header(spark, paths)])
 
 
 def clean_weather(df: DataFrame) -> DataFrame:
@@ -97,13 +97,13 @@ def clean_weather(df: DataFrame) -> DataFrame:
     return drop_null_keys(timed, "city", "datetime").withColumn("city", strip("city"))
 
 
-def read_weather(spark: SparkSession, paths: str | list[str], same_header: bool = False) -> DataFrame:
+def read_weather(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """City weather files, united by column name; numeric text becomes double.
 
     The time column is found file by file, so files that call it ``date`` and
     files that call it ``datetime`` can be read together.
     """
-    frames = [clean_weather(frame) for frame in read_csv_by_header(spark, paths, same_header)]
+    frames = [clean_weather(frame) for frame in read_csv_by_header(spark, paths)]
     return cast_numeric_texts(union_all(*frames), exclude=("city", "file"))
 
 

@@ -29,6 +29,19 @@ def test_first_and_last_do_not_depend_on_scan_order(spark, partitions):
     assert {r["k"]: r["v"] for r in keep_first(df.drop("file"), ["k"], ["id"]).collect()} == {"a": 1.0, None: 5.0}
 
 
+def test_null_order_means_the_same_for_all_column_types(spark):
+    rows = [(1, None, 1.0), (1, 5, 2.0), (2, None, 3.0)]
+    fixed = spark.createDataFrame(rows, "k int, o int, v double")
+    wide = fixed.withColumn("t", F.lit("text"))
+    firm = spark.createDataFrame([(1, 4, 1.0), (1, 5, 2.0)], "k int, o int, v double").withColumn("o", F.coalesce("o", F.lit(0)))
+    for df in (fixed, wide):
+        assert {(r["k"], r["o"], r["v"]) for r in keep_first(df, ["k"], ["o"]).collect()} == {(1, None, 1.0), (2, None, 3.0)}
+        assert {(r["k"], r["o"], r["v"]) for r in keep_last(df, ["k"], ["o"]).collect()} == {(1, 5, 2.0), (2, None, 3.0)}
+    assert not firm.schema["o"].nullable
+    assert [(r["o"], r["v"]) for r in keep_first(firm, ["k"], ["o"]).collect()] == [(4, 1.0)]
+    assert [(r["o"], r["v"]) for r in keep_last(firm, ["k"], ["o"]).collect()] == [(5, 2.0)]
+
+
 def test_mean_keeps_null_keys_and_skips_null_values(spark):
     df = spark.createDataFrame([(1, None, 2.0), (1, None, 4.0), (1, "x", None), (1, "x", 3.0)], "d int, statut string, v double")
     assert {r["statut"]: r["v"] for r in mean_per_key(df, ["d", "statut"], "v").collect()} == {None: 3.0, "x": 3.0}

@@ -5,10 +5,10 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from loadweave.operators.features import FEATURES, TARGET, WEATHER, feature_table, read_contract
-from loadweave.plans.model import BoostingParams, boosted_trees, score, score_requests, train
+from loadweave.operators.features import FEATURES, TARGET, WEATHER, feature_table, horizon_features, read_contract
+from loadweave.plans.model import BoostingParams, backtest_report, boosted_trees, score, score_requests, train, walk_forward
 from loadweave.sources.payloads import LOAD_PAYLOAD
-from loadweave.streaming.live import current_version, follow_history, follow_predictions, merge_batch, read_current
+from loadweave.streaming.live import current_version, follow_history, follow_predictions, live_prediction, merge_batch, read_current
 
 START = datetime(2024, 1, 1)
 NOW = "2024-01-21 00:00:00"
@@ -95,8 +95,9 @@ def test_training_and_scoring(spark, training, tmp_path):
     _, _, table = training
     model = train(table, params=BoostingParams(trees=15, depth=4, rate=0.3))
     scored = score(model, table)
-    full = table.na.drop(subset=list(FEATURES)).count()
-    assert 0 < scored.count() == full < table.count()
+    lacking = table.count() - table.na.drop(subset=list(FEATURES)).count()
+    assert scored.count() == table.count() and scored.where("prediction IS NULL").count() == 0
+    assert scored.where("filled > 0").count() == lacking > 0
     spread, error = scored.agg(F.stddev("load_mw"), F.avg(F.abs(F.col("prediction") - F.col("load_mw")))).first()
     assert error < spread / 4
     path = str(tmp_path / "model")
@@ -107,6 +108,45 @@ def test_training_and_scoring(spark, training, tmp_path):
         score(model, table.drop("hour"))
 
 
+def test_a_day_ahead(spark, training):
+    """Features at one time forecast the load a day later; features of a constant column or without values do no harm."""
+    _, _, table = training
+    ahead = horizon_features(table.withColumn("cloud_cover", F.lit(None).cast("double")), "datetime", TARGET, 24)
+    assert ahead.where(F.col("target").isNull()).count() == 48
+    model = train(ahead, label="target", params=BoostingParams(trees=15, depth=4, rate=0.3))
+    scored = score(model, ahead)
+    assert scored.count() == table.count()
+    spread, error = scored.agg(F.stddev("target"), F.avg(F.abs(F.col("prediction") - F.col("target")))).first()
+    assert error < spread / 4
+
+
+def test_walk_forward_knows_only_the_past(spark, training):
+    _, _, table = training
+    ahead = horizon_features(table, "datetime", TARGET, 24)
+    spoiled = ahead.withColumn("target", F.when(F.col("datetime") >= F.lit("2024-01-14").cast("timestamp_ntz"), F.lit(-1e9)).otherwise(F.col("target")))
+    params = BoostingParams(trees=8, depth=4, rate=0.5)
+    found = [walk_forward(rows, "datetime", "target", ["2023-12-01", "2024-01-12", "2024-01-15"], params=params) for rows in (ahead, spoiled)]
+    answers = [sorted((r.target_time, r.forecast) for r in f.collect()) for f in found]
+    assert answers[0] == answers[1]
+    assert [r.n for r in found[0].groupBy("fold").agg(F.count("*").alias("n")).collect()] == [48, 48]
+    daily, pooled = backtest_report(found[0])
+    assert sorted(r.day for r in daily.collect()) == [datetime(2024, 1, 12), datetime(2024, 1, 15)]
+    total = pooled.first()
+    assert total.n == 96 and total.mae <= total.rmse and 0 < total.mape < 100
+    with pytest.raises(ValueError, match="fold"):
+        walk_forward(ahead, "datetime", "target", ["2023-12-01"], params=params)
+
+
+def test_short_history_is_answered(spark, training, tmp_path):
+    _, weather, table = training
+    model = train(table, params=BoostingParams(trees=2))
+    root = str(tmp_path / "h")
+    merge_batch(parsed(spark, document(0, 192)), root, 1, NOW)
+    row = live_prediction(spark, root, weather, model, "2024-01-05 00:10:00").collect()
+    assert len(row) == 1 and row[0].prediction is not None and row[0].filled > 0
+    assert live_prediction(spark, str(tmp_path / "none"), weather, model, "2024-01-05 00:10:00").first().prediction is not None
+
+
 def test_requests_are_all_answered(spark, training):
     _, _, table = training
     model = train(table, params=BoostingParams(trees=2))

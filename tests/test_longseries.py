@@ -146,3 +146,8 @@ def test_coverage_with_null_times(spark):
     df = spark.createDataFrame([(START, "a"), (START, "b"), (None, "a"), (None, None)], "t timestamp_ntz, k string")
     row = coverage(df, "t", kind="k").first()
     assert (row["rows"], row["duplicate_times"], row["kinds"]) == (4, 2, ["a", "b"])
+
+
+def test_more_rows_make_more_pieces():
+    assert L.default_pieces(10, 8) == 16
+    assert L.default_pieces(50 * L.ROWS_PER_PIECE, 8) == 50

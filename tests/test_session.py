@@ -1,10 +1,12 @@
 from types import SimpleNamespace
 
+import pytest
+
 from loadweave.session import scratch_path, scratch_root, stage
 
 
 class Context:
-    folder = None
+    folder, master = None, "local[4]"
 
     def getCheckpointDir(self):  # noqa: N802
         return self.folder
@@ -31,3 +33,10 @@ def test_staged_tables_lie_in_the_named_folder(spark):
     staged = stage(spark.range(5), "numbers")
     assert staged.count() == 5 and all(root in f for f in staged.inputFiles())
     assert scratch_path(spark, "a") != scratch_path(spark, "a")
+
+
+def test_no_private_folder_on_a_cluster():
+    bare = session()
+    bare.sparkContext.master = "spark://host:7077"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_root(bare)

@@ -44,15 +44,20 @@ def test_load_dataset(spark, load_files, tmp_path):
     assert [tuple(r) for r in report.collect()] == [
         ("load_2001_long.csv", 3, hour(0, 0), hour(1, 30), 1),
         ("load_2002_long.csv", 3, hour(1, 30), hour(2, 30), 0),
+        ("load_2003_long.csv", 0, None, None, 0),
     ]
 
 
-def test_same_header_shortcut_gives_the_same(spark, tmp_path):
-    for year in (2001, 2002):
-        write(tmp_path, f"l{year}.csv", f"datetime,load_mw\n{year}-01-01 00:00:00,1\n{year}-01-01 00:30:00,2\n")
-    pattern = str(tmp_path / "l*.csv")
-    rows = [sorted(map(tuple, files.read_load_long(spark, pattern, same_header=s).select("datetime", "load_mw", "file").collect())) for s in (True, False)]
-    assert rows[0] == rows[1] and len(rows[0]) == 4
+def test_columns_in_another_order_lose_no_row(spark, tmp_path):
+    write(tmp_path, "l2001.csv", "datetime,load_mw\n2001-01-01 00:00:00,1\n")
+    write(tmp_path, "l2002.csv", "load_mw,datetime\n2,2002-01-01 00:00:00\n")
+    rows = files.read_load_long(spark, str(tmp_path / "l*.csv")).select("datetime", "load_mw", "file").collect()
+    assert sorted(map(tuple, rows)) == [(datetime(2001, 1, 1), 1.0, "l2001.csv"), (datetime(2002, 1, 1), 2.0, "l2002.csv")]
+
+
+def test_only_empty_files_are_an_error(spark, tmp_path):
+    with pytest.raises(ValueError, match="no file with a header"):
+        files.read_load_long(spark, write(tmp_path, "empty.csv", ""))
 
 
 def test_missing_files_and_columns(spark, tmp_path):

@@ -31,6 +31,10 @@ def test_hours(spark):
     assert one(spark, X.hour_interval("v", 2), cells, "array<string>") == "11:00-12:00"
     assert one(spark, X.hour_interval("v", 0), cells, "array<string>") == " 9:00 – 10:00"
     assert one(spark, X.hour_interval("v", 7), ["x"], "array<string>") is None
+    for blank in "\u00a0\u202f\u2009\x1c":
+        cell = f"{blank}9:00{blank}-{blank}10:00{blank}"
+        assert one(spark, X.hour_interval("v", 0), [cell], "array<string>") == cell
+        assert one(spark, X.interval_start_minutes("v"), cell) == 540
     assert one(spark, X.interval_start_minutes("v"), "9:30-10:00") == 570
     assert one(spark, X.interval_start_minutes("v"), "24:00-25:00") is None
 
