@@ -33,32 +33,45 @@ RENEWABLE_TYPES = ("SOLAR", "WIND")
 DATES = ("start_date", "end_date", "updated_date")
 
 
+PLACE = ("_row", "_block", "_value")
+
+
+def _values(df: DataFrame, blocks: str, *of_block: str) -> DataFrame:
+    """Every value of every block as ``v`` with fields of its block, and its place in scan order."""
+    rows = df.select(F.monotonically_increasing_id().alias("_row"), F.posexplode(blocks).alias("_block", "b"))
+    return rows.select("_row", "_block", "b.*").select("_row", "_block", *of_block, F.posexplode("values").alias("_value", "v"))
+
+
+def _flat_load(df: DataFrame, only_type: str | None) -> DataFrame:
+    values = _values(df, "short_term", "type")
+    if only_type:
+        values = values.where(F.col("type") == only_type)
+    return values.select(*[F.col(f"v.{d}").alias(d) for d in DATES], F.col("v.value").alias("consumption_mw"), *PLACE)
+
+
+def _flat_mix(df: DataFrame) -> DataFrame:
+    values = _values(df, "generation_mix_15min_time_scale", "production_type", "production_subtype")
+    return values.select("production_type", "production_subtype", *[F.col(f"v.{d}").alias(d) for d in DATES], F.col("v.value").alias("value_mw"), *PLACE)
+
+
+def _flat_capacity(df: DataFrame) -> DataFrame:
+    values = _values(df, "capacities_per_production_type")
+    dates = [F.col(f"v.{d}").alias(d) for d in DATES]
+    return values.select(F.col("v.type").alias("production_type"), *dates, F.col("v.value").alias("installed_capacity_mw"), *PLACE)
+
+
 def flatten_load(df: DataFrame, only_type: str | None = REALISED) -> DataFrame:
     """start_date, end_date, updated_date, consumption_mw; only measured blocks unless told otherwise."""
-    blocks = df.select(F.explode("short_term").alias("b"))
-    if only_type:
-        blocks = blocks.where(F.col("b.type") == only_type)
-    values = blocks.select(F.explode("b.values").alias("v"))
-    return values.select(*[F.col(f"v.{d}").alias(d) for d in DATES], F.col("v.value").alias("consumption_mw"))
+    return _flat_load(df, only_type).drop(*PLACE)
 
 
 def flatten_mix(df: DataFrame) -> DataFrame:
     """Type and subtype of the block on every value of it."""
-    blocks = df.select(F.explode("generation_mix_15min_time_scale").alias("b"))
-    values = blocks.select("b.production_type", "b.production_subtype", F.explode("b.values").alias("v"))
-    return values.select(
-        "production_type", "production_subtype", *[F.col(f"v.{d}").alias(d) for d in DATES], F.col("v.value").alias("value_mw")
-    )
+    return _flat_mix(df).drop(*PLACE)
 
 
 def flatten_capacity(df: DataFrame) -> DataFrame:
-    blocks = df.select(F.explode("capacities_per_production_type").alias("b"))
-    values = blocks.select(F.explode("b.values").alias("v"))
-    return values.select(
-        F.col("v.type").alias("production_type"),
-        *[F.col(f"v.{d}").alias(d) for d in DATES],
-        F.col("v.value").alias("installed_capacity_mw"),
-    )
+    return _flat_capacity(df).drop(*PLACE)
 
 
 def expand_hourly(df: DataFrame, variables: tuple[str, ...] = WEATHER, entity: str = "city") -> DataFrame:
@@ -77,17 +90,22 @@ def to_utc(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: utc_from_iso(c) for c in columns or DATES})
 
 
+def _latest(flat: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """The latest update of each key; of equal updates the one that was read last."""
+    return keep_last(to_utc(flat), key, ["updated_date", *PLACE]).drop(*PLACE)
+
+
 def load_table(payloads: DataFrame) -> DataFrame:
     """Measured load in UTC, one row per interval, the latest update of it."""
-    return keep_last(to_utc(flatten_load(payloads)), INTERVAL_KEY, ["updated_date", "consumption_mw"])
+    return _latest(_flat_load(payloads, REALISED), INTERVAL_KEY)
 
 
 def mix_table(payloads: DataFrame, types: tuple[str, ...] | None = RENEWABLE_TYPES) -> DataFrame:
     """Generation in UTC of the given types, the latest update per type and interval."""
-    flat = to_utc(flatten_mix(payloads))
+    flat = _flat_mix(payloads)
     kept = flat if types is None else flat.where(F.col("production_type").isin(*types))
-    return keep_last(kept, MIX_KEY, ["updated_date", "value_mw"])
+    return _latest(kept, MIX_KEY)
 
 
 def capacity_table(payloads: DataFrame) -> DataFrame:
-    return keep_last(to_utc(flatten_capacity(payloads)), CAPACITY_KEY, ["updated_date", "installed_capacity_mw"])
+    return _latest(_flat_capacity(payloads), CAPACITY_KEY)

@@ -28,6 +28,7 @@ from loadweave.session import stage
 from loadweave.sources.payloads import LOAD_PAYLOAD, flatten_load
 
 KEEP_DAYS = 10
+KEEP_MANIFESTS = 5
 MANIFEST_SCHEMA = "day date, version bigint, cutoff timestamp_ntz"
 HISTORY_SCHEMA = "datetime timestamp_ntz, load_mw double"
 
@@ -109,6 +110,34 @@ def merge_batch(payloads: DataFrame, root: str, version: int, as_of: str, keep_d
     versions = {**(base.days if base else {}), **{day: version for day in days}}
     kept = [(day, v, cutoff) for day, v in sorted(versions.items()) if cutoff is None or day >= cutoff.date()]
     spark.createDataFrame(kept, MANIFEST_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{root}/manifest/{version}")
+    expire_versions(spark, root)
+
+
+def expire_versions(spark: SparkSession, root: str, keep: int = KEEP_MANIFESTS) -> None:
+    """Removes all manifests but the newest, and data versions that none of those names.
+
+    Versions from the oldest kept manifest on stay, so a batch in the making, a
+    repeated batch and readers of a recent version find what they need.
+    """
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    files = folder(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def numbered(name: str) -> list[int]:
+        at = folder(f"{root}/{name}")
+        names = [s.getPath().getName() for s in files.listStatus(at)] if files.exists(at) else []
+        return sorted(int(n) for n in names if n.isdigit())
+
+    manifests = numbered("manifest")
+    kept = manifests[-keep:]
+    if len(manifests) <= keep:
+        return
+    rows = spark.read.schema(MANIFEST_SCHEMA).parquet(*[f"{root}/manifest/{v}" for v in kept])
+    named = {r[0] for r in rows.select("version").distinct().collect()}
+    for version in manifests[:-keep]:
+        files.delete(folder(f"{root}/manifest/{version}"), True)
+    for version in numbered("data"):
+        if version < kept[0] and version not in named:
+            files.delete(folder(f"{root}/data/{version}"), True)
 
 
 def follow_history(

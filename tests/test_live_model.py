@@ -210,3 +210,15 @@ def test_a_batch_rewrites_only_its_days(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "h" / "data" / "2").glob("day=*")) == ["day=2024-01-05", "day=2024-01-06"]
     got = rows(read_current(spark, root))
     assert [v for _, v in got] == [float(i) if i < 238 else i + 0.5 for i in range(250)]
+
+
+def test_old_versions_expire(spark, tmp_path):
+    root = str(tmp_path / "h")
+    for version in range(18):
+        merge_batch(parsed(spark, document(48 * version, 48 * version + 50)), root, version, (START + timedelta(days=version)).isoformat())
+    names = lambda part: sorted(int(p.name) for p in (tmp_path / "h" / part).glob("[0-9]*"))
+    assert names("manifest") == [13, 14, 15, 16, 17]
+    # The oldest kept manifest reaches ten days back.
+    assert names("data") == list(range(3, 18))
+    cutoff = START + timedelta(days=7)
+    assert rows(read_current(spark, root)) == [(t, float(i)) for i in range(48 * 17 + 50) if (t := START + timedelta(minutes=30 * i)) > cutoff]

@@ -228,3 +228,10 @@ def test_hourly_payload(spark, step, count):
     assert [r["cloud_cover"] for r in rows] == values and {r["city"] for r in rows} == {"Paris"}
     assert rows[0]["datetime"] == datetime(2024, 3, 31, 1)
     assert (rows[1]["datetime"] - rows[0]["datetime"]).total_seconds() == step
+
+
+def test_of_equal_updates_the_last_read_counts(spark):
+    value = lambda v, update="2024-01-02T00:00:00Z": {"start_date": "2024-01-01T00:00:00Z", "end_date": "2024-01-01T01:00:00Z", "updated_date": update, "value": v}
+    pages = [{"short_term": [{"type": "REALISED", "values": [value(9.0), value(5.0)]}, {"type": "REALISED", "values": [value(7.0), value(3.0), value(99.0, "2024-01-01T00:00:00Z")]}]}]
+    df = spark.createDataFrame([(json.dumps(p),) for p in pages], "j string").select(F.from_json("j", payloads.LOAD_PAYLOAD).alias("p")).select("p.*")
+    assert [r["consumption_mw"] for r in payloads.load_table(df).collect()] == [3.0]
