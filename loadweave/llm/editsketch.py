@@ -234,3 +234,87 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
 
 _ARROW = pa.schema([("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+
+
+BANDS, PICKS, AMONG = 24, 6, 64
+
+
+def band_keys(fingerprint: str) -> list[int]:
+    """Keys of the bands of a fingerprint at its own level and the next coarser one.
+
+    A band is the digits at PICKS of the first AMONG places, the same for all
+    texts. Texts whose walks are of similar length share one level at least.
+    """
+    own = int(fingerprint[:2])
+    keys = []
+    for level in (own, own + 1):
+        digits = _at_level(fingerprint, level)
+        for band in range(BANDS):
+            picks = np.random.Generator(np.random.PCG64(band)).choice(AMONG, PICKS, replace=False)
+            picks = np.sort(picks[picks < len(digits)])
+            key = np.array([level * BANDS + band + 1], np.uint64)
+            for p in picks.tolist():
+                key = mix(key * U(0x9E3779B97F4A7C15) + U(int(digits[p]) * AMONG + p))
+            keys.append(int(key.view(np.int64)[0]))
+    return keys
+
+
+def edit_distance(a: str, b: str, most: int) -> int | None:
+    """The edit distance if it is at most `most`, else None; time and memory of a diagonal band of that width."""
+    if abs(len(a) - len(b)) > most:
+        return None
+    x, y = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32) for s in (a, b))
+    width, far = 2 * most + 1, len(a) + len(b) + 1
+    # Cell d of the row of i characters of a: the distance to i + d - most characters of b.
+    shift = np.arange(width) - most
+    row = np.where((shift >= 0) & (shift <= len(y)), shift, far)
+    for i in range(1, len(x) + 1):
+        j = i + shift
+        inside = (j >= 1) & (j <= len(y))
+        same = np.full(width, False)
+        same[inside] = y[j[inside] - 1] == x[i - 1]
+        best = np.minimum(row + ~same, np.append(row[1:], far) + 1)
+        best = np.where(inside, best, np.where(j == 0, i, far))
+        # Insertions run along the row: each cell from the best one to its left.
+        row = np.minimum(np.minimum.accumulate(best - shift) + shift, far)
+        row = np.where((j >= 0) & (j <= len(y)), row, far)
+    found = int(row[len(y) - len(x) + most])
+    return found if found <= most else None
+
+
+def near_texts(queries: DataFrame, docs: DataFrame, most_share: float = 0.1, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """query, match, distance: for every query text the different texts within an edit distance of most_share of the longer one.
+
+    Texts are candidates if they share a band of their fingerprints; the exact
+    distance decides. Equal texts are one text, named by its smallest key, on
+    both sides. Null texts and keys are left out. Queries are a stated part of
+    the documents, not all of them.
+    """
+
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        texts = df.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias(name), F.col(text).alias("text"))
+        firsts = stage(texts.groupBy(F.md5("text").alias("digest")).agg(F.min(name).alias(name)), "texts")
+        return texts.withColumn("digest", F.md5("text")).join(firsts, ["digest", name]).dropDuplicates(["digest"]).select(name, "digest", "text")
+
+    def bands(df: DataFrame, name: str) -> DataFrame:
+        schema = T.StructType([df.schema[name], T.StructField("digest", T.StringType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                prints = fingerprints(batch.column(2).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([band_keys(p) for p in prints], pa.list_(pa.int64()))], names=schema.fieldNames())
+
+        return df.mapInArrow(run, schema).select(F.col(name), F.col("digest").alias(f"{name}_digest"), F.explode("keys").alias("band"))
+
+    asked, held = keyed(queries, "query"), keyed(docs, "match")
+    pairs = bands(asked, "query").join(bands(held, "match"), "band").filter("query_digest <> match_digest").select("query", "match").distinct()
+    joined = pairs.join(asked.select("query", F.col("text").alias("a")), "query").join(held.select("match", F.col("text").alias("b")), "match")
+    schema = T.StructType([pairs.schema["query"], pairs.schema["match"], T.StructField("distance", T.LongType())])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [edit_distance(a, b, int(most_share * max(len(a), len(b)))) for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            result = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.int64())], names=schema.fieldNames())
+            yield result.filter(result.column(2).is_valid())
+
+    return joined.select("query", "match", "a", "b").mapInArrow(verify, schema)

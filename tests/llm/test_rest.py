@@ -200,3 +200,53 @@ def test_fisher_yates_is_uniform_and_repeatable():
     assert sharding.fisher_yates(50, (1, 2)).tolist() == sharding.fisher_yates(50, (1, 2)).tolist()
     firsts = np.bincount([sharding.fisher_yates(5, (1, s))[0] for s in range(5000)], minlength=5)
     assert abs(firsts - 1000).max() < 130
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j - 1] + (x != y), before[j] + 1, row[-1] + 1))
+    return row[-1]
+
+
+def edited(rng, text, edits):
+    for _ in range(edits):
+        at = rng.randrange(len(text) + 1)
+        text = rng.choice([text[:at] + "q" + text[at:], text[:at] + text[at + 1 :], text[:at] + "z" + text[at + 1 :]])
+    return text
+
+
+def test_edit_distance():
+    rng = random.Random(8)
+    for _ in range(200):
+        a = "".join(rng.choice("abé") for _ in range(rng.randint(0, 12)))
+        b = rng.choice([edited(rng, a, rng.randint(0, 4)), "".join(rng.choice("abé") for _ in range(rng.randint(0, 12)))])
+        most = rng.randint(0, 12)
+        wanted = plain_distance(a, b)
+        assert editsketch.edit_distance(a, b, most) == (wanted if wanted <= most else None)
+
+
+def test_near_texts(spark):
+    rng = random.Random(10)
+    bases = ["".join(rng.choice("abcdefgh ijklmnop") for _ in range(n)) for n in (60, 150, 400, 900, 1500) for _ in range(4)]
+    texts = [t for b in bases for t in (b, edited(rng, b, max(1, len(b) // 60)), edited(rng, b, 1), b)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {(r.query, r.match): r.distance for r in editsketch.near_texts(docs.filter("doc_id % 2 = 0"), docs).collect()}
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(t, i)
+    wanted = {}
+    asked = {}
+    for i in range(0, len(texts), 2):
+        if texts[i] is not None:
+            asked.setdefault(texts[i], i)
+    for a, i in asked.items():
+        for b, j in first.items():
+            if b is not None and a != b and abs(len(a) - len(b)) <= 0.1 * max(len(a), len(b)):
+                d = editsketch.edit_distance(a, b, int(0.1 * max(len(a), len(b))))
+                if d is not None:
+                    wanted[i, j] = d
+    assert found.items() <= wanted.items()
+    assert len(found) >= 0.9 * len(wanted) > 40
