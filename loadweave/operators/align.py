@@ -123,10 +123,10 @@ def nearest_join(
     lookup_at = F.col("known")
     between_known = carried(cut, "t", last={"below": lookup_at}, first={"above": lookup_at}).drop(PIECE)
     nearer = F.when(F.col("above").isNull() | (F.col("t") - F.col("below") <= F.col("above") - F.col("t")), F.col("below"))
-    match = between_known.where("wanted").select(F.col("t").alias(target_time), nearer.otherwise(F.col("above")).alias("_match"))
-    matched = targets.join(match, target_time, "left")
-    rows = lookup.withColumn("_match", F.col(lookup_time))
-    return matched.join(rows, "_match", "left").select(*targets.columns, *lookup.columns)
+    match = between_known.where("wanted").select(F.col("t").alias("_t"), nearer.otherwise(F.col("above")).alias("_match"))
+    # The lookup rows meet the distinct times first, so the targets are joined once, on their own times.
+    rows = match.join(lookup.withColumn("_match", F.col(lookup_time)), "_match").drop("_match")
+    return targets.join(rows, F.col(target_time) == F.col("_t"), "left").select(*targets.columns, *lookup.columns)
 
 
 def latest_row(df: DataFrame, time: str, series: Sequence[str] = ()) -> DataFrame:

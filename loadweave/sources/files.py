@@ -26,6 +26,7 @@ from loadweave.functions.schema import (
 from loadweave.functions.text import decimal_comma, number, strip
 from loadweave.functions.timeutil import parse_years, utc_from_iso
 from loadweave.operators.align import union_all
+from loadweave.session import stage
 
 FILE_ORDER = ("file", "_block", "_id")
 # Canonical stem of the yearly load files and the order of preference.
@@ -34,18 +35,16 @@ WIDE_SUFFIXES = ("parquet", "csv", "xlsx", "xls")
 CAPACITY_HEADER = r"^Type;(\d{4})$"
 
 
-def header_groups(spark: SparkSession, paths: str | list[str]) -> list[tuple[list[str], list[str]]]:
-    """(column names, files) for each distinct header line, by first file name."""
+def raw_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Every line of the files and its place, scanned once: value, path, file, _block, _id."""
     lines = spark.read.text(paths).select(
         "value",
         F.col("_metadata.file_path").alias("path"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("id"),
+        F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_id"),
     )
-    heads = lines.where("block = 0").groupBy("path").agg(F.min_by("value", "id").alias("head"))
-    groups = heads.groupBy("head").agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()  # file names only
-    parsed = [(next(csv.reader([g["head"].lstrip("\ufeff")])), [unquote(p) for p in g["paths"]]) for g in groups if g["head"]]
-    return sorted(parsed, key=lambda group: group[1][0])
+    return stage(lines, "lines")
 
 
 def file_names(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -55,20 +54,25 @@ def file_names(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_csv_by_header(spark: SparkSession, paths: str | list[str]) -> list[DataFrame]:
-    """One DataFrame of text columns per distinct header, names repaired; an error if no file has a header."""
-    groups = header_groups(spark, paths)
-    if not groups:
+    """One DataFrame of text columns per distinct header, names repaired; an error if no file has a header.
+
+    The text is scanned once. The first line of each file is found on the stored
+    lines and joined back to them by file; only the distinct headers reach the
+    driver.
+    """
+    lines = raw_lines(spark, paths)
+    first = lines.where("_block = 0").groupBy("path").agg(F.min_by("value", "_id").alias("head"), F.min("_id").alias("_first"))
+    first = stage(first.where("head <> ''"), "headers")
+    heads = sorted((r["path"], r["head"]) for r in first.groupBy("head").agg(F.min("path").alias("path")).collect())
+    if not heads:
         raise ValueError(f"no file with a header in {paths}")
+    body = lines.where(F.trim("value") != "")
     frames = []
-    for names, files in groups:
+    for _, head in heads:
+        names = next(csv.reader([head.lstrip("\ufeff")]))
+        own = body.join(first.where(F.col("head") == head).select("path", "_first"), "path").where("_id <> _first")
         schema = ", ".join(f"_c{i} string" for i in range(len(names)))
-        raw = spark.read.schema(schema).option("header", True).csv(files)
-        placed = raw.select(
-            "*",
-            F.col("_metadata.file_name").alias("file"),
-            F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_id"),
-        )
+        placed = own.select(F.from_csv("value", schema).alias("r"), *FILE_ORDER).select("r.*", *FILE_ORDER)
         frames.append(first_of_each_name(normalise_names(placed.toDF(*names, *FILE_ORDER))))
     return frames
 
