@@ -69,6 +69,19 @@ def timestamp_parse(spark, folder):
     return table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", T.parse_day(text).alias("day"))
 
 
+@query(
+    "timestamp_formats",
+    """SELECT event_id, CASE event_type WHEN 'error' THEN NULL WHEN 'click' THEN date_trunc('minute', ts) WHEN 'view' THEN date_trunc('second', ts) ELSE ts END AS datetime
+       FROM events""",
+)
+def timestamp_formats(spark, folder):
+    """Times as ISO text, in two other formats, and as text that is no time."""
+    kind = F.col("event_type")
+    text = F.when(kind == "error", "n.c.").when(kind == "click", F.date_format("ts", "yyyy/M/d H:mm")).when(kind == "view", F.date_format("ts", "d.M.yyyy HH:mm:ss"))
+    text = text.otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    return table(spark, folder, "events").select("event_id", T.utc_from_text(text, ["yyyy/M/d H:mm", "d.M.yyyy HH:mm:ss"]).alias("datetime"))
+
+
 @query(
     "drop_null_keys",
     """SELECT event_id, city, datetime FROM (

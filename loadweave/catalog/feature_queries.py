@@ -24,7 +24,7 @@ from loadweave.operators.features import (
     live_features,
     ordered_features,
 )
-from loadweave.plans.model import backtest_report, score, score_requests, train, walk_forward
+from loadweave.plans.model import BoostingParams, backtest_report, score, score_requests, train, walk_forward
 from loadweave.session import scratch_path, stage
 
 # Which event types lack which features in the feature maps below.
@@ -129,6 +129,7 @@ def cold_start_query(spark, folder):
 
 
 HORIZON = 24
+PARAMS = BoostingParams()  # as declared: 500 trees
 _STORED: dict[tuple[str, str], str] = {}
 
 
@@ -143,7 +144,7 @@ def stored_model(spark, folder) -> PipelineModel:
     key = (spark.sparkContext.applicationId, folder)
     if key not in _STORED:
         path = scratch_path(spark, "model")
-        train(stage(forecast_rows(spark, folder), "features"), label="target").write().overwrite().save(path)
+        train(stage(forecast_rows(spark, folder), "features"), label="target", params=PARAMS).write().overwrite().save(path)
         _STORED[key] = path
     return PipelineModel.load(_STORED[key])
 
@@ -208,7 +209,7 @@ def train_and_score_generation(spark, folder):
         rows = horizon_features(rows, "datetime", label, HORIZON).drop(label).withColumnRenamed("target", label)
     result = stage(rows, "generation")
     for label, features in (("wind_mw", WIND_FEATURES), ("solar_mw", SOLAR_FEATURES)):
-        model = train(result, features, label)
+        model = train(result, features, label, PARAMS)
         result = score(model, result, features).withColumn(label.replace("mw", "scored"), F.col("prediction").isNotNull()).drop("prediction", "filled")
     return result.select("datetime", "wind_mw", "solar_mw", "wind_scored", "solar_scored")
 
@@ -225,7 +226,7 @@ BACKTEST_FOLDS = ("2024-01-28",)
 )
 def walk_forward_backtest(spark, folder):
     """Each fold is forecast by a model of the days before it; one row per day."""
-    forecasts = walk_forward(forecast_rows(spark, folder), "datetime", "target", BACKTEST_FOLDS, horizon_hours=HORIZON)
+    forecasts = walk_forward(forecast_rows(spark, folder), "datetime", "target", BACKTEST_FOLDS, horizon_hours=HORIZON, params=PARAMS)
     daily, _ = backtest_report(forecasts)
     measured = F.col("daily_mape_pct").isNotNull() & F.col("daily_mae_mw").isNotNull() & F.col("daily_rmse_mw").isNotNull()
     return daily.select("day", "n", measured.alias("measured"))

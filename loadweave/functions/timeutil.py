@@ -6,6 +6,7 @@ any setting of ``spark.sql.session.timeZone``.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -51,8 +52,17 @@ def epoch_seconds(t: Column | str) -> Column:
 
 
 def parse_timestamp(text: Column | str, fmt: str = "d/M/yyyy") -> Column:
-    """Naive timestamp in a fixed format; what does not parse becomes null."""
-    return F.try_to_timestamp(F.trim(col(text)), F.lit(fmt)).cast("timestamp_ntz")
+    """Naive timestamp in a fixed format; what does not parse becomes null.
+
+    Read as if at offset zero, so that no session time zone has gaps in it.
+    """
+    zoned = F.concat(F.trim(col(text)), F.lit(" +00:00"))
+    return naive_utc(F.try_to_timestamp(zoned, F.lit(f"{fmt} xxx")))
+
+
+def utc_from_text(text: Column | str, formats: Sequence[str] = ()) -> Column:
+    """ISO text as in utc_from_iso, else the first of the given formats (of UTC times) that fits; null if none."""
+    return F.coalesce(utc_from_iso(text), *[parse_timestamp(text, f) for f in formats])
 
 
 def parse_day(text: Column | str) -> Column:

@@ -9,6 +9,7 @@ three gives file order, then row order, however the scan was split.
 from __future__ import annotations
 
 import csv
+from collections.abc import Sequence
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,7 @@ from loadweave.functions.schema import (
     require_columns,
 )
 from loadweave.functions.text import decimal_comma, number, strip
-from loadweave.functions.timeutil import parse_years, utc_from_iso
+from loadweave.functions.timeutil import parse_years, utc_from_text
 from loadweave.operators.align import union_all
 from loadweave.session import stage
 
@@ -77,37 +78,46 @@ def read_csv_by_header(spark: SparkSession, paths: str | list[str]) -> list[Data
     return frames
 
 
-def clean_load(df: DataFrame) -> DataFrame:
-    """datetime, load_mw and the place of the row; rows without a valid time drop out."""
+def clean_load(df: DataFrame, formats: Sequence[str] = ()) -> DataFrame:
+    """datetime, load_mw and the place of the row; rows without a valid time drop out (see untimed_rows)."""
     require_columns(df, "datetime")
-    timed = drop_null_keys(df.withColumn("datetime", utc_from_iso("datetime")), "datetime")
+    timed = drop_null_keys(df.withColumn("datetime", utc_from_text("datetime", formats)), "datetime")
     place = [c for c in FILE_ORDER if c in df.columns]
     value = alias_load(drop_if_present(timed, "statut", "slot_index", "date", "year").withColumnsRenamed({c: f"_p_{c}" for c in place}))
     return value.select("datetime", "load_mw", *[F.col(f"_p_{c}").alias(c) for c in place])
 
 
-def read_load_long(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Long load files in UTC: datetime, load_mw, file, _block, _id. Raises if there is no file."""
-    return union_all(*[clean_load(frame) for frame in read_csv_by_header(spark, paths)])
+def untimed_rows(df: DataFrame, column: str, formats: Sequence[str] = ()) -> DataFrame:
+    """file, dropped: how many rows of each file have a time text that is read as no time, or none at all."""
+    lost = utc_from_text(column, formats).isNull().cast("long")
+    return df.groupBy("file").agg(F.sum(lost).alias("dropped"))
 
 
-def clean_weather(df: DataFrame) -> DataFrame:
+def read_load_long(spark: SparkSession, paths: str | list[str], formats: Sequence[str] = ()) -> DataFrame:
+    """Long load files in UTC: datetime, load_mw, file, _block, _id. Raises if there is no file.
+
+    formats: of times that are not ISO text, tried in order.
+    """
+    return union_all(*[clean_load(frame, formats) for frame in read_csv_by_header(spark, paths)])
+
+
+def clean_weather(df: DataFrame, formats: Sequence[str] = ()) -> DataFrame:
     """Named, timed and trimmed city weather; rows without city or time drop out."""
     named = require_columns(normalise_names(df), "city", ("datetime", "date"))
     source = "datetime" if "datetime" in named.columns else "date"
     kind = dict(named.dtypes)[source]
-    time = utc_from_iso(source) if kind == "string" else F.col(source).cast("timestamp_ntz")
+    time = utc_from_text(source, formats) if kind == "string" else F.col(source).cast("timestamp_ntz")
     timed = drop_if_present(named.withColumn("datetime", time), "date")
     return drop_null_keys(timed, "city", "datetime").withColumn("city", strip("city"))
 
 
-def read_weather(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_weather(spark: SparkSession, paths: str | list[str], formats: Sequence[str] = ()) -> DataFrame:
     """City weather files, united by column name; numeric text becomes double.
 
     The time column is found file by file, so files that call it ``date`` and
     files that call it ``datetime`` can be read together.
     """
-    frames = [clean_weather(frame) for frame in read_csv_by_header(spark, paths)]
+    frames = [clean_weather(frame, formats) for frame in read_csv_by_header(spark, paths)]
     return cast_numeric_texts(union_all(*frames), exclude=("city", "file"))
 
 

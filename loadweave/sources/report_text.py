@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loadweave.functions.text import strip, unquote
 from loadweave.operators.longseries import number_rows
+from loadweave.session import stage
 
 # The 27 characters that windows-1252 assigns in 0x80-0x9F, the
 # code points ISO-8859-1 has there, and the five bytes windows-1252 leaves open.
@@ -37,7 +38,9 @@ def read_report_lines(spark: SparkSession, paths: str | list[str], pad: bool = F
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_id"),
     )
-    return split_lines(number_lines(decode_lines(scanned)), pad)
+    # The raw text is scanned once; facts about whole files come from the stored lines.
+    decoded = stage(decode_lines(stage(scanned, "report")), "report-text")
+    return split_lines(number_lines(decoded), pad)
 
 
 def decode_lines(scanned: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ from pathlib import Path
 
 import pytest
 
-from loadweave.catalog import REGISTRY
+from loadweave.catalog import REGISTRY, feature_queries
+from loadweave.plans.model import BoostingParams
 from tests.compare import differences, open_tables
 
 FOLDER = "/root/testdata/sf0.01"
@@ -12,6 +13,12 @@ FOLDER = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="test tables are not here")
 
 
+@pytest.fixture(autouse=True)
+def few_trees(monkeypatch):
+    """What SQL can check does not depend on the number of trees; test_live_model checks accuracy."""
+    monkeypatch.setattr(feature_queries, "PARAMS", BoostingParams(trees=3))
+
+
 @pytest.fixture(scope="module")
 def tables():
     con = open_tables(FOLDER)

@@ -235,3 +235,13 @@ def test_of_equal_updates_the_last_read_counts(spark):
     pages = [{"short_term": [{"type": "REALISED", "values": [value(9.0), value(5.0)]}, {"type": "REALISED", "values": [value(7.0), value(3.0), value(99.0, "2024-01-01T00:00:00Z")]}]}]
     df = spark.createDataFrame([(json.dumps(p),) for p in pages], "j string").select(F.from_json("j", payloads.LOAD_PAYLOAD).alias("p")).select("p.*")
     assert [r["consumption_mw"] for r in payloads.load_table(df).collect()] == [3.0]
+
+
+def test_other_time_formats_and_dropped_rows(spark, tmp_path):
+    write(tmp_path, "l1.csv", "datetime,load_mw\n2024/1/1 0:30,1\n2024-01-01 01:00:00,2\nx,3\n,4\n")
+    path = str(tmp_path / "l*.csv")
+    rows = files.read_load_long(spark, path, formats=["yyyy/M/d H:mm"]).select("datetime", "load_mw").collect()
+    assert sorted(map(tuple, rows)) == [(datetime(2024, 1, 1, 0, 30), 1.0), (datetime(2024, 1, 1, 1), 2.0)]
+    [frame] = files.read_csv_by_header(spark, path)
+    assert [tuple(r) for r in files.untimed_rows(frame, "datetime").collect()] == [("l1.csv", 3)]
+    assert [tuple(r) for r in files.untimed_rows(frame, "datetime", ["yyyy/M/d H:mm"]).collect()] == [("l1.csv", 2)]

@@ -98,3 +98,11 @@ def test_range_filter_reaches_the_scan(spark, tmp_path):
     ntz(spark, ["2024-01-01 00:00:00"]).write.parquet(path)
     plan = T.last_days(spark.read.parquet(path), "t", "2024-01-02 00:00:00")._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(t" in plan and "LessThan(t" in plan
+
+
+def test_given_formats_are_tried_after_iso_text(spark, any_zone):
+    texts = ["2024-03-31T02:30:00+02:00", "2024/3/31 2:30", "31.03.2024 02:30", "2024-3-1 0:30", "bad", None, "2024/13/01 00:00"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, s string")
+    got = {r.i: r.t for r in df.select("i", T.utc_from_text("s", ["yyyy/M/d H:mm", "d.M.yyyy H:mm", "yyyy-M-d H:mm"]).alias("t")).collect()}
+    local = datetime(2024, 3, 31, 2, 30)
+    assert got == {0: datetime(2024, 3, 31, 0, 30), 1: local, 2: local, 3: datetime(2024, 3, 1, 0, 30), 4: None, 5: None, 6: None}
