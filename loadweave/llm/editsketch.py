@@ -59,8 +59,11 @@ def places(level: int, below: int) -> np.ndarray:
     end, held = _LEVELS.get(level, (0, np.zeros(0, np.int64)))
     if end < below:
         end = max(below, SAMPLES << level)
-        steps = np.arange(end, dtype=np.uint64)
-        held = np.flatnonzero(mix(steps + U(0x51ED270B)) & U((1 << level) - 1) == 0)
+        parts = []
+        for low in range(0, end, 1 << 20):
+            steps = np.arange(low, min(low + (1 << 20), end), dtype=np.uint64)
+            parts.append(low + np.flatnonzero(mix(steps + U(0x51ED270B)) & U((1 << level) - 1) == 0))
+        held = np.concatenate(parts)
         _LEVELS[level] = (end, held)
     return held[: np.searchsorted(held, below)]
 
@@ -216,7 +219,8 @@ def compare_with_next(docs: DataFrame, key: str = "doc_id", text: str = "text")
         if held is not None:
             yield table(PENDING, part, held[0], [held[1]], [])
 
-    sorted_ = docs.select(key, text).repartitionByRange(key, text).sortWithinPartitions(key, text)
+    # Ranges of the key alone: the bounds are sampled, and samples go through the driver.
+    sorted_ = docs.select(key, text).repartitionByRange(key).sortWithinPartitions(key, text)
     found = stage(sorted_.mapInArrow(run, schema), "compared")
     parts = sorted(r[0] for r in found.filter(F.col("kind") == HEAD).select("part").collect())
     after = spark.createDataFrame(list(zip(parts, parts[1:] + parts[:1])), "part int, next_part int")
