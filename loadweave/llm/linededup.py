@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loadweave.session import stage
+
 MIN_WORDS = 5
 
 
@@ -64,6 +66,8 @@ def remove_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "tex
     kept = docs.drop(removed)
     units = unit_digests(docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text")), min_words)
     first = units.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # Stored, so that the join below shuffles both sides anew and Spark can split a very common line.
+    first = stage(first, "repeated")
     elsewhere = units.filter("digest IS NOT NULL").join(first, "digest").filter("id > first").select("id", "unit")
     within = units.filter("digest IS NULL").select("id", "unit")
     drop = elsewhere.union(within).groupBy("id").agg(F.collect_set("unit").alias("_units"))
