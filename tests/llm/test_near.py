@@ -10,6 +10,7 @@ import pytest
 
 from loadweave.llm.components import components
 from loadweave.llm.dartminhash import near_duplicates, signatures
+from loadweave.llm.dartminhash import shared_counts as dartminhash_counts
 from loadweave.llm.pqindex import near_vectors
 from loadweave.llm.shingles import elements, similarities
 
@@ -118,6 +119,35 @@ def test_every_pair_of_a_bucket_counts(spark):
     assert {r.doc_id: r.class_id for r in found} == {i: groups.root(i) for i in range(len(texts))}
 
 
+def test_large_mixed_buckets_go_block_by_block(spark, monkeypatch):
+    """Chains of texts that each resemble only their neighbours, all in the same buckets."""
+    from loadweave.llm import dartminhash
+
+    monkeypatch.setattr(dartminhash, "BLOCK", 4)
+    rng = random.Random(12)
+    base = [f"u{i}" for i in range(120)]
+    texts = []
+    for step in range(25):
+        texts.append(" ".join(base))
+        for _ in range(rng.choice([1, 2, 4])):
+            base[rng.randrange(60, 120)] = f"n{step}{rng.random()}"
+    rng.shuffle(texts)
+    groups = Groups(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if similarity(texts[a], texts[b]) >= 0.8:
+                groups.link(a, b)
+    found = near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bands=48, rows=1).collect()
+    assert {r.doc_id: r.class_id for r in found} == {i: groups.root(i) for i in range(len(texts))}
+
+
+def test_shared_counts_are_intersections():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 9000, rng.integers(0, 3000))).astype(np.uint64) for _ in range(9)]
+    found = dartminhash_counts(sets[:4], sets[4:])
+    assert found.tolist() == [[len(np.intersect1d(a, b)) for b in sets[4:]] for a in sets[:4]]
+
+
 def test_odd_tables_of_documents(spark):
     schema = "doc_id long, text string"
     assert near_duplicates(spark.createDataFrame([], schema)).count() == 0
