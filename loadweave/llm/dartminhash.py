@@ -203,13 +203,14 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id"
     """
     docs = docs.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
     keyed = stage(band_keys(docs, "id", "text", bands, rows), "signatures")
-    classes = keyed.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("copy_of"))
+    # Stored, so that the join shuffles both sides anew and Spark can split a very common text.
+    classes = stage(keyed.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("copy_of")), "classes")
     members = keyed.select("id", "digest").join(classes, "digest", "left").groupBy("id").agg(F.min(F.coalesce("copy_of", "id")).alias("copy_of"))
     members = stage(members, "copies")
 
     nodes = keyed.filter(F.size("keys") > 0).join(members.filter("id = copy_of").select("id"), "id").select("id", F.explode("keys").alias("bucket")).distinct()
-    buckets = nodes.groupBy("bucket").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    entries = stage(nodes.join(buckets, "bucket"), "buckets")
+    buckets = stage(nodes.groupBy("bucket").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "buckets")
+    entries = stage(nodes.join(buckets, "bucket"), "entries")
     stars = stage(entries.filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
 
     texts = stage(_texts(docs, stars), "texts")
