@@ -97,6 +97,11 @@ def band_keys(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: i
     return docs.select(key, F.unhex(F.md5(text)).alias("digest"), text).mapInArrow(run, schema)
 
 
+def alike(df: DataFrame) -> DataFrame:
+    """For joins with texts: the same plan at every size, as both sides grow with the documents."""
+    return df.hint("merge")
+
+
 def similar_pairs(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of ids in texts (id, text) whose weighted similarity reaches the threshold."""
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
@@ -109,7 +114,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataF
                 part = batch.slice(i, j - i)
                 yield part.filter(pa.array(similarities(part.column(2), part.column(3)) >= threshold)).select(["a", "b"])
 
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+    joined = alike(pairs.join(alike(left), "a")).join(alike(right), "b").select("a", "b", "text_a", "text_b")
     return joined.mapInArrow(run, T.StructType([pairs.schema["a"], pairs.schema["b"]]))
 
 
@@ -157,7 +162,7 @@ def links_across(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFr
     Of the links between two components, one per pair of blocks is returned.
     """
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    sets = element_sets(texts.join(nodes.select("id").distinct(), "id"))
+    sets = element_sets(texts.join(alike(nodes.select("id").distinct()), "id"))
     blocked = nodes.withColumns({"part": F.pmod(F.xxhash64("id"), parts).cast("int"), "with": F.explode(F.sequence(F.lit(0), parts - 1))})
     blocked = blocked.select("bucket", "id", "component", "part", F.least("part", "with").alias("i"), F.greatest("part", "with").alias("j"))
     schema = T.StructType([T.StructField("a", nodes.schema["id"].dataType), T.StructField("b", nodes.schema["id"].dataType)])
@@ -178,7 +183,7 @@ def links_across(nodes: DataFrame, texts: DataFrame, threshold: float) -> DataFr
             found = np.column_stack([ids[p[one]], ids[q[one]]])
         return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
-    return blocked.join(sets, "id").groupBy("bucket", "i", "j").applyInArrow(meet, schema).distinct()
+    return blocked.join(alike(sets), "id").groupBy("bucket", "i", "j").applyInArrow(meet, schema).distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -232,4 +237,4 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id"
 def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The texts of the documents that pairs name."""
     named = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    return docs.join(named, "id").dropDuplicates(["id"])
+    return docs.join(alike(named), "id").dropDuplicates(["id"])
