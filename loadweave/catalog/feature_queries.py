@@ -24,7 +24,7 @@ from loadweave.operators.features import (
     live_features,
     ordered_features,
 )
-from loadweave.plans.model import BoostingParams, backtest_report, score, score_requests, train, walk_forward
+from loadweave.plans.model import BoostingParams, backtest_report, score, score_requests, train, train_each, walk_forward
 from loadweave.session import scratch_path, stage
 
 # Which event types lack which features in the feature maps below.
@@ -208,8 +208,8 @@ def train_and_score_generation(spark, folder):
     for label in ("wind_mw", "solar_mw"):
         rows = horizon_features(rows, "datetime", label, HORIZON).drop(label).withColumnRenamed("target", label)
     result = stage(rows, "generation")
-    for label, features in (("wind_mw", WIND_FEATURES), ("solar_mw", SOLAR_FEATURES)):
-        model = train(result, features, label, PARAMS)
+    wanted = [(WIND_FEATURES, "wind_mw"), (SOLAR_FEATURES, "solar_mw")]
+    for (features, label), model in zip(wanted, train_each(result, wanted, PARAMS)):
         result = score(model, result, features).withColumn(label.replace("mw", "scored"), F.col("prediction").isNotNull()).drop("prediction", "filled")
     return result.select("datetime", "wind_mw", "solar_mw", "wind_scored", "solar_scored")
 

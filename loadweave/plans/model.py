@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor
@@ -73,6 +75,12 @@ def train(
     return Pipeline(stages=[fill, *boosted_trees(features, label, params).getStages()]).fit(dealt)
 
 
+def train_each(df: DataFrame, models: Sequence[tuple[Sequence[str], str]], params: BoostingParams | None = None) -> list[PipelineModel]:
+    """One model per (features, label), fitted side by side: boosting is many short jobs that leave tasks free."""
+    with ThreadPool(len(models)) as pool:
+        return pool.starmap(inheritable_thread_target(df.sparkSession)(train), [(df, features, label, params) for features, label in models])
+
+
 def missing_values(features: Sequence[str]) -> Column:
     """How many of a row's features have no value."""
     return sum((finite(n).isNull().cast("int") for n in features), F.lit(0))
