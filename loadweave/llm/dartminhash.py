@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loadweave.llm.columns import U, mix, row_slices, text_bytes
+from loadweave.llm.columns import U, mix, releasing, row_slices, text_bytes
 from loadweave.llm.components import components
 from loadweave.llm.shingles import elements, similarities
 from loadweave.session import stage
@@ -94,7 +94,7 @@ def band_keys(docs: DataFrame, key: str = "doc_id", text: str = "text", bands: i
                 keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(folded[some].ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), keys], names=[key, "digest", "keys"])
 
-    return docs.select(key, F.unhex(F.md5(text)).alias("digest"), text).mapInArrow(run, schema)
+    return docs.select(key, F.unhex(F.md5(text)).alias("digest"), text).mapInArrow(releasing(run), schema)
 
 
 def alike(df: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataF
                 yield part.filter(pa.array(similarities(part.column(2), part.column(3)) >= threshold)).select(["a", "b"])
 
     joined = alike(pairs.join(alike(left), "a")).join(alike(right), "b").select("a", "b", "text_a", "text_b")
-    return joined.mapInArrow(run, T.StructType([pairs.schema["a"], pairs.schema["b"]]))
+    return joined.mapInArrow(releasing(run), T.StructType([pairs.schema["a"], pairs.schema["b"]]))
 
 
 def element_sets(texts: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def element_sets(texts: DataFrame) -> DataFrame:
                 sets = [np.sort(values[a:z]).tobytes() for a, z in zip(at, at[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sets, pa.binary())], names=["id", "elements"])
 
-    return texts.select("id", "text").mapInArrow(run, T.StructType([texts.schema["id"], T.StructField("elements", T.BinaryType())]))
+    return texts.select("id", "text").mapInArrow(releasing(run), T.StructType([texts.schema["id"], T.StructField("elements", T.BinaryType())]))
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loadweave.llm.columns import row_slices, text_bytes
+from loadweave.llm.columns import releasing, row_slices, text_bytes
 from loadweave.llm.pieces import LETTER, char_classes
 
 UNKNOWN = "und"
@@ -205,4 +205,4 @@ def predict(docs: DataFrame, model: Model, text: str = "text", language: str = "
                 chosen = names.take(pa.array(np.where(best < 0, len(model.languages), best)))
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, chosen, pa.array(confidence)], names=[*batch.schema.names, language, score])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(releasing(run), schema)

@@ -16,9 +16,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loadweave.llm.columns import releasing, row_slices, text_bytes
 from loadweave.session import stage
 
 MIN_WORDS = 5
+SLICE_BYTES = 4 << 20
+
+
+def sliced(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most SLICE_BYTES of text, one row at least."""
+    for batch in batches:
+        _, offsets = text_bytes(batch.column(batch.schema.get_field_index(text)))
+        for i, j in row_slices(offsets, SLICE_BYTES):
+            yield batch.slice(i, j - i)
 
 
 def _digest(line: str, min_words: int) -> bytes | None:
@@ -34,7 +44,7 @@ def unit_digests(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     schema = T.StructType([docs.schema["id"], T.StructField("unit", T.IntegerType()), T.StructField("digest", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, "text"):
             row, unit, digests = [], [], []
             for r, text in enumerate(batch.column(1)):
                 seen = set()
@@ -50,7 +60,7 @@ def unit_digests(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                     row, unit, digests = [], [], []
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(unit, pa.int32()), pa.array(digests, pa.binary())], names=["id", "unit", "digest"])
 
-    return docs.select("id", "text").mapInArrow(run, schema)
+    return docs.select("id", "text").mapInArrow(releasing(run), schema)
 
 
 def remove_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, removed: str = "removed") -> DataFrame:
@@ -76,7 +86,7 @@ def remove_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "tex
     schema = T.StructType([*kept.schema.fields, T.StructField(removed, span)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches, text):
             at = batch.schema.get_field_index(text)
             texts, spans = [], []
             for value, units in zip(batch.column(at), batch.column(batch.num_columns - 1)):
@@ -98,4 +108,4 @@ def remove_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "tex
             yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=[*batch.schema.names[:-1], removed])
 
     joined = kept.join(drop, kept[key] == drop["id"], "left").select(*[kept[c] for c in kept.columns], "_units")
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(releasing(cut), schema)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loadweave.llm.columns import hash_runs, row_slices, text_bytes
+from loadweave.llm.columns import hash_runs, releasing, row_slices, text_bytes
 
 SLICE_BYTES = 2 << 20
 UPPER, LOWER, DIGIT, BLANK, POINT, SIGN, INNER = range(7)
@@ -272,4 +272,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
                 p = np.where(np.diff(rows) > 0, p, model.prior)
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(p)], names=[*batch.schema.names, out])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(releasing(run), schema)

@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loadweave.llm.bpe import binary_rows
-from loadweave.llm.columns import row_slices, text_bytes
+from loadweave.llm.columns import releasing, row_slices, text_bytes
 from loadweave.llm.pieces import PieceIds
 from loadweave.session import stage
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 ROWS_PER_BUCKET = 100_000
 
 
@@ -231,7 +231,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id:
                 keys = batch.column(0).slice(i, j - i).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([keys, pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), binary_rows(ids, length)], names=[key, "piece", "start", "length", "ids"])
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text).mapInArrow(releasing(run), schema)
 
 
 def pack(pieces: DataFrame, capacity: int = 1024, length: str = "length", key: str = "doc_id") -> DataFrame:
@@ -271,4 +271,4 @@ def pack(pieces: DataFrame, capacity: int = 1024, length: str = "length", key: s
             columns = [batch.column(batch.schema.get_field_index(x)) for x in names[:-2]]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(offset)], names=names)
 
-    return ranked.mapInArrow(place, out)
+    return ranked.mapInArrow(releasing(place), out)
