@@ -8,6 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from loadweave.catalog.registry import HALF_HOUR_LOAD, HOURLY_WEATHER, VARIABLES, half_hour_load, hourly_weather, query, rounded, table
+from loadweave.functions.text import finite
 from loadweave.functions.timeutil import hour_floor, interval
 from loadweave.operators.features import (
     CYCLIC,
@@ -158,9 +159,19 @@ _FORECAST_SQL = f"""
 """
 
 
+def answered(name: str):
+    """Whether a stored prediction has a finite value.
+
+    Before it is stored, a prediction of Spark ML counts as never null: the
+    optimizer then drops the model from plans that only ask for a value.
+    """
+    return finite(name).isNotNull()
+
+
 def _forecast(scored):
     later = (F.col("datetime") + interval(hours=HORIZON)).alias("target_time")
-    return scored.select("datetime", later, F.round("target", 6).alias("target"), F.col("filled").cast("int").alias("filled"), F.col("prediction").isNotNull().alias("scored"))
+    kept = stage(scored.select("datetime", "target", "filled", "prediction"), "scored")
+    return kept.select("datetime", later, F.round("target", 6).alias("target"), F.col("filled").cast("int").alias("filled"), answered("prediction").alias("scored"))
 
 
 @query("train_and_score_load", _FORECAST_SQL.format(where=""))
@@ -174,7 +185,8 @@ def score_stored_model(spark, folder):
     """A model saved, loaded and applied to all feature rows."""
     load = stage(half_hour_load(spark, folder), "load")
     rows = feature_table(load, hourly_weather(spark, folder))
-    return score(stored_model(spark, folder), rows).select("datetime", F.col("prediction").isNotNull().alias("scored"))
+    scored = stage(score(stored_model(spark, folder), rows).select("datetime", "prediction"), "scored")
+    return scored.select("datetime", answered("prediction").alias("scored"))
 
 
 @query(
@@ -186,7 +198,8 @@ def score_stored_model(spark, folder):
 def score_requests_query(spark, folder):
     """Feature maps of all events, most of them incomplete or with a name too many."""
     result = score_requests(stored_model(spark, folder), _feature_maps(spark, folder))
-    return result.select("event_id", F.col("prediction").isNotNull().alias("scored"), F.size("missing_features").alias("missing"), F.size("extra_features").alias("extra"))
+    result = stage(result.select("event_id", "prediction", "missing_features", "extra_features"), "scored")
+    return result.select("event_id", answered("prediction").alias("scored"), F.size("missing_features").alias("missing"), F.size("extra_features").alias("extra"))
 
 
 @query(
@@ -210,8 +223,9 @@ def train_and_score_generation(spark, folder):
     result = stage(rows, "generation")
     wanted = [(WIND_FEATURES, "wind_mw"), (SOLAR_FEATURES, "solar_mw")]
     for (features, label), model in zip(wanted, train_each(result, wanted, PARAMS)):
-        result = score(model, result, features).withColumn(label.replace("mw", "scored"), F.col("prediction").isNotNull()).drop("prediction", "filled")
-    return result.select("datetime", "wind_mw", "solar_mw", "wind_scored", "solar_scored")
+        result = score(model, result, features).withColumnRenamed("prediction", label.replace("mw", "prediction")).drop("filled")
+    result = stage(result.select("datetime", "wind_mw", "solar_mw", "wind_prediction", "solar_prediction"), "scored")
+    return result.select("datetime", "wind_mw", "solar_mw", answered("wind_prediction").alias("wind_scored"), answered("solar_prediction").alias("solar_scored"))
 
 
 BACKTEST_FOLDS = ("2024-01-28",)

@@ -1,15 +1,19 @@
 import json
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
 
+from loadweave.catalog import REGISTRY, feature_queries
 from loadweave.operators.features import FEATURES, TARGET, WEATHER, feature_table, horizon_features, read_contract
 from loadweave.plans.model import BoostingParams, backtest_report, boosted_trees, score, score_requests, train, walk_forward
 from loadweave.sources.payloads import LOAD_PAYLOAD
 from loadweave.streaming.live import current_version, follow_history, follow_predictions, live_prediction, merge_batch, read_current
 
+TABLES = "/root/testdata/sf0.001"
 START = datetime(2024, 1, 1)
 NOW = "2024-01-21 00:00:00"
 
@@ -222,3 +226,21 @@ def test_old_versions_expire(spark, tmp_path):
     assert names("data") == list(range(3, 18))
     cutoff = START + timedelta(days=7)
     assert rows(read_current(spark, root)) == [(t, float(i)) for i in range(48 * 17 + 50) if (t := START + timedelta(minutes=30 * i)) > cutoff]
+
+
+@pytest.mark.skipif(not Path(TABLES).exists(), reason="test tables are not here")
+@pytest.mark.parametrize("name", ["train_and_score_load", "score_stored_model", "score_requests", "train_and_score_generation"])
+def test_queries_run_their_model(spark, monkeypatch, name):
+    """A model that fails stops the query; one without answers scores no row. Neither prediction can be null to the optimizer."""
+
+    def use(value):
+        model = PipelineModel([SQLTransformer(statement=f"SELECT *, {value} AS prediction FROM __THIS__")])
+        monkeypatch.setattr(feature_queries, "stored_model", lambda *_: model)
+        monkeypatch.setattr(feature_queries, "train_each", lambda *_: [model, model])
+        result = REGISTRY[name].run(spark, TABLES)
+        return [r[c] for r in result.collect() for c in result.columns if c.endswith("scored")]
+
+    with pytest.raises(Exception, match="the model ran"):
+        use("coalesce(CAST(raise_error('the model ran') AS DOUBLE), 0D)")
+    assert not any(use("CAST('NaN' AS DOUBLE)"))
+    assert any(use("1D"))
