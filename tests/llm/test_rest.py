@@ -162,6 +162,19 @@ def test_templates_learn_from_ruled_urls(spark):
     assert found["http://h.org/other/1"].verdict == found["http://i.org/ads/1"].verdict == "allow"
 
 
+def test_evidence_reaches_unruled_urls(spark):
+    """Labelled siblings that agree decide for unlabelled ones; one alone or two that differ do not. Deep paths have levels of their own."""
+    rules = [urltree.Rule("block", h, p) for h in ("x.org", "y.org", "z.org") for p in ("/es/", "/fr/") if (h, p) not in (("y.org", "/fr/"), ("z.org", "/fr/"))]
+    rules += [urltree.Rule("allow", "y.org", "/fr/"), urltree.Rule("block", "d.org", "/a/b/c/d/e/ads/1"), urltree.Rule("allow", "d.org", "/a/b/c/d/e/news/1")]
+    urls = [f"http://{h}.org/{s}/{i}" for h in "xyz" for s in ("es", "fr", "en") for i in range(10)]
+    urls += [f"http://d.org/a/b/c/d/e/{s}/{i}" for s in ("ads", "news") for i in range(30)]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    found = {urls[r.page_id]: r for r in urltree.judge(pages, rules).collect()}
+    assert [found[f"http://{h}.org/en/3"].verdict for h in "xyz"] == ["block", "allow", "allow"]
+    assert [found[f"http://{h}.org/en/3"].template for h in "xyz"] == ["/*/{n}", "/en/{n}", "/en/{n}"]
+    assert found["http://d.org/a/b/c/d/e/ads/2"].verdict == "block" and found["http://d.org/a/b/c/d/e/news/2"].verdict == "allow"
+
+
 def test_variable_segments_become_wildcards(spark):
     urls = [f"http://h.org/user-{c}x{i}/home" for i, c in enumerate("abcdefghijklmnopqrstuvwxyz" * 2)] + ["http://h.org/a1b2c3d4e5/x"]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
