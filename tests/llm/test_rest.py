@@ -263,3 +263,25 @@ def test_near_texts(spark):
                     wanted[i, j] = d
     assert found.items() <= wanted.items()
     assert len(found) >= 0.9 * len(wanted) > 40
+
+
+@pytest.mark.parametrize("size", [100, 800, 3000, 12000])
+@pytest.mark.parametrize("share", [0.05, 0.09])
+def test_edited_texts_are_candidates(size, share):
+    """Texts of every length and share of edits share a band of pieces; unlike ones hardly ever do."""
+    rng = random.Random(size)
+    bases = ["".join(rng.choice("abcdefgh ijklmnop") for _ in range(size)) for _ in range(20)]
+    keys = [set(editsketch.piece_keys(b)) for b in bases]
+    near = [bool(k & set(editsketch.piece_keys(edited(rng, b, int(share * size))))) for b, k in zip(bases, keys)]
+    print(size, share, np.mean(near))
+    assert np.mean(near) >= 0.9
+    assert sum(bool(a & b) for a, b in zip(keys, keys[1:])) <= 1
+
+
+def test_near_texts_finds_long_texts_with_many_edits(spark):
+    rng = random.Random(12)
+    bases = ["".join(rng.choice("abcdefgh ijklmnop") for _ in range(3000)) for _ in range(12)]
+    texts = [t for b in bases for t in (b, edited(rng, b, 270))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = editsketch.near_texts(docs.filter("doc_id % 2 = 0"), docs).collect()
+    assert sum(r.match == r.query + 1 for r in found) >= 11
