@@ -4,12 +4,13 @@ import hashlib
 import random
 import re
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loadweave.llm import editsketch, linededup, sharding, urltree
-from loadweave.llm.queries import URL_RULES
+from loadweave.llm.queries import QUERIES, URL_RULES
 
 
 def plain_dedup(rows, min_words):
@@ -44,6 +45,16 @@ def test_repeated_lines(spark):
     assert linededup.remove_repeated_lines(docs.limit(0)).count() == 0
 
 
+def test_query_and_stage_take_out_short_repeats(spark, tmp_path):
+    """Lines of few words and lines written without blanks go as well; empty ones stay."""
+    rows = [(1, "Home\n\n版权所有。保留一切权利\nall new here"), (2, "home\n\n版权所有。保留一切权利\nother"), (3, "Other\nHome")]
+    docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    wanted = {1: rows[0][1], 2: "\nother", 3: ""}
+    assert {r.doc_id: r.text for r in QUERIES["op7_repeated_lines"].run(spark, str(tmp_path)).collect()} == wanted
+    assert {r.doc_id: r.text for r in corpus_pipeline.repeated_lines(spark, docs, str(tmp_path)).collect()} == wanted
+
+
 def plain_walk(text):
     """Step by step: write the character, move on if the bit is set."""
     classes = editsketch._char_class()
