@@ -69,12 +69,15 @@ def remove_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "tex
     removed: array of (start, end), the places of the removed lines in the
     original text in characters, in order, without their line breaks. What is
     left keeps its line breaks. A null text stays null. Rows with a null key
-    pass through untouched and count for nothing; rows that repeat a key are
-    one document. A document of which nothing is left gets an empty text. A
+    pass through untouched and count for nothing. Rows that repeat a key rank by
+    the digest of their text; rows equal in key and text are one document, and
+    take no lines from each other. A document of which nothing is left gets an empty text. A
     column named as `removed` is replaced; all others pass through.
     """
     kept = docs.drop(removed)
-    units = unit_digests(docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text")), min_words)
+    # The text's digest beside the key: rows that share a key lose lines of their own only.
+    own = F.unhex(F.md5(text))
+    units = unit_digests(docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.struct(F.col(key).alias("key"), own.alias("own")).alias("id"), F.col(text).alias("text")), min_words)
     first = units.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     # Stored, so that the join below shuffles both sides anew and Spark can split a very common line.
     first = stage(first, "repeated")
@@ -107,5 +110,6 @@ def remove_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "tex
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=[*batch.schema.names[:-1], removed])
 
-    joined = kept.join(drop, kept[key] == drop["id"], "left").select(*[kept[c] for c in kept.columns], "_units")
+    drop = drop.select(F.col("id.key").alias("_key"), F.col("id.own").alias("_own"), "_units")
+    joined = kept.join(drop, (kept[key] == drop["_key"]) & (F.unhex(F.md5(kept[text])) == drop["_own"]), "left").select(*[kept[c] for c in kept.columns], "_units")
     return joined.mapInArrow(releasing(cut), schema)

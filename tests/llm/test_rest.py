@@ -55,6 +55,13 @@ def test_query_and_stage_take_out_short_repeats(spark, tmp_path):
     assert {r.doc_id: r.text for r in corpus_pipeline.repeated_lines(spark, docs, str(tmp_path)).collect()} == wanted
 
 
+def test_rows_that_share_a_key_lose_only_their_own_lines(spark):
+    x, y, z = ("a b c d " + c for c in "xyz")
+    docs = spark.createDataFrame([(1, f"{x}\n{x}"), (1, f"{y}\n{z}"), (2, f"{z}\nnew")], "doc_id long, text string")
+    found = sorted((r.doc_id, r.text) for r in linededup.remove_repeated_lines(docs).collect())
+    assert found == [(1, x), (1, f"{y}\n{z}"), (2, "new")]
+
+
 def plain_walk(text):
     """Step by step: write the character, move on if the bit is set."""
     classes = editsketch._char_class()
