@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loadweave.functions.text import finite
-from loadweave.operators.backtest import daily_metrics, pooled_metrics
+from loadweave.operators.backtest import daily_metrics, pooled_metrics, walk_forward_folds
 from loadweave.operators.features import FEATURES, TARGET, check_contract, contract_of_maps
 from loadweave.session import scratch_root, stage
 
@@ -112,19 +112,26 @@ def walk_forward(
     rows: DataFrame,
     time: str,
     label: str,
-    folds: Sequence[str],
+    folds: Sequence[str] | None = None,
     features: Sequence[str] = FEATURES,
     horizon_hours: int = 24,
     params: BoostingParams | None = None,
+    stride: int = 1,
 ) -> DataFrame:
     """Forecasts of each fold by a model that knows only what lay before it: fold, target_time, actual, forecast.
 
     rows: features at ``time`` and the label ``horizon_hours`` later. A fold
     trains on the rows whose label lay before its start and forecasts the
     ``horizon_hours`` from its start on. Each fold is one distributed fit; the
-    loop is over folds only. A fold without training rows is left out.
+    loop is over folds only. A fold without training rows is left out. Without
+    ``folds``, all days that have earlier rows are folds, or every
+    ``stride``-th of them.
     """
     rows = stage(rows.withColumn("target_time", F.col(time) + F.make_interval(hours=F.lit(horizon_hours))), "backtest")
+    if folds is None:
+        # One row per day reaches the driver.
+        days = walk_forward_folds(rows.where(F.col("target_time").isNotNull()), "target_time", horizon_hours).select("fold").sort("fold").collect()
+        folds = [str(r.fold) for r in days][::stride]
     found = None
     for fold in folds:
         start = F.lit(fold).cast("timestamp_ntz")
@@ -134,6 +141,8 @@ def walk_forward(
         asked = rows.where((F.col("target_time") >= start) & (F.col("target_time") < start + F.make_interval(hours=F.lit(horizon_hours))))
         scored = score(train(known, features, label, params), asked, features)
         part = scored.select(start.alias("fold"), "target_time", F.col(label).alias("actual"), F.col("prediction").alias("forecast"))
+        # Stored, so that the models of earlier folds are not held in the plan.
+        part = stage(part, "fold")
         found = part if found is None else found.unionByName(part)
     if found is None:
         raise ValueError("no fold has rows to train on")

@@ -141,6 +141,17 @@ def test_walk_forward_knows_only_the_past(spark, training):
         walk_forward(ahead, "datetime", "target", ["2023-12-01"], params=params)
 
 
+def test_walk_forward_takes_all_days(spark, training):
+    """Without a list, every day with rows before it is a fold, or every stride-th; each is forecast whole."""
+    _, _, table = training
+    ahead = horizon_features(table.where(F.col("datetime") < F.lit("2024-01-06 12:00:00").cast("timestamp_ntz")), "datetime", TARGET, 24)
+    ahead = ahead.where(F.col("target").isNotNull())
+    params = BoostingParams(trees=1, depth=2)
+    for stride, days in ((1, (3, 4, 5, 6)), (3, (3, 6))):
+        found = walk_forward(ahead, "datetime", "target", params=params, stride=stride).groupBy("fold").agg(F.count("forecast").alias("n")).collect()
+        assert {r.fold: r.n for r in found} == {datetime(2024, 1, d): 24 if d == 6 else 48 for d in days}
+
+
 def test_short_history_is_answered(spark, training, tmp_path):
     _, weather, table = training
     model = train(table, params=BoostingParams(trees=2))
