@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadweave.llm import bpe, dartminhash, editsketch, langid, linededup, linequality, packing, pqindex, sharding, urltree
+from loadweave.llm import bpe, dartminhash, decontaminate, editsketch, langid, linededup, linequality, packing, pqindex, sharding, urltree
 from loadweave.session import scratch_path, stage
 
 
@@ -155,3 +155,31 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+@query(
+    "op12_decontamination",
+    f"""
+    WITH docs AS (SELECT doc_id, coalesce({_WORDS}, []) AS words FROM documents),
+    items AS (SELECT item_id, {_WORDS} AS words FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+    sized AS (SELECT item_id, words, least(len(words), 10) AS size FROM items WHERE len(words) > 0),
+    windows AS (SELECT DISTINCT item_id, size, words[k : k + size - 1] AS gram FROM (SELECT *, unnest(range(1, len(words) - size + 2)) AS k FROM sized)),
+    grams AS (
+      SELECT doc_id, size, k, words[k : k + size - 1] AS gram
+      FROM (SELECT doc_id, size, words, unnest(range(1, len(words) - size + 2)) AS k FROM docs, (SELECT DISTINCT size FROM windows))),
+    hits AS (SELECT doc_id, item_id, k, w.size FROM grams g JOIN windows w ON g.size = w.size AND g.gram = w.gram),
+    covered AS (SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(k, k + size)) AS place FROM hits) GROUP BY doc_id),
+    listed AS (SELECT doc_id, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS name FROM hits) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(covered.n, 0) AS BIGINT) AS n_hit, CAST(coalesce(listed.n, 0) AS BIGINT) AS n_items,
+      sha256(coalesce(names, '')) AS items_sha256, coalesce(covered.n, 0) > 0 AS contaminated
+    FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)
+    """,
+)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """The words of every document that lie in windows of ten words of a benchmark item."""
+    found = decontaminate.find_items(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+    names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", names), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
