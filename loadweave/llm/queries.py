@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadweave.llm import bpe, dartminhash, decontaminate, editsketch, langid, linededup, linequality, packing, pqindex, sharding, urltree
+from loadweave.llm import bpe, dartminhash, decontaminate, editsketch, langid, linededup, linequality, packing, pqindex, sharding, urltree, whitening
 from loadweave.session import scratch_path, stage
 
 
@@ -157,6 +157,12 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op11_whitening")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """All usable vectors on the four leading components of their exact covariance."""
+    return whitening.whiten(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
