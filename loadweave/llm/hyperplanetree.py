@@ -11,8 +11,8 @@ subtree of its node, over all vectors. A subtree is passed over if, for one spli
 point, that range and the query's annulus around its distance to the split point do
 not meet. Leaves that stay are compared exactly, in integers.
 
-The first search of a query visits the leaves nearest to its window until they hold
-enough vectors; what it finds narrows the window of the second, which visits every
+The first search of a query visits the likeliest leaves until they hold enough
+vectors; what it finds narrows the window of the second, which visits every
 leaf that is left. Leaves are cut into blocks of vectors and of queries.
 """
 
@@ -23,6 +23,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +36,9 @@ LARGEST = float(1 << 26)  # entries below it give inner products of up to 2,048
 ENDLESS = 1 << 62  # the end of an open window of inner products
 FANOUT = 12
 BLOCK = 4096  # vectors and queries of a leaf that meet in one task
-AT_ONCE = 512  # queries whose scores are in memory
+AT_ONCE = 256  # queries whose scores are in memory
+LEAF = 1024  # vectors of a leaf, at least
+SEED = 256  # times the wanted number of vectors: how many the first search looks at
 SAMPLE = 1 << 18
 
 
@@ -86,10 +89,10 @@ def grow(sample: np.ndarray, radius: float, leaf: int, fanout: int = FANOUT, see
     while work:
         own, parent, place = work.pop()
         number = None
-        if len(own) > max(leaf, fanout) or parent < 0:
+        if len(own) > leaf or parent < 0:
             chosen = [int(rng.integers(len(own)))]
             nearest = distances(points[own], points[own[chosen]])[:, 0]
-            while len(chosen) < min(fanout, len(own)) and nearest.max() > apart:
+            while len(chosen) < min(fanout, max(2, len(own) // leaf)) and nearest.max() > apart:
                 chosen.append(int(rng.choice(len(own), p=nearest**2 / (nearest**2).sum())))
                 nearest = np.minimum(nearest, distances(points[own], points[own[chosen[-1:]]])[:, 0])
             if len(chosen) > 1 or parent < 0:
@@ -205,6 +208,7 @@ def first_per_group(rows: DataFrame, group: list[str], order: list[Column], n: i
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col(rank) <= n)
 
 
+FOUND = pa.schema([("query", pa.int64()), ("window", pa.int64()), ("id", pa.int64()), ("score", pa.int64()), ("twin", pa.bool_())])
 QUERY = ["query", "window", "label", "x", "low", "high"]
 QUERY_SCHEMA = "query long, window long, label long, x binary, low long, high long"
 
@@ -216,8 +220,8 @@ class Search:
         self.dimensions = dimensions
         n, square = nodes.count(), nodes.select("x").mapInArrow(_largest_square(dimensions), "square double").agg(F.max("square")).first()[0]
         # Leaves grow with the root of the number of vectors, and so does the sample that splits them.
-        leaf_rows = leaf_rows or max(64, int(n**0.5))
-        wanted = min(SAMPLE, max(2048, 16 * n // leaf_rows))
+        leaf_rows = leaf_rows or max(LEAF, int(n**0.5))
+        wanted = min(SAMPLE, max(2048, 32 * n // leaf_rows))
         share = min(1.0, 1.1 * wanted / n)
         chosen = nodes.filter(F.pmod(F.xxhash64("node", F.lit(29)), F.lit(1 << 30)) < int(share * (1 << 30))).select("x").limit(2 * wanted)
         sample = chosen.toArrow()["x"]
@@ -255,14 +259,17 @@ class Search:
                         found = found[: int(np.searchsorted(np.cumsum(held[found]), enough)) + 1]
                     row += [r] * len(found)
                     leaves += found
-                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(row, pa.int64())).columns, pa.array(leaves, pa.int32())], names=[*batch.schema.names, "leaf"])
+                    if len(row) > 20_000 or r == batch.num_rows - 1:
+                        yield pa.RecordBatch.from_arrays([*batch.take(pa.array(row, pa.int64())).columns, pa.array(leaves, pa.int32())], names=[*batch.schema.names, "leaf"])
+                        row, leaves = [], []
 
-        return queries.select(*QUERY).repartition("query", "window").mapInArrow(releasing(run), f"{QUERY_SCHEMA}, leaf int")
+        return queries.select(*QUERY).repartition(_tasks(queries, queries.count() // 100), "query", "window").mapInArrow(releasing(run), f"{QUERY_SCHEMA}, leaf int")
 
     def meet(self, visits: DataFrame, same: bool, k: int) -> DataFrame:
-        """query, window, id, score, twin: from every block that a query visits the first k of its window, by score, then id.
+        """query, window, id, score, twin: from every block that a query visits at least the first k of its window, by score, then id.
 
-        twin: the vector is that of the query.
+        twin: the vector is that of the query. The first k keys belong to the first k
+        members by score, then smallest key, as each of those has a key at least as good.
         """
         dimensions = self.dimensions
         asked = stage(visits, "visits")
@@ -270,50 +277,60 @@ class Search:
         blocks = lambda df, name: df.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
         sizes = stage(blocks(self.placed, "m").join(blocks(asked, "q"), cell), "blocks")
         part = lambda n, *keys: F.pmod(F.xxhash64(*keys, F.lit(31)), F.col(n)).cast("int")
+        groups = [*cell, "mb", "qb"]
+        # A group is much work on few bytes: tasks go by the number of groups, not by bytes.
+        tasks = _tasks(asked, sizes.agg(F.sum(F.col("m") * F.col("q"))).first()[0] or 0)
         members = self.placed.join(sizes, cell).select(*cell, part("m", "node").alias("mb"), F.explode(F.sequence(F.lit(0), F.col("q") - 1)).alias("qb"), F.col("label").alias("own"), F.col("x").alias("y"), "ids")
         queries = asked.join(sizes, cell).select(*cell, F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("mb"), part("q", "query", "window").alias("qb"), "query", "window", F.col("label").alias("mine"), "x", "low", "high")
+        members, queries = members.repartition(tasks, *groups), queries.repartition(tasks, *groups)
 
         def search(left: pa.Table, right: pa.Table) -> pa.Table:
-            found: list[tuple] = []
+            found = []
             if left.num_rows and right.num_rows:
-                labels, ids, raw = left["own"].to_numpy(), left["ids"].to_pylist(), left["y"].to_pylist()
-                y, first = matrix(left["y"], dimensions), np.array([i[0] for i in ids], np.int64)
+                left = left.take(np.argsort(pc.list_element(left["ids"], 0).to_numpy(), kind="stable"))
+                y, labels, raw = matrix(left["y"], dimensions), left["own"].to_numpy(), np.array(left["y"].to_pylist(), object)
+                ids = left["ids"].combine_chunks()
+                listed, starts = ids.flatten().to_numpy(), ids.offsets.to_numpy() - ids.offsets[0].as_py()
                 for at in range(0, right.num_rows, AT_ONCE):
                     some = right.slice(at, AT_ONCE)
+                    mine, low, high = (some[c].to_numpy()[:, None] for c in ("mine", "low", "high"))
                     scores = products(matrix(some["x"], dimensions), y)
-                    for row, (query, window, label, x, low, high) in zip(scores, zip(*(some[c].to_pylist() for c in ("query", "window", "mine", "x", "low", "high")))):
-                        fits = np.flatnonzero(((labels == label) == same) & (row >= low) & (row <= high))
-                        if len(fits) > k:
-                            # The k-th score decides; all at it stay, as ids break ties.
-                            fits = fits[row[fits] >= np.partition(row[fits], len(fits) - k)[len(fits) - k]]
-                        fits = fits[np.lexsort((first[fits], -row[fits]))]
-                        best = sorted((-int(row[m]), i, m) for m in _enough(fits, row, ids, k) for i in ids[m])[:k]
-                        found += [(query, window, i, -score, raw[m] == x) for score, i, m in best]
-            columns = list(zip(*found)) or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-            return pa.table({n: pa.array(c, t) for n, c, t in zip(("query", "window", "id", "score", "twin"), columns, kinds)})
+                    q, m = first_members(scores, ((labels == mine) == same) & (scores >= low) & (scores <= high), k)
+                    copies = np.diff(starts)[m]
+                    place = np.arange(copies.sum()) + np.repeat(starts[:-1][m] - (np.cumsum(copies) - copies), copies)
+                    twin = raw[m] == np.array(some["x"].to_pylist(), object)[q]
+                    q, score = np.repeat(q, copies), np.repeat(scores[q, m], copies)
+                    found.append(pa.table([some["query"].take(pa.array(q)), some["window"].take(pa.array(q)), pa.array(listed[place]), pa.array(score), pa.array(np.repeat(twin, copies).astype(bool))], names=FOUND.names))
+            return pa.concat_tables(found) if found else FOUND.empty_table()
 
-        groups = [*cell, "mb", "qb"]
         return members.groupBy(*groups).cogroup(queries.groupBy(*groups)).applyInArrow(search, "query long, window long, id long, score long, twin boolean")
 
     def best(self, queries: DataFrame, same: bool, k: int) -> DataFrame:
         """query, window, id, score, twin, rank: the first k vectors of each window, among those of the same label or of the others."""
         order = [F.desc("score"), F.asc("id")]
-        seeds = first_per_group(self.meet(self.visits(queries, 4 * k), same, k), ["query", "window"], order, k, "rank")
+        seeds = first_per_group(self.meet(self.visits(queries, SEED * k), same, k), ["query", "window"], order, k, "rank")
         reached = seeds.filter(F.col("rank") == k).select("query", "window", F.col("score").alias("reached"))
         narrowed = queries.join(reached, ["query", "window"], "left").withColumn("low", F.greatest("low", "reached")).drop("reached")
         return first_per_group(self.meet(self.visits(narrowed, None), same, k), ["query", "window"], order, k, "rank")
 
 
-def _enough(fits: np.ndarray, row: np.ndarray, ids: list[list[int]], k: int) -> Iterator[int]:
-    """Members in falling order of score until k ids are above the next score."""
-    count, last = 0, None
-    for m in fits.tolist():
-        if count >= k and row[m] != last:
-            return
-        last = row[m]
-        count += len(ids[m])
-        yield m
+def _tasks(df: DataFrame, pieces: int) -> int:
+    """Partitions for so many pieces of work: one each, as long as they are not many times the cores or Spark's own number."""
+    spark = df.sparkSession
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism, pieces // 64)
+    return max(1, min(pieces, most))
+
+
+def first_members(scores: np.ndarray, fits: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the k highest scores that fit of each row; of equal scores the first columns."""
+    n = scores.shape[1]
+    wide = int(np.abs(scores).max(initial=0)) >= (1 << 61) // max(n, 1)
+    whole = np.unique(scores, return_inverse=True)[1].reshape(scores.shape) if wide else scores
+    order = np.where(fits, whole * n + np.arange(n - 1, -1, -1), np.iinfo(np.int64).min)
+    best = np.argpartition(order, n - k, axis=1)[:, n - k :] if n > k else np.broadcast_to(np.arange(n), scores.shape)
+    row = np.repeat(np.arange(len(scores)), best.shape[1])
+    keep = fits[row, best.ravel()]
+    return row[keep], best.ravel()[keep]
 
 
 def _largest_square(dimensions: int) -> Callable:
