@@ -1,14 +1,18 @@
-"""Removes lines that occurred before, in the same or in any other document.
-
-A unit is a line. Units are compared after normalisation (lower case, white
-space in single blanks) by a 128-bit digest. Occurrences rank by document key,
-then by place; the first stays, all others go. Units of fewer than `min_words`
-words are never removed.
+"""Removes passages whose sentences or lines occurred before, in the same or in any other document.
+
+A unit is a sentence within a line: it ends with its line or with a full stop,
+question or exclamation mark, so a line or paragraph is a run of whole units. Units
+are compared by a 128-bit digest of their words. Occurrences rank by document key,
+then by place; the first stays. Units that occurred before go if they stand in a run
+of such neighbours (across lines, units without a word aside) with at least `min_words`
+words: a long repeated sentence by itself, short ones only within a repeated passage.
+A chance repeat of a short sentence or menu line stays.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,9 +23,14 @@ from pyspark.sql import types as T
 from loadweave.llm.columns import releasing, row_slices, text_bytes
 from loadweave.session import stage
 
-MIN_WORDS = 5
+MIN_WORDS = 30
 SLICE_BYTES = 4 << 20
 
+_UNIT = re.compile(r"[^\n.!?…。！？]*[.!?…。！？]+|[^\n.!?…。！？]+")
+# Scripts written without blanks: Thai to Myanmar, Khmer, kana, Han. Each of their characters is a word.
+_UNSPACED = "฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿\U00020000-\U0003ffff"
+_WORD = re.compile(f"[{_UNSPACED}]|[^\\W{_UNSPACED}]+")
+
 
 def sliced(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
     """The batches in parts of at most SLICE_BYTES of text, one row at least."""
@@ -31,59 +40,94 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
             yield batch.slice(i, j - i)
 
 
-def _digest(line: str, min_words: int) -> bytes | None:
-    words = line.lower().split()
-    return hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest() if len(words) >= min_words else None
-
+def units(text: str) -> Iterator[tuple[int, int, list[str]]]:
+    """start, end and words of every unit that has a word; blanks around it are no part of it."""
+    for found in _UNIT.finditer(text):
+        words = _WORD.findall(found.group().lower())
+        if words:
+            start, end = found.span()
+            yield start + len(found.group()) - len(found.group().lstrip()), end - len(found.group()) + len(found.group().rstrip()), words
 
-def unit_digests(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """id, unit, digest of the first occurrence of every unit within its document; later ones get a null digest.
 
-    docs: id and text.
-    """
+def unit_digests(docs: DataFrame) -> DataFrame:
+    """id, unit, digest of the first occurrence of every unit within its document; docs: id and text."""
     schema = T.StructType([docs.schema["id"], T.StructField("unit", T.IntegerType()), T.StructField("digest", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def block() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(unit, pa.int32()), pa.array(digests, pa.binary())], names=["id", "unit", "digest"])
+
         for batch in sliced(batches, "text"):
             row, unit, digests = [], [], []
             for r, text in enumerate(batch.column(1)):
                 seen = set()
-                for u, line in enumerate((text.as_py() or "").split("\n")):
-                    digest = _digest(line, min_words)
-                    if digest is not None:
+                for u, (_, _, words) in enumerate(units(text.as_py() or "")):
+                    key = " ".join(words)
+                    if key not in seen:
+                        seen.add(key)
                         row.append(r)
                         unit.append(u)
-                        digests.append(None if digest in seen else digest)
-                        seen.add(digest)
-                if len(row) > 50_000:
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(unit, pa.int32()), pa.array(digests, pa.binary())], names=["id", "unit", "digest"])
-                    row, unit, digests = [], [], []
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(unit, pa.int32()), pa.array(digests, pa.binary())], names=["id", "unit", "digest"])
+                        digests.append(hashlib.blake2b(key.encode(), digest_size=16).digest())
+                    if len(row) > 50_000:
+                        yield block()
+                        row, unit, digests = [], [], []
+            yield block()
 
     return docs.select("id", "text").mapInArrow(releasing(run), schema)
 
 
+def repeated_spans(text: str, elsewhere: set[int], min_words: int) -> list[tuple[int, int]]:
+    """The spans to cut out of a text. elsewhere: units that occurred in an earlier document.
+
+    A span that takes whole lines takes the line break after them, or the one before
+    at the end of the text.
+    """
+    spans: list[tuple[int, int]] = []
+    seen: set[str] = set()
+    start = end = size = 0
+
+    def close() -> None:
+        if size >= max(min_words, 1):
+            a, z = start, end
+            if (a == 0 or text[a - 1] == "\n") and (z == len(text) or text[z] == "\n"):
+                if z < len(text):
+                    z += 1
+                elif a > (spans[-1][1] if spans else 0):
+                    a -= 1
+            spans.append((a, z))
+
+    for u, (first, last, words) in enumerate(units(text)):
+        key = " ".join(words)
+        if u in elsewhere or key in seen:
+            start = start if size else first
+            end, size = last, size + len(words)
+        else:
+            close()
+            size = 0
+        seen.add(key)
+    close()
+    return spans
+
+
 def remove_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, removed: str = "removed") -> DataFrame:
-    """docs with repeated lines taken out of the text, and where they were.
-
-    removed: array of (start, end), the places of the removed lines in the
-    original text in characters, in order, without their line breaks. What is
-    left keeps its line breaks. A null text stays null. Rows with a null key
-    pass through untouched and count for nothing. Rows that repeat a key rank by
-    the digest of their text; rows equal in key and text are one document, and
-    take no lines from each other. A document of which nothing is left gets an empty text. A
-    column named as `removed` is replaced; all others pass through.
+    """docs with repeated passages taken out of the text, and where they were.
+
+    removed: array of (start, end), what was cut out of the original text, in
+    characters and in order; the text without these spans is the one returned. A null
+    text stays null. Rows with a null key pass through untouched and count for nothing.
+    Rows that repeat a key rank by the hash of their text; rows equal in key and text
+    are one document, and take nothing from each other. A document of which nothing is
+    left gets an empty text. A column named as `removed` is replaced; all others pass
+    through. Scripts without blanks count each character as a word.
     """
     kept = docs.drop(removed)
-    # The text's digest beside the key: rows that share a key lose lines of their own only.
-    own = F.unhex(F.md5(text))
-    units = unit_digests(docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.struct(F.col(key).alias("key"), own.alias("own")).alias("id"), F.col(text).alias("text")), min_words)
-    first = units.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    # Stored, so that the join below shuffles both sides anew and Spark can split a very common line.
+    # The text's hash beside the key: rows that share a key lose passages of their own only.
+    own = F.xxhash64(F.col(text))
+    found = unit_digests(docs.filter(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.struct(F.col(key).alias("key"), own.alias("own")).alias("id"), F.col(text).alias("text")))
+    first = found.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last")
+    # Stored, so that the join below shuffles both sides anew and Spark can split a very common unit.
     first = stage(first, "repeated")
-    elsewhere = units.filter("digest IS NOT NULL").join(first, "digest").filter("id > first").select("id", "unit")
-    within = units.filter("digest IS NULL").select("id", "unit")
-    drop = elsewhere.union(within).groupBy("id").agg(F.collect_set("unit").alias("_units"))
+    drop = found.join(first, "digest").filter("id > first").groupBy("id").agg(F.collect_set("unit").alias("_units"))
 
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([*kept.schema.fields, T.StructField(removed, span)])
@@ -91,25 +135,21 @@ def remove_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "tex
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, text):
             at = batch.schema.get_field_index(text)
+            keyed = batch.column(batch.num_columns - 1).to_pylist()
             texts, spans = [], []
-            for value, units in zip(batch.column(at), batch.column(batch.num_columns - 1)):
-                value, units = value.as_py(), units.as_py()
-                gone = []
-                if units and value is not None:
-                    out, place, drop_ = [], 0, set(units)
-                    for u, line in enumerate(value.split("\n")):
-                        if u in drop_:
-                            gone.append({"start": place, "end": place + len(line)})
-                        else:
-                            out.append(line)
-                        place += len(line) + 1
-                    value = "\n".join(out)
+            for value, (has_key, elsewhere) in zip(batch.column(at), ((k["keyed"], k["units"]) for k in keyed)):
+                value = value.as_py()
+                gone = repeated_spans(value, set(elsewhere or ()), min_words) if value is not None and has_key else []
+                if gone:
+                    bounds = [0, *(x for s in gone for x in s), len(value)]
+                    value = "".join(value[a:z] for a, z in zip(bounds[::2], bounds[1::2]))
                 texts.append(value)
-                spans.append(gone)
+                spans.append([{"start": a, "end": z} for a, z in gone])
             columns = list(batch.columns[:-1])
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=[*batch.schema.names[:-1], removed])
 
     drop = drop.select(F.col("id.key").alias("_key"), F.col("id.own").alias("_own"), "_units")
-    joined = kept.join(drop, (kept[key] == drop["_key"]) & (F.unhex(F.md5(kept[text])) == drop["_own"]), "left").select(*[kept[c] for c in kept.columns], "_units")
-    return joined.mapInArrow(releasing(cut), schema)
+    joined = kept.join(drop, (kept[key] == drop["_key"]) & (F.xxhash64(kept[text]) == drop["_own"]), "left")
+    told = F.struct(kept[key].isNotNull().alias("keyed"), F.col("_units").alias("units")).alias("_units")
+    return joined.select(*[kept[c] for c in kept.columns], told).mapInArrow(releasing(cut), schema)

@@ -102,9 +102,9 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op7_repeated_lines")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document without the lines that occurred before, and where those were."""
+    """Every document without the passages that occurred before, and where those were."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return linededup.remove_repeated_lines(docs, min_words=1).withColumn("n_removed", F.size("removed"))
+    return linededup.remove_repeated_lines(docs).withColumn("n_removed", F.size("removed"))
 
 
 def quality_model(spark: SparkSession, folder: str) -> linequality.Model:

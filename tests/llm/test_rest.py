@@ -13,52 +13,97 @@ from loadweave.llm import editsketch, linededup, sharding, urltree
 from loadweave.llm.queries import QUERIES, URL_RULES
 
 
+WORD = r"[\u3040-\u30ff\u4e00-\u9fff]|[^\W\u3040-\u30ff\u4e00-\u9fff]+"
+
+
+def plain_units(text):
+    """(start, end, words) of sentences within lines that have a word."""
+    found, place = [], 0
+    for line in text.split("\n"):
+        for m in re.finditer(r"[^.!?…。！？]*[.!?…。！？]+|[^.!?…。！？]+", line):
+            words = re.findall(WORD, m.group().lower())
+            if words:
+                part = m.group()
+                found.append((place + m.start() + len(part) - len(part.lstrip()), place + m.start() + len(part.rstrip()), tuple(words)))
+        place += len(line) + 1
+    return found
+
+
 def plain_dedup(rows, min_words):
     seen, found = set(), {}
     for key, text in sorted((r for r in rows if r[0] is not None and r[1] is not None), key=lambda r: r[0]):
-        kept, gone, place = [], [], 0
-        for line in text.split("\n"):
-            unit = " ".join(line.lower().split())
-            known = len(unit.split()) >= min_words and unit in seen
-            (gone.append((place, place + len(line))) if known else kept.append(line))
-            if len(unit.split()) >= min_words:
-                seen.add(unit)
-            place += len(line) + 1
-        found[key] = ("\n".join(kept), gone)
+        listed, runs = plain_units(text), []
+        known = []
+        for _, _, words in listed:
+            known.append(words in seen)
+            seen.add(words)
+        k = 0
+        while k < len(listed):
+            j = k
+            while j < len(listed) and known[j]:
+                j += 1
+            if j > k and sum(len(w) for _, _, w in listed[k:j]) >= min_words:
+                runs.append((listed[k][0], listed[j - 1][1]))
+            k = max(j, k + 1)
+        spans = []
+        for a, z in runs:
+            if text[:a][-1:] in ("", "\n") and text[z:][:1] in ("", "\n"):
+                if z < len(text):
+                    z += 1
+                elif a > (spans[-1][1] if spans else 0):
+                    a -= 1
+            spans.append((a, z))
+        found[key] = spans
     return found
 
 
-def test_repeated_lines(spark):
+def without(text, spans):
+    for a, z in reversed(spans):
+        text = text[:a] + text[z:]
+    return text
+
+
+def test_repeated_passages(spark):
     rng = random.Random(3)
-    lines = ["one two three four five", "One  two three four FIVE", "a b", "", "é é é é é é", "x y z u v w", "p q r s t"]
-    rows = [(i, "\n".join(rng.choice(lines) for _ in range(rng.randint(0, 6)))) for i in range(60)]
-    rows += [(70, None), (71, ""), (72, "\n".join(f"l{i % 700} b c d e" for i in range(3000)))]
-    docs = spark.createDataFrame([(*r, i, "n") for i, r in enumerate(rows)] + [(None, lines[0], 0, "n")], "doc_id long, text string, unit int, removed string")
-    found = linededup.remove_repeated_lines(docs)
-    assert found.columns == ["doc_id", "text", "unit", "removed"]
-    got = {r.doc_id: r for r in found.collect()}
-    assert len(got) == len(rows) + 1
-    assert got[None].text == lines[0] and got[None].removed == []
-    assert got[70].text is None
-    for key, (text, gone) in plain_dedup(rows, 5).items():
-        assert (got[key].text, [tuple(s) for s in got[key].removed]) == (text, gone)
+    some = ["one two three four five.", "One  two, three four FIVE!", "a b.", "", "é é é é é é?", "x y z u v w", "版权所有。", "保留一切权利", "p q r s t.", "fin.", "..."]
+    part = lambda n: "".join(rng.choice(some) + rng.choice([" ", "\n", "  ", "\n\n"]) for _ in range(n))
+    passages = [part(9) for _ in range(4)]
+    rows = [(i, f"new{i} words{i} here{i}. " + part(rng.randint(0, 3)) + rng.choice(["", rng.choice(passages)]) + f" tail{i}" * (i % 3)) for i in range(60)]
+    rows += [(70, None), (71, ""), (72, "\n".join(f"l{i % 700} b c d e" for i in range(3000))), (73, passages[0]), (74, passages[0] + passages[0])]
+    docs = spark.createDataFrame([(*r, i, "n") for i, r in enumerate(rows)] + [(None, passages[0], 0, "n")], "doc_id long, text string, unit int, removed string")
+    for least in (1, 12):
+        found = linededup.remove_repeated_lines(docs, min_words=least)
+        assert found.columns == ["doc_id", "text", "unit", "removed"]
+        got = {r.doc_id: r for r in found.collect()}
+        assert len(got) == len(rows) + 1
+        assert got[None].text == passages[0] and got[None].removed == []
+        assert got[70].text is None
+        wanted = plain_dedup(rows, least)
+        assert sum(map(bool, wanted.values())) > 20
+        for key, text in rows:
+            if text is not None:
+                assert [tuple(s) for s in got[key].removed] == wanted[key]
+                assert got[key].text == without(text, wanted[key])
     assert linededup.remove_repeated_lines(docs.limit(0)).count() == 0
 
 
-def test_query_and_stage_take_out_short_repeats(spark, tmp_path):
-    """Lines of few words and lines written without blanks go as well; empty ones stay."""
-    rows = [(1, "Home\n\n版权所有。保留一切权利\nall new here"), (2, "home\n\n版权所有。保留一切权利\nother"), (3, "Other\nHome")]
+def test_short_repeats_stay_unless_in_a_passage(spark, tmp_path):
+    """A passage of 34 words in short sentences goes, glued to other text or not; a menu and a chance sentence stay."""
+    passage = " ".join(f"Word{i} short{i}." for i in range(17))
+    rows = [(1, f"Home\n\nAll rights reserved.\nall new here. {passage} more"), (2, f"home\n\nAll rights reserved.\nother. {passage} End here."), (3, f"Home\n{passage}\nlast"), (4, "文" * 40 + "。新"), (5, "文" * 40 + "。旧")]
     docs = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, n_chars long")
     docs.write.parquet(str(tmp_path / "documents.parquet"))
-    wanted = {1: rows[0][1], 2: "\nother", 3: ""}
+    wanted = {1: rows[0][1], 2: "home\n\nAll rights reserved.\nother.  End here.", 3: "last", 4: rows[3][1], 5: "旧"}
     assert {r.doc_id: r.text for r in QUERIES["op7_repeated_lines"].run(spark, str(tmp_path)).collect()} == wanted
-    assert {r.doc_id: r.text for r in corpus_pipeline.repeated_lines(spark, docs, str(tmp_path)).collect()} == wanted
+    stage = corpus_pipeline.repeated_lines(spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id: r.text for r in stage} == wanted
+    assert all(r.n_chars == len(r.text) for r in stage)
 
 
 def test_rows_that_share_a_key_lose_only_their_own_lines(spark):
     x, y, z = ("a b c d " + c for c in "xyz")
     docs = spark.createDataFrame([(1, f"{x}\n{x}"), (1, f"{y}\n{z}"), (2, f"{z}\nnew")], "doc_id long, text string")
-    found = sorted((r.doc_id, r.text) for r in linededup.remove_repeated_lines(docs).collect())
+    found = sorted((r.doc_id, r.text) for r in linededup.remove_repeated_lines(docs, min_words=5).collect())
     assert found == [(1, x), (1, f"{y}\n{z}"), (2, "new")]
 
 
