@@ -41,8 +41,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes lines that occurred before out of the texts; n_chars counts what is left."""
-    clean = linededup.remove_repeated_lines(docs, min_words=1, removed="_removed")
+    """Takes passages that occurred before out of the texts; n_chars counts what is left."""
+    clean = linededup.remove_repeated_lines(docs, removed="_removed")
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 
