@@ -2,9 +2,11 @@
 
 For each language a suffix automaton of sample text recognises exactly the
 substrings of the sample. A document is parsed greedily into the longest
-phrases that occur in it; with c phrases and a sample of n symbols,
-c * log2(n) estimates the bits that the document costs in terms of the
-language (cross-parsing entropy). The cheapest language wins.
+phrases that occur in it; a symbol that the sample lacks is a phrase of its own.
+With c phrases, c * log2(n) estimates the bits that the document costs in terms
+of the language (cross-parsing entropy), n being the symbols of the largest
+sample: were it the language's own, a phrase would cost the less the less is
+known of the language. The cheapest language wins.
 
 The automata are completed (a symbol that does not continue the phrase ends it
 and starts the next), so all blocks of a batch are parsed in step, one symbol
@@ -40,13 +42,18 @@ class Model(NamedTuple):
     samples: tuple[str, ...]
 
 
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def learn(docs: DataFrame, label: str = "lang", text: str = "text", key: str = "doc_id", chars: int = 30_000, windows: int = 256, window: int = 512, max_languages: int = 500) -> Model:
     """Collects bounded samples of the labelled rows.
 
     Bounds: about `windows` documents per language, chosen by the hash of their
     key, give one window of `window` characters each at a place that the hash
     decides; of these, `chars` characters are used. More than `max_languages`
-    labels are an error. Rows with a null label or text teach nothing.
+    labels are an error. Rows with a null label or text teach nothing, and so does a
+    label without a letter in its sample: it is no language that can be predicted.
     """
     labelled = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.lit(71)).alias("h"))
     counts = {r[0]: r[1] for r in labelled.groupBy("label").count().limit(max_languages + 1).collect()}
@@ -61,7 +68,9 @@ def learn(docs: DataFrame, label: str = "lang", text: str = "text", key: str = "
     samples = {}
     for name in sorted(counts):
         parts = sorted({(r["h"], r["text"]) for r in rows if r["label"] == name})
-        samples[name] = "\n".join(dict.fromkeys(t for _, t in parts))[:chars]
+        sample = "\n".join(dict.fromkeys(t for _, t in parts))[:chars]
+        if (char_classes()[_points(sample)] == LETTER).any():
+            samples[name] = sample
     return Model(tuple(samples), tuple(samples.values()))
 
 
@@ -99,14 +108,14 @@ class Parser:
     """The completed automata of all languages in one table."""
 
     def __init__(self, model: Model):
-        points = [np.frombuffer(s.lower().encode("utf-32-le"), np.uint32) for s in model.samples]
+        points = [_points(s.lower()) for s in model.samples]
         letters, counts = np.unique(np.concatenate(points), return_counts=True)
         own = char_classes()[letters] == LETTER
         letters = letters[own][np.argsort(-counts[own], kind="stable")][:SYMBOLS]
         self.symbol = np.where(char_classes() == LETTER, np.uint8(RARE), np.uint8(GAP))
         self.symbol[letters] = np.arange(2, 2 + len(letters))
         width = self.width = 2 + len(letters)
-        tables, self.starts, self.bits, rows = [], [], [], 0
+        tables, self.starts, sizes, rows = [], [], [], 0
         for p in points:
             symbols, _ = self.squeeze(self.symbol[p], np.array([0, len(p)]))
             moves = suffix_automaton(symbols.tolist())
@@ -122,12 +131,14 @@ class Parser:
             target[0] = restart
             tables.append(((np.where(ends, restart, target) + rows) * width << 1 | ends).astype(np.int64))
             self.starts.append(rows * width)
-            self.bits.append(np.log2(max(2, len(symbols))))
+            sizes.append(len(symbols))
             rows += lost + 1
         self.table = np.concatenate(tables).ravel()
         if self.table[-1] < 1 << 31 and len(self.table) < 1 << 30:
             self.table = self.table.astype(np.int32)
-        self.starts, self.bits = np.array(self.starts, self.table.dtype), np.array(self.bits)
+        self.starts, self.bits = np.array(self.starts, self.table.dtype), float(np.log2(max(2, *sizes)))
+        # Of equally cheap languages the one with most text wins, then the first name.
+        self.order = np.argsort(-np.array(sizes), kind="stable")
 
     def squeeze(self, symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Drops all but one of the gaps in a row, and moves the row offsets along."""
@@ -169,7 +180,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", language: str = "
 
     The score is 1 - cost of the best / cost of the second-best language, 1 if
     only one was learned. A null text, one without a letter, or a model without
-    languages gives 'und' and 0. Ties go to the first name. Columns that have
+    languages gives 'und' and 0. Ties go to the language with
+    the largest sample, then to the first name. Columns that have
     the new names are replaced; all others pass through, repeated rows too.
     """
     kept = docs.drop(language, score)
@@ -182,12 +194,12 @@ def predict(docs: DataFrame, model: Model, text: str = "text", language: str = "
         parser = _parser(model)
         lower = [t.lower() for t in texts]
         offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, lower), np.int64, len(lower)))])
-        points = np.frombuffer("".join(lower).encode("utf-32-le", "surrogatepass"), np.uint32)
+        points = _points("".join(lower))
         symbols = parser.symbol[points]
         letters = np.concatenate([[0], np.cumsum(symbols != GAP)])[offsets]
         cost = parser.phrases(*parser.squeeze(symbols, offsets)) * parser.bits
         some = np.diff(letters) > 0
-        best[some] = cost[some].argmin(axis=1)
+        best[some] = parser.order[cost[some][:, parser.order].argmin(axis=1)]
         if cost.shape[1] == 1:
             confidence[some] = 1.0
         else:

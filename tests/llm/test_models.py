@@ -63,6 +63,25 @@ def babble(rng, letters, n):
     return " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 6))) for _ in range(n))
 
 
+def test_labels_with_little_text_take_nothing_from_the_others(spark):
+    rng = random.Random(2)
+    alphabets = {"aa": ["ka", "to", "mi", "re"], "bb": ["ch", "ul", "est", "wo"], "cc": ["éa", "ño", "qu", "ix"]}
+    rows = [(i, babble(rng, alphabets[name], rng.randint(3, 200)), name) for i, name in enumerate(rng.choices(list(alphabets), k=400))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taught = docs.filter("doc_id % 3 <> 0")
+    asked = docs.filter("doc_id % 3 = 0").select("doc_id", "text")
+    wanted = {r.doc_id: r.lang_pred for r in langid.predict(asked, langid.learn(taught)).collect()}
+    assert all(wanted[i] == name for i, _, name in rows if i in wanted)
+    for small in ["x", "k", "kato mireto", babble(rng, alphabets["aa"], 22)[:100], babble(rng, alphabets["aa"] + alphabets["bb"], 220)[:1000]]:
+        for name in ("00", "zz"):
+            model = langid.learn(taught.union(spark.createDataFrame([(5001, small, name)], docs.schema)))
+            assert name in model.languages
+            assert {r.doc_id: r.lang_pred for r in langid.predict(asked, model).collect()} == wanted
+    letterless = spark.createDataFrame([(5001, "", "00"), (5004, " 12 !?", "00"), (5005, None, "11"), (5007, "日本", "zz")], docs.schema)
+    assert langid.learn(taught.union(letterless)).languages == ("aa", "bb", "cc", "zz")
+    assert langid.learn(letterless.filter("lang = '00'")).languages == ()
+
+
 def test_languages(spark):
     rng = random.Random(1)
     alphabets = {"aa": ["ka", "to", "mi", "re"], "bb": ["ch", "ul", "est", "wo"], "cc": ["éa", "ño", "qu", "ix"]}
