@@ -23,7 +23,7 @@ from loadweave.llm.columns import HashIndex, row_slices, text_bytes
 from loadweave.llm.pieces import PieceIds
 
 NONE = np.int32(1 << 30)
-END = 0xFFFF
+END = (1 << 31) - 1
 SLICE_BYTES = 4 << 20
 
 
@@ -88,7 +88,7 @@ class Merges:
             ranks = {base64.b64decode(t): int(r) for t, r in (line.split() for line in lines if line.strip())}
         self.size = max(ranks.values()) + 1
         if self.size > END:
-            raise ValueError("a vocabulary of more than 65,535 tokens")
+            raise ValueError("a vocabulary of more than 2**31 - 1 tokens")
         self.token = [b""] * self.size
         for token, rank in ranks.items():
             self.token[rank] = token
@@ -98,13 +98,13 @@ class Merges:
             for cut in range(1, len(token)):
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    pairs[left << 16 | right] = rank
+                    pairs[left << 32 | right] = rank
         self.pairs = HashIndex(int(np.ceil(np.log2(max(16, 4 * len(pairs))))))
         # Keys are moved up by one: 0 marks a free slot.
         self.pairs.add(np.fromiter(pairs, np.uint64, len(pairs)) + np.uint64(1), np.fromiter(pairs.values(), np.int32, len(pairs)))
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        found = self.pairs.find((left.astype(np.uint64) << np.uint64(16) | right.astype(np.uint64)) + np.uint64(1))
+        found = self.pairs.find((left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)) + np.uint64(1))
         return np.where(found < 0, NONE, found)
 
     def encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

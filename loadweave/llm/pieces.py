@@ -2,7 +2,7 @@
 
 The split is that of the published pattern (contractions, letters, numbers,
 other signs, white space), computed on whole columns of UTF-8 bytes. A piece is
-encoded once per worker and looked up by hash afterwards.
+encoded once per worker, looked up by hash afterwards, and compared by its bytes.
 """
 
 from __future__ import annotations
@@ -91,12 +91,29 @@ def piece_starts(b: np.ndarray, row_starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start[:n])
 
 
+def equal_runs(data: np.ndarray, starts: np.ndarray, other: np.ndarray, places: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether data[start : start + length] and other[place : place + length] are equal; no length is 0."""
+    equal = np.ones(len(starts), bool)
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    for i, j in row_slices(bounds, 1 << 18):
+        begin = bounds[i:j] - bounds[i]
+        step = np.arange(int(bounds[j] - bounds[i]))
+        unequal = data[step + np.repeat(starts[i:j] - begin, lengths[i:j])] != other[step + np.repeat(places[i:j] - begin, lengths[i:j])]
+        if unequal.any():
+            equal[i:j] = ~np.logical_or.reduceat(unequal, begin)
+    return equal
+
+
 class PieceIds:
-    """Ids of pieces, remembered up to a bound; beyond it the memory starts anew."""
+    """Ids of pieces, remembered by hash with their bytes, up to bounds; beyond them the memory starts anew.
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], slots_log2: int = 21):
+    A piece takes remembered ids only if its bytes are the same. Pieces that share a
+    hash with another one are encoded by themselves.
+    """
+
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], slots_log2: int = 21, max_bytes: int = 16 << 20):
         """encode: distinct pieces to all their ids in a row, and how many each has."""
-        self.encode, self.slots_log2 = encode, slots_log2
+        self.encode, self.slots_log2, self.max_bytes = encode, slots_log2, max_bytes
         self._clear()
 
     def _clear(self) -> None:
@@ -104,9 +121,14 @@ class PieceIds:
         self.ids = np.zeros(0, np.uint32)
         self.first = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
+        self.bytes = np.zeros(0, np.uint8)
+        self.place = np.zeros(0, np.int64)
+        self.length = np.zeros(0, np.int64)
 
     def rows(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows one after the other, and the number of ids of each row."""
+        if len(self.first) > (1 << self.slots_log2) // 2 or len(self.bytes) + 4 * len(self.ids) > self.max_bytes:
+            self._clear()
         starts, hashes = [], []
         for i, j in row_slices(offsets, BLOCK_BYTES):
             low, high = offsets[i], offsets[j]
@@ -126,22 +148,34 @@ class PieceIds:
 
     def _numbers(self, data, starts, ends, hashes) -> np.ndarray:
         numbers = self.index.find(hashes)
+        lengths = ends - starts
         missing = np.flatnonzero(numbers < 0)
-        if not len(missing):
-            return numbers
-        new, example, inverse = np.unique(hashes[missing], return_index=True, return_inverse=True)
-        room = (1 << self.slots_log2) // 2
-        if len(self.first) + len(new) > room and len(self.first):
-            self._clear()
-            return self._numbers(data, starts, ends, hashes)
-        example = missing[example]
-        raw = data.tobytes()
-        ids, count = self.encode([raw[a:z] for a, z in zip(starts[example].tolist(), ends[example].tolist())])
+        if len(missing):
+            new, example, inverse = np.unique(hashes[missing], return_index=True, return_inverse=True)
+            example = missing[example]
+            base = self._add([data[a:z].tobytes() for a, z in zip(starts[example].tolist(), ends[example].tolist())])
+            # The index holds half of its slots; the rest of a very varied slice is not found again.
+            room = max(0, (1 << self.slots_log2) // 2 - base)
+            self.index.add(new[:room], np.arange(base, base + len(new), dtype=np.int32)[:room])
+            numbers[missing] = base + inverse
+        other = np.flatnonzero(self.length[numbers] != lengths)
+        alike = np.flatnonzero(self.length[numbers] == lengths)
+        other = np.concatenate([other, alike[~equal_runs(data, starts[alike], self.bytes, self.place[numbers[alike]], lengths[alike])]])
+        if len(other):
+            pieces = [data[a:z].tobytes() for a, z in zip(starts[other].tolist(), ends[other].tolist())]
+            distinct = {piece: k for k, piece in enumerate(dict.fromkeys(pieces))}
+            numbers[other] = self._add(list(distinct)) + np.array([distinct[piece] for piece in pieces])
+        return numbers
+
+    def _add(self, pieces: list[bytes]) -> int:
+        """Encodes distinct pieces and returns the number of the first; the others follow."""
+        ids, count = self.encode(pieces)
         base = len(self.first)
+        length = np.fromiter(map(len, pieces), np.int64, len(pieces))
         self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(count) - count])
         self.count = np.concatenate([self.count, count])
         self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
-        if base + len(new) <= room:
-            self.index.add(new, np.arange(base, base + len(new), dtype=np.int32))
-        numbers[missing] = base + inverse
-        return numbers
+        self.place = np.concatenate([self.place, len(self.bytes) + np.cumsum(length) - length])
+        self.length = np.concatenate([self.length, length])
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(pieces), np.uint8)])
+        return base

@@ -1,6 +1,7 @@
 """Byte-level BPE and packing against the public libraries and exact sums."""
 
 import base64
+import hashlib
 import random
 import zlib
 
@@ -16,7 +17,8 @@ from tokenizers import Tokenizer
 
 from loadweave.llm import bpe, packing
 from loadweave.llm.columns import HashIndex, row_slices, text_bytes
-from loadweave.llm.pieces import piece_starts
+from loadweave.llm.pieces import PieceIds, piece_starts
+from loadweave.llm.queries import QUERIES
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 HF = public_tokenizers.path("byte_bpe_50k.json")
@@ -69,6 +71,57 @@ def test_merging_equals_the_library(reference):
         assert ids.tolist() == [i for w in wanted for i in w]
 
 
+def thue_morse(letters, n):
+    """For any constant, a polynomial hash modulo 2**64 gives it and its complement one value from 1,024 letters on."""
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_pieces_of_one_hash_keep_their_own_ids(reference, monkeypatch):
+    texts = [thue_morse(letters, n) for n in (1024, 2048, 4096) for letters in ("ab", "ba", "ab")] + ["word", "drow"]
+    wanted = [reference.encode_ordinary(t) for t in texts]
+    for shared in (False, True):
+        if shared:
+            monkeypatch.setattr("loadweave.llm.pieces.hash_runs", lambda data, starts, ends: np.full(len(starts), 7, np.uint64))
+        for together in (True, False):
+            table = PieceIds(bpe.merges(RANKS).encode)
+            for part in [texts] if together else [[t] for t in texts]:
+                data, offsets = text_bytes(pa.array(part))
+                ids, counts = table.rows(data, offsets)
+                assert np.split(ids, np.cumsum(counts)[:-1])[-1].tolist() == wanted[texts.index(part[-1])]
+                if together:
+                    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == wanted
+
+
+def test_memory_of_pieces_starts_anew(reference):
+    table = PieceIds(bpe.merges(RANKS).encode, slots_log2=4, max_bytes=200)
+    for k in range(30):
+        part = [f"piece{k} and some more {'x' * k}", "and some more"]
+        data, offsets = text_bytes(pa.array(part))
+        ids, counts = table.rows(data, offsets)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [reference.encode_ordinary(t) for t in part]
+        assert len(table.bytes) < 400
+
+
+def test_queries_keep_pieces_of_one_hash_apart(spark, reference, tmp_path):
+    texts = [thue_morse("ab", 2048), thue_morse("ba", 2048), thue_morse("ab", 4096), thue_morse("ba", 4096), None, ""]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: r for r in QUERIES["op6_byte_bpe"].run(spark, str(tmp_path)).collect()}
+    own = Tokenizer.from_file(HF)
+    pieces = {}
+    for r in QUERIES["op2_best_fit_packing"].run(spark, str(tmp_path)).collect():
+        pieces.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32))
+    for i, text in enumerate(texts):
+        ids = reference.encode_ordinary(text or "")
+        assert found[i].n_tokens == len(ids)
+        assert found[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert found[i].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest()
+        ids = [*own.encode(text or "", add_special_tokens=False).ids, 2]
+        listed = sorted(pieces[i])
+        assert sum(n for _, n, _ in listed) == len(ids)
+        assert all(crc == zlib.crc32(np.array(ids[a : a + n], "<u4").tobytes()) for a, n, crc in listed)
+
+
 def test_encode_and_decode_frames(spark, reference):
     rows = [(i, t, 7, "x") for i, t in enumerate([*ODD, "ab"])] + [(0, "", 7, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int, ids string")
