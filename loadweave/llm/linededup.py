@@ -27,9 +27,13 @@ MIN_WORDS = 30
 SLICE_BYTES = 4 << 20
 
 _UNIT = re.compile(r"[^\n.!?…。！？]*[.!?…。！？]+|[^\n.!?…。！？]+")
+_MARKS = " \t\r\f\v\u00a0\u3000.!?…。！？"
 # Scripts written without blanks: Thai to Myanmar, Khmer, kana, Han. Each of their characters is a word.
-_UNSPACED = "฀-໿က-႟ក-៿぀-ヿ㐀-䶿一-鿿\U00020000-\U0003ffff"
-_WORD = re.compile(f"[{_UNSPACED}]|[^\\W{_UNSPACED}]+")
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\U00020000-\U0003ffff"
+_HAS_UNSPACED = re.compile(f"[{_UNSPACED}]")
+# Blanks that are not single spaces or line breaks.
+_OTHER_BLANKS = re.compile(r"[^\S \n]|  ")
+_WORD = re.compile(f"[{_UNSPACED}]|[^\\s{_UNSPACED}]+")
 
 
 def sliced(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
@@ -40,13 +44,20 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBa
             yield batch.slice(i, j - i)
 
 
-def units(text: str) -> Iterator[tuple[int, int, list[str]]]:
-    """start, end and words of every unit that has a word; blanks around it are no part of it."""
+def units(text: str) -> Iterator[tuple[re.Match, str, int]]:
+    """Place, normalised words and number of words of every unit that has a word.
+
+    Words are in lower case, with single blanks between them; the marks that end the
+    unit are no part of them.
+    """
+    unspaced = not text.isascii() and _HAS_UNSPACED.search(text)
+    single = not unspaced and not _OTHER_BLANKS.search(text)
     for found in _UNIT.finditer(text):
-        words = _WORD.findall(found.group().lower())
-        if words:
-            start, end = found.span()
-            yield start + len(found.group()) - len(found.group().lstrip()), end - len(found.group()) + len(found.group().rstrip()), words
+        key = found.group().strip(_MARKS).lower()
+        if not single:
+            key = " ".join(_WORD.findall(key) if unspaced else key.split())
+        if key:
+            yield found, key, key.count(" ") + 1
 
 
 def unit_digests(docs: DataFrame) -> DataFrame:
@@ -61,8 +72,7 @@ def unit_digests(docs: DataFrame) -> DataFrame:
             row, unit, digests = [], [], []
             for r, text in enumerate(batch.column(1)):
                 seen = set()
-                for u, (_, _, words) in enumerate(units(text.as_py() or "")):
-                    key = " ".join(words)
+                for u, (_, key, _) in enumerate(units(text.as_py() or "")):
                     if key not in seen:
                         seen.add(key)
                         row.append(r)
@@ -96,12 +106,12 @@ def repeated_spans(text: str, elsewhere: set[int], min_words: int) -> list[tuple
                     a -= 1
             spans.append((a, z))
 
-    for u, (first, last, words) in enumerate(units(text)):
-        key = " ".join(words)
+    for u, (place, key, words) in enumerate(units(text)):
         if u in elsewhere or key in seen:
-            start = start if size else first
-            end, size = last, size + len(words)
-        else:
+            if not size:
+                start = place.start() + len(place.group()) - len(place.group().lstrip())
+            end, size = place.start() + len(place.group().rstrip()), size + words
+        elif size:
             close()
             size = 0
         seen.add(key)

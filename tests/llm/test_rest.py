@@ -13,7 +13,7 @@ from loadweave.llm import editsketch, linededup, sharding, urltree
 from loadweave.llm.queries import QUERIES, URL_RULES
 
 
-WORD = r"[\u3040-\u30ff\u4e00-\u9fff]|[^\W\u3040-\u30ff\u4e00-\u9fff]+"
+WORD = r"[\u3040-\u30ff\u4e00-\u9fff]|[^\s\u3040-\u30ff\u4e00-\u9fff]+"
 
 
 def plain_units(text):
@@ -21,7 +21,7 @@ def plain_units(text):
     found, place = [], 0
     for line in text.split("\n"):
         for m in re.finditer(r"[^.!?…。！？]*[.!?…。！？]+|[^.!?…。！？]+", line):
-            words = re.findall(WORD, m.group().lower())
+            words = re.findall(WORD, m.group().strip(" .!?…。！？").lower())
             if words:
                 part = m.group()
                 found.append((place + m.start() + len(part) - len(part.lstrip()), place + m.start() + len(part.rstrip()), tuple(words)))
