@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from loadweave.catalog.registry import READINGS, TECHNOLOGIES, VARIABLES, WEATHER_ROWS, paris_to_utc, query, readings, rounded, table, weather_rows
 from loadweave.catalog.reshape_queries import COUNTS_SQL, HOURS, LONG_SQL, report_rows, wide_days
-from loadweave.functions.timeutil import hour_floor
+from loadweave.functions.timeutil import hour_floor, step_floor
 from loadweave.plans.datasets import build_hourly_dataset, build_load_dataset, build_weather_dataset, normalise_reports
 from loadweave.session import scratch_path
 from loadweave.sources import files, payloads, tables
@@ -260,6 +260,38 @@ def load_files_to_dataset(spark, folder):
     return dataset
 
 
+_REJECTED = """
+  (SELECT technology AS kind, b, CASE WHEN hour(b) % 7 = 3 THEN NULL ELSE b END AS t, hour(b) % 11 = 5 AS no_number, unnest(range(CASE WHEN hour(b) % 5 = 0 THEN 2 ELSE 1 END)) AS copy
+   FROM (SELECT event_type AS technology, time_bucket(INTERVAL 30 MINUTE, ts) AS b FROM events GROUP BY 1, 2))
+"""
+
+
+@query(
+    "load_rejected_rows",
+    f"""WITH r AS (SELECT * FROM {_REJECTED}), u AS (SELECT DISTINCT kind, t FROM r WHERE t IS NOT NULL),
+          s AS (SELECT kind, t, t - lag(t) OVER (PARTITION BY kind ORDER BY t) AS step FROM u),
+          c AS (SELECT kind, count(*) AS "rows", min(t) AS min_dt, max(t) AS max_dt, count(*) FILTER (WHERE step <> INTERVAL 30 MINUTE) AS n_bad_steps FROM s GROUP BY 1)
+        SELECT r.kind, c."rows", c.min_dt, c.max_dt, c.n_bad_steps, count(*) AS rows_read, count(*) FILTER (WHERE t IS NULL) AS no_time,
+          count(*) FILTER (WHERE t IS NOT NULL AND no_number) AS no_number, count(*) FILTER (WHERE t IS NOT NULL) - c."rows" AS duplicates
+        FROM r JOIN c ON c.kind = r.kind GROUP BY r.kind, c."rows", c.min_dt, c.max_dt, c.n_bad_steps""",
+)
+def load_rejected_rows(spark, folder):
+    """Files of one name in a folder per technology, each with a blank first line, bad times, bad numbers and repeats: one report line per path."""
+    root = scratch_path(spark, "load-rejected")
+    r = readings(spark, folder)
+    halves = r.groupBy(F.col("technology").alias("kind"), step_floor("datetime", 30).alias("b")).agg(F.round(F.avg("load_mw"), 6).alias("v"))
+    copies = F.explode(F.sequence(F.lit(1), F.when(F.hour("b") % 5 == 0, 2).otherwise(1))).alias("copy")
+    stamp = F.when(F.hour("b") % 7 == 3, "bad").otherwise(F.date_format("b", "yyyy-MM-dd HH:mm:ss"))
+    rows = halves.select("kind", F.date_format("b", "yyyy-MM-dd HH:mm:ss").alias("place"), copies, F.concat_ws(",", stamp, F.when(F.hour("b") % 11 == 5, "n/a").otherwise(F.col("v").cast("string"))).alias("value"))
+    heads = halves.select("kind").distinct().select("kind", F.explode(F.array(*[F.struct(F.lit(place).alias("place"), F.lit(0).alias("copy"), F.lit(text).alias("value")) for place, text in (("", ""), ("0", "datetime,load_mw"))])).alias("h"))
+    # One writing task gives the file of every folder the same name; these are half hours, not events.
+    ordered = heads.select("kind", "h.*").unionByName(rows).repartition(1).sortWithinPartitions("kind", "place", "copy")
+    ordered.select("kind", "value").write.partitionBy("kind").text(f"{root}/raw")
+    _, report = build_load_dataset(spark, f"{root}/raw/kind=*", f"{root}/clean")
+    kind = F.regexp_extract("path", r"/kind=([^/]+)/[^/]*$", 1).alias("kind")
+    return report.select(kind, "rows", "min_dt", "max_dt", "n_bad_steps", "rows_read", "no_time", "no_number", "duplicates")
+
+
 @query(
     "hourly_job",
     f"""SELECT l.datetime, l.load_mw, w.temperature_2m FROM

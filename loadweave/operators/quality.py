@@ -38,12 +38,16 @@ def continuity(
     )
 
 
-def load_continuity(df: DataFrame, time: str = "datetime", file: str = "file", pieces: int | None = None, files: DataFrame | None = None) -> DataFrame:
-    """Half-hour continuity per file; files of the given list that have no row get a line with 0 rows."""
-    found = continuity(df, time, [file], interval(minutes=30), pieces)
+def load_continuity(df: DataFrame, time: str = "datetime", file: str | Sequence[str] = "file", pieces: int | None = None, files: DataFrame | None = None) -> DataFrame:
+    """Half-hour continuity per file; files of the given list that have no row get a line with 0 rows.
+
+    file: the column or columns that tell files apart, such as name and path.
+    """
+    keys = [file] if isinstance(file, str) else list(file)
+    found = continuity(df, time, keys, interval(minutes=30), pieces)
     if files is not None:
-        found = files.select(file).join(found, file, "left").fillna(0, ["rows", "n_bad_steps"])
-    return found.orderBy(file)
+        found = files.select(*keys).join(found, keys, "left").fillna(0, ["rows", "n_bad_steps"])
+    return found.orderBy(*keys)
 
 
 def weather_continuity(df: DataFrame, time: str = "datetime", city: str = "city", pieces: int | None = None) -> DataFrame:

@@ -113,14 +113,21 @@ def rows_to_long(rows: DataFrame) -> DataFrame:
 
 
 def report_to_long(lines: DataFrame, year: Column | int, tz: str = "utc", lines_per_chunk: int = LINES_PER_CHUNK) -> DataFrame:
-    """Complete normaliser: datetime, date, year, hour_interval, technology, value_mw.
+    """Complete normaliser: datetime, date, year, hour_interval, technology, value_mw (see finish_report)."""
+    return finish_report(report_rows(lines, lines_per_chunk), year, tz)
 
-    ``tz="utc"`` converts from local time, drops rows without a valid or unique
-    instant and averages repeated keys; ``tz="local"`` keeps all rows as read.
-    ``year`` is a constant or an expression on ``file``.
+
+def report_rows(lines: DataFrame, lines_per_chunk: int = LINES_PER_CHUNK) -> DataFrame:
+    """The long rows of report lines in local time, with their file."""
+    return rows_to_long(keep_hour_rows(assign_blocks(lines, lines_per_chunk)))
+
+
+def finish_report(rows: DataFrame, year: Column | int, tz: str = "utc") -> DataFrame:
+    """``tz="utc"`` converts from local time, drops rows without a valid or unique instant and averages repeated keys.
+
+    ``tz="local"`` keeps all rows as read. ``year`` is a constant or an expression on ``file``.
     """
-    rows = keep_hour_rows(assign_blocks(lines, lines_per_chunk))
-    long = rows_to_long(rows).withColumn("year", year if isinstance(year, Column) else F.lit(year))
+    long = rows.withColumn("year", year if isinstance(year, Column) else F.lit(year))
     columns = [*REPORT_KEY, "value_mw"]
     if tz == "local":
         return long.select(*columns)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from datetime import datetime
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from loadweave.functions.text import finite
 from loadweave.operators.backtest import daily_metrics, pooled_metrics, walk_forward_folds
 from loadweave.operators.features import FEATURES, TARGET, check_contract, contract_of_maps
-from loadweave.session import scratch_root, stage
+from loadweave.session import scratch_path, scratch_root, stage
 
 ROWS_PER_TASK = 50_000
 
@@ -53,9 +54,9 @@ def boosted_trees(features: Sequence[str] = FEATURES, label: str = TARGET, param
 
 
 def train(
-    df: DataFrame, features: Sequence[str] = FEATURES, label: str = TARGET, params: BoostingParams | None = None
+    df: DataFrame, features: Sequence[str] = FEATURES, label: str = TARGET, params: BoostingParams | None = None, stored: bool = False
 ) -> PipelineModel:
-    """Fits on all rows with a label.
+    """Fits on all rows with a label; ``stored`` rows are a stored table or a filter on one, and are not copied.
 
     A missing feature value counts as the mean of the training rows, 0.0 where
     they have none; the means are part of the model, so rows with missing
@@ -66,7 +67,8 @@ def train(
     if context.getCheckpointDir() is None:
         # Boosting cuts the lineage of its intermediate errors here.
         context.setCheckpointDir(scratch_root(df.sparkSession))
-    rows = stage(df.select(*features, label).where(finite(label).isNotNull()), "training")
+    rows = df.select(*features, label).where(finite(label).isNotNull())
+    rows = rows if stored else stage(rows, "training")
     facts = rows.agg(F.count(F.lit(1)).alias("_rows"), *[F.avg(finite(name)).alias(name) for name in features]).first()
     filled = ", ".join(f"coalesce(nanvl(CAST(`{n}` AS DOUBLE), NULL), {facts[n] or 0.0!r}D) AS `_filled_{n}`" for n in features)
     fill = SQLTransformer(statement=f"SELECT *, {filled} FROM __THIS__")
@@ -117,36 +119,42 @@ def walk_forward(
     horizon_hours: int = 24,
     params: BoostingParams | None = None,
     stride: int = 1,
+    side_by_side: int = 8,
 ) -> DataFrame:
     """Forecasts of each fold by a model that knows only what lay before it: fold, target_time, actual, forecast.
 
-    rows: features at ``time`` and the label ``horizon_hours`` later. A fold
-    trains on the rows whose label lay before its start and forecasts the
-    ``horizon_hours`` from its start on. Each fold is one distributed fit; the
-    loop is over folds only. A fold without training rows is left out. Without
-    ``folds``, all days that have earlier rows are folds, or every
-    ``stride``-th of them.
+    rows: features at ``time`` and the label ``horizon_hours`` later, stored once. A
+    fold is two filters on them: it trains on the rows whose label lay before its
+    start and forecasts the ``horizon_hours`` from its start on. Boosting is a long row
+    of short jobs that leave tasks free, so ``side_by_side`` folds are fitted at a
+    time, each in a scheduler pool of its own (they share tasks evenly where
+    spark.scheduler.mode is FAIR). A fold without training rows is left out. Without
+    ``folds``, all days that have earlier rows are folds, or every ``stride``-th.
     """
+    spark = rows.sparkSession
     rows = stage(rows.withColumn("target_time", F.col(time) + F.make_interval(hours=F.lit(horizon_hours))), "backtest")
     if folds is None:
         # One row per day reaches the driver.
         days = walk_forward_folds(rows.where(F.col("target_time").isNotNull()), "target_time", horizon_hours).select("fold").sort("fold").collect()
         folds = [str(r.fold) for r in days][::stride]
-    found = None
-    for fold in folds:
+    first = rows.where(finite(label).isNotNull()).agg(F.min("target_time")).first()[0]
+    folds = [fold for fold in folds if first is not None and first < datetime.fromisoformat(fold)]
+    if not folds:
+        raise ValueError("no fold has rows to train on")
+    out = scratch_path(spark, "folds")
+
+    def forecast(numbered: tuple[int, str]) -> None:
+        number, fold = numbered
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fold-{number % side_by_side}")
         start = F.lit(fold).cast("timestamp_ntz")
-        known = rows.where((F.col("target_time") < start) & finite(label).isNotNull())
-        if known.isEmpty():
-            continue
+        known = rows.where(F.col("target_time") < start)
         asked = rows.where((F.col("target_time") >= start) & (F.col("target_time") < start + F.make_interval(hours=F.lit(horizon_hours))))
-        scored = score(train(known, features, label, params), asked, features)
-        part = scored.select(start.alias("fold"), "target_time", F.col(label).alias("actual"), F.col("prediction").alias("forecast"))
-        # Stored, so that the models of earlier folds are not held in the plan.
-        part = stage(part, "fold")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        raise ValueError("no fold has rows to train on")
-    return found
+        scored = score(train(known, features, label, params, stored=True), asked, features)
+        scored.select(start.alias("fold"), "target_time", F.col(label).alias("actual"), F.col("prediction").alias("forecast")).write.parquet(f"{out}/number={number}")
+
+    with ThreadPool(min(side_by_side, len(folds))) as pool:
+        pool.map(inheritable_thread_target(spark)(forecast), enumerate(folds), chunksize=1)
+    return spark.read.parquet(out).drop("number")
 
 
 def backtest_report(forecasts: DataFrame) -> tuple[DataFrame, DataFrame]:

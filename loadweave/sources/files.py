@@ -1,9 +1,10 @@
 """CSV, Parquet and text files of load, weather, cities and capacity.
 
 Text-based files are read as text columns and typed by explicit rules. Rows
-carry their file name and, under ``_block`` and ``_id``, their place in it:
-the start of the file split and a counter within the scan. Sorting by these
-three gives file order, then row order, however the scan was split.
+carry the name and the path of their file and, under ``_block`` and ``_id``, their
+place in it: the start of the file split and a counter within the scan. Sorting by
+path and place gives file order, then row order, however the scan was split. Files
+are told apart by path: two folders may hold files of one name.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from loadweave.functions.timeutil import parse_years, utc_from_text
 from loadweave.operators.align import union_all
 from loadweave.session import stage
 
-FILE_ORDER = ("file", "_block", "_id")
+FILE_ORDER = ("path", "_block", "_id")
+PLACE = ("file", *FILE_ORDER)
 # Canonical stem of the yearly load files and the order of preference.
 WIDE_STEM = "Historique_consommation_INST_{year}"
 WIDE_SUFFIXES = ("parquet", "csv", "xlsx", "xls")
@@ -48,62 +50,75 @@ def raw_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return stage(lines, "lines")
 
 
-def file_names(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """file: the name of every file, from the listing alone."""
-    listed = spark.read.format("binaryFile").load(paths).select("path")
-    return listed.select(F.regexp_extract("path", r"[^/]*$", 0).alias("file")).distinct()
+def listed_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """file, path of every file, from the listing alone."""
+    listed = spark.read.format("binaryFile").load(paths)
+    return listed.select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path")).distinct()
 
 
 def read_csv_by_header(spark: SparkSession, paths: str | list[str]) -> list[DataFrame]:
     """One DataFrame of text columns per distinct header, names repaired; an error if no file has a header.
 
-    The text is scanned once. The first line of each file is found on the stored
-    lines and joined back to them by file; only the distinct headers reach the
-    driver.
+    The header of a file is its first line that is not blank. The text is scanned
+    once; headers are found on the stored lines and joined back by path, and only the
+    distinct ones reach the driver. The stored lines are read once per distinct header.
     """
     lines = raw_lines(spark, paths)
-    first = lines.where("_block = 0").groupBy("path").agg(F.min_by("value", "_id").alias("head"), F.min("_id").alias("_first"))
-    first = stage(first.where("head <> ''"), "headers")
+    body = lines.where(F.trim(F.replace("value", F.lit("\ufeff"))) != "")
+    place = F.struct("_block", "_id")
+    first = body.groupBy("path").agg(F.min_by("value", place).alias("head"), F.min_by("_id", place).alias("_first"))
+    first = stage(first, "headers")
     heads = sorted((r["path"], r["head"]) for r in first.groupBy("head").agg(F.min("path").alias("path")).collect())
     if not heads:
         raise ValueError(f"no file with a header in {paths}")
-    body = lines.where(F.trim("value") != "")
     frames = []
     for _, head in heads:
         names = next(csv.reader([head.lstrip("\ufeff")]))
         own = body.join(first.where(F.col("head") == head).select("path", "_first"), "path").where("_id <> _first")
         schema = ", ".join(f"_c{i} string" for i in range(len(names)))
-        placed = own.select(F.from_csv("value", schema).alias("r"), *FILE_ORDER).select("r.*", *FILE_ORDER)
-        frames.append(first_of_each_name(normalise_names(placed.toDF(*names, *FILE_ORDER))))
+        placed = own.select(F.from_csv("value", schema).alias("r"), *PLACE).select("r.*", *[F.col(c).alias(f"_p_{c}") for c in PLACE])
+        # The place is named apart: a header may have a column `path` or `file` of its own.
+        frames.append(first_of_each_name(normalise_names(placed.toDF(*names, *[f"_p_{c}" for c in PLACE]))))
     return frames
 
 
-def clean_load(df: DataFrame, formats: Sequence[str] = ()) -> DataFrame:
-    """datetime, load_mw and the place of the row; rows without a valid time drop out (see untimed_rows)."""
+def _placed(df: DataFrame) -> DataFrame:
+    """The place of the rows under its own names; columns of the file that are named so go."""
+    own = [c for c in PLACE if f"_p_{c}" in df.columns]
+    return df.drop(*own).withColumnsRenamed({f"_p_{c}": c for c in own})
+
+
+def clean_load(df: DataFrame, formats: Sequence[str] = (), keep_untimed: bool = False) -> DataFrame:
+    """datetime, load_mw and the place of the row; rows without a valid time drop out unless they are to be counted."""
     require_columns(df, "datetime")
-    timed = drop_null_keys(df.withColumn("datetime", utc_from_text("datetime", formats)), "datetime")
-    place = [c for c in FILE_ORDER if c in df.columns]
-    value = alias_load(drop_if_present(timed, "statut", "slot_index", "date", "year").withColumnsRenamed({c: f"_p_{c}" for c in place}))
-    return value.select("datetime", "load_mw", *[F.col(f"_p_{c}").alias(c) for c in place])
+    timed = df.withColumn("datetime", utc_from_text("datetime", formats))
+    timed = timed if keep_untimed else drop_null_keys(timed, "datetime")
+    bare = PLACE if not any(c.startswith("_p_") for c in df.columns) else ()
+    value = alias_load(drop_if_present(timed, "statut", "slot_index", "date", "year").withColumnsRenamed({c: f"_p_{c}" for c in bare}))
+    return _placed(value.select("datetime", "load_mw", *[f"_p_{c}" for c in PLACE if f"_p_{c}" in value.columns]))
 
 
-def untimed_rows(df: DataFrame, column: str, formats: Sequence[str] = ()) -> DataFrame:
-    """file, dropped: how many rows of each file have a time text that is read as no time, or none at all."""
-    lost = utc_from_text(column, formats).isNull().cast("long")
-    return df.groupBy("file").agg(F.sum(lost).alias("dropped"))
+def rejected_rows(load: DataFrame) -> DataFrame:
+    """file, path, rows_read, no_time, no_number of rows read with ``keep_untimed``.
+
+    no_number: rows with a time whose value is no number, or none at all.
+    """
+    untimed, valueless = F.col("datetime").isNull(), F.col("datetime").isNotNull() & F.col("load_mw").isNull()
+    return load.groupBy("file", "path").agg(F.count(F.lit(1)).alias("rows_read"), F.count_if(untimed).alias("no_time"), F.count_if(valueless).alias("no_number"))
 
 
-def read_load_long(spark: SparkSession, paths: str | list[str], formats: Sequence[str] = ()) -> DataFrame:
-    """Long load files in UTC: datetime, load_mw, file, _block, _id. Raises if there is no file.
+def read_load_long(spark: SparkSession, paths: str | list[str], formats: Sequence[str] = (), keep_untimed: bool = False) -> DataFrame:
+    """Long load files in UTC: datetime, load_mw, file, path, _block, _id. Raises if there is no file.
 
-    formats: of times that are not ISO text, tried in order.
+    formats: of times that are not ISO text, tried in order. keep_untimed: rows
+    without a valid time stay, with a null one.
     """
-    return union_all(*[clean_load(frame, formats) for frame in read_csv_by_header(spark, paths)])
+    return union_all(*[clean_load(frame, formats, keep_untimed) for frame in read_csv_by_header(spark, paths)])
 
 
 def clean_weather(df: DataFrame, formats: Sequence[str] = ()) -> DataFrame:
     """Named, timed and trimmed city weather; rows without city or time drop out."""
-    named = require_columns(normalise_names(df), "city", ("datetime", "date"))
+    named = require_columns(normalise_names(_placed(df)), "city", ("datetime", "date"))
     source = "datetime" if "datetime" in named.columns else "date"
     kind = dict(named.dtypes)[source]
     time = utc_from_text(source, formats) if kind == "string" else F.col(source).cast("timestamp_ntz")
@@ -118,7 +133,7 @@ def read_weather(spark: SparkSession, paths: str | list[str], formats: Sequence[
     files that call it ``datetime`` can be read together.
     """
     frames = [clean_weather(frame, formats) for frame in read_csv_by_header(spark, paths)]
-    return cast_numeric_texts(union_all(*frames), exclude=("city", "file"))
+    return cast_numeric_texts(union_all(*frames), exclude=("city", "file", "path"))
 
 
 def choose_wide_files(spark: SparkSession, root: str, years: str) -> dict[int, str]:

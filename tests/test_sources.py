@@ -41,13 +41,30 @@ def test_load_dataset(spark, load_files, tmp_path):
     assert sorted(map(tuple, dataset.collect()), key=lambda r: r[0]) == [
         (hour(0, 0), 10.0), (hour(0, 30), 11.0), (hour(1, 30), 13.0), (hour(2, 0), 20.0), (hour(2, 30), None),
     ]
-    assert [tuple(r) for r in report.collect()] == [
-        ("load_2001_long.csv", 3, hour(0, 0), hour(1, 30), 1),
-        ("load_2002_long.csv", 3, hour(1, 30), hour(2, 30), 0),
-        ("load_2003_long.csv", 0, None, None, 0),
+    assert [tuple(r) for r in report.drop("path").collect()] == [
+        ("load_2001_long.csv", 3, hour(0, 0), hour(1, 30), 1, 6, 2, 0, 1),
+        ("load_2002_long.csv", 3, hour(1, 30), hour(2, 30), 0, 3, 0, 1, 0),
+        ("load_2003_long.csv", 0, None, None, 0, 0, 0, 0, 0),
     ]
 
 
+def test_blank_first_lines_and_files_of_one_name(spark, tmp_path):
+    write(tmp_path, "a/x_long.csv", "\n  \r\n\ufeffdatetime,load_mw\n2001-01-01 00:00:00,1\n2001-01-01 00:30:00,2\n")
+    write(tmp_path, "b/x_long.csv", "datetime,load_mw,path,file\n2001-01-01 00:30:00,9,p,f\n\n2001-01-01 02:00:00,3,p,f\nnone,4,p,f\n")
+    write(tmp_path, "b/y_long.csv", "\n\n")
+    dataset, report = build_load_dataset(spark, str(tmp_path / "*" / "*_long.csv"), str(tmp_path / "out"))
+    hour = lambda h, m: datetime(2001, 1, 1, h, m)
+    assert sorted(map(tuple, dataset.collect())) == [(hour(0, 0), 1.0), (hour(0, 30), 2.0), (hour(2, 0), 3.0)]
+    assert [(r.path.rsplit("/", 2)[1], *tuple(r.asDict()[c] for c in ("file", "rows", "min_dt", "n_bad_steps", "rows_read", "no_time", "duplicates"))) for r in report.collect()] == [
+        ("a", "x_long.csv", 2, hour(0, 0), 0, 2, 0, 0),
+        ("b", "x_long.csv", 2, hour(0, 30), 1, 3, 1, 0),
+        ("b", "y_long.csv", 0, None, 0, 0, 0, 0),
+    ]
+    write(tmp_path, "w/w.csv", "\ncity,datetime,temperature_2m,path\nParis,2020-01-01 00:00:00,4,here\n")
+    weather = files.read_weather(spark, str(tmp_path / "w"))
+    assert weather.select("city", "temperature_2m").collect() == [("Paris", 4.0)]
+
+
 def test_columns_in_another_order_lose_no_row(spark, tmp_path):
     write(tmp_path, "l2001.csv", "datetime,load_mw\n2001-01-01 00:00:00,1\n")
     write(tmp_path, "l2002.csv", "load_mw,datetime\n2,2002-01-01 00:00:00\n")
@@ -177,6 +194,9 @@ def test_report_job(spark, tmp_path):
         (datetime(2021, 1, 4, 23), "Nucléaire", 1000.5), (datetime(2021, 1, 4, 23), "Œuvre", 0.0),
         (datetime(2021, 1, 5, 0), "Nucléaire", 7.0), (datetime(2021, 1, 5, 0), "Œuvre", 0.0),
     ]
+    write(tmp_path, "in/deaf_2021.txt", "nothing here\n")
+    with pytest.warns(UserWarning, match="no rows extracted from .*/deaf_2021.txt$"):
+        normalise_reports(spark, str(tmp_path / "in"), str(tmp_path / "out3"))
     write(tmp_path, "none/r_2021.txt", "nothing here\n")
     with pytest.raises(ValueError, match="no rows"):
         normalise_reports(spark, str(tmp_path / "none"), str(tmp_path / "out2"))
@@ -242,6 +262,6 @@ def test_other_time_formats_and_dropped_rows(spark, tmp_path):
     path = str(tmp_path / "l*.csv")
     rows = files.read_load_long(spark, path, formats=["yyyy/M/d H:mm"]).select("datetime", "load_mw").collect()
     assert sorted(map(tuple, rows)) == [(datetime(2024, 1, 1, 0, 30), 1.0), (datetime(2024, 1, 1, 1), 2.0)]
-    [frame] = files.read_csv_by_header(spark, path)
-    assert [tuple(r) for r in files.untimed_rows(frame, "datetime").collect()] == [("l1.csv", 3)]
-    assert [tuple(r) for r in files.untimed_rows(frame, "datetime", ["yyyy/M/d H:mm"]).collect()] == [("l1.csv", 2)]
+    lost = lambda formats: files.rejected_rows(files.read_load_long(spark, path, formats, keep_untimed=True)).drop("path").collect()
+    assert lost(()) == [("l1.csv", 4, 3, 0)]
+    assert lost(["yyyy/M/d H:mm"]) == [("l1.csv", 4, 2, 0)]
