@@ -1,17 +1,17 @@
 """Load history kept up to date from arriving payloads, and live scoring.
 
-The history lies in Parquet below ``data/<version>/<day>``. A batch rewrites
-only the days it touches and then writes a manifest that names the version of
-every retained day. The manifest is written last and as one file: readers
-never see a version in the making, they open no file but the current ones, and
-a batch that is run again replaces its own version only.
+The history is one Parquet table partitioned by day. A batch rewrites only the days
+it touches, by dynamic partition overwrite, from a merge that is stored first. Rows
+carry the batch that wrote them, and the time up to which rows had left the history
+by then. A batch that is run again after a crash starts from its stored merge, so a
+day that the crash caught half replaced is written again in full. Days that have left
+the history are not read; removing them is up to the store's retention rules.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from datetime import date, datetime, timedelta, timezone
-from typing import NamedTuple
+from collections.abc import Callable
+from datetime import datetime, timedelta, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
@@ -28,56 +28,42 @@ from loadweave.session import stage
 from loadweave.sources.payloads import LOAD_PAYLOAD, flatten_load
 
 KEEP_DAYS = 10
-KEEP_MANIFESTS = 5
-MANIFEST_SCHEMA = "day date, version bigint, cutoff timestamp_ntz"
-HISTORY_SCHEMA = "datetime timestamp_ntz, load_mw double"
-
-
-class Manifest(NamedTuple):
-    """Version of each retained day, and the time up to which rows have left the history."""
-
-    days: dict[date, int]
-    cutoff: datetime | None
+HISTORY_SCHEMA = "datetime timestamp_ntz, load_mw double, batch_id bigint, cutoff timestamp_ntz, day date"
+MARK_SCHEMA = "batch_id bigint, content string"
 
 
 def utc_now() -> str:
     return datetime.now(timezone.utc).replace(tzinfo=None).isoformat(sep=" ")
 
 
-def current_version(spark: SparkSession, root: str, before: int | None = None) -> int | None:
-    """Newest complete version (below ``before``), from the names of the manifests alone."""
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table that may not be there yet, empty then."""
     try:
-        listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{root}/manifest/*").select("path")
+        return spark.read.schema(schema).parquet(path)
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return None
-    versions = listed.select(F.regexp_extract("path", r"/manifest/(\d+)/[^/]*$", 1).cast("bigint").alias("version"))
-    if before is not None:
-        versions = versions.where(F.col("version") < before)
-    return versions.agg(F.max("version")).first()[0]
+        return spark.createDataFrame([], schema)
 
 
-def read_manifest(spark: SparkSession, root: str, before: int | None = None) -> Manifest | None:
-    version = current_version(spark, root, before)
-    if version is None:
-        return None
-    rows = spark.read.schema(MANIFEST_SCHEMA).parquet(f"{root}/manifest/{version}").collect()  # one row per day
-    return Manifest({r["day"]: r["version"] for r in rows}, rows[0]["cutoff"] if rows else None)
+def read_rows(spark: SparkSession, root: str) -> DataFrame:
+    """All stored rows with batch_id, cutoff and day, those that have left the history too."""
+    return _stored(spark, f"{root}/rows", HISTORY_SCHEMA)
 
 
-def read_days(spark: SparkSession, root: str, manifest: Manifest | None, only: Sequence[date] | None = None) -> DataFrame:
-    """Rows of the manifest's days, or of some of them."""
-    chosen = {} if manifest is None else {d: v for d, v in manifest.days.items() if only is None or d in only}
-    if not chosen:
-        return spark.createDataFrame([], HISTORY_SCHEMA)
-    rows = spark.read.schema(HISTORY_SCHEMA).parquet(*[f"{root}/data/{v}/day={d}" for d, v in chosen.items()])
-    return rows if manifest.cutoff is None else rows.where(F.col("datetime") > naive(manifest.cutoff))
+def last_batch(spark: SparkSession, root: str) -> tuple[int | None, datetime | None]:
+    """The newest batch in the history and the time up to which rows have left it."""
+    return tuple(read_rows(spark, root).agg(F.max("batch_id"), F.max_by("cutoff", "batch_id")).first())
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
     """The current history."""
-    return read_days(spark, root, read_manifest(spark, root))
+    _, cutoff = last_batch(spark, root)
+    rows = read_rows(spark, root)
+    if cutoff is not None:
+        # The day prunes partitions, the time cuts the first one.
+        rows = rows.where((F.col("day") >= F.lit(cutoff.date())) & (F.col("datetime") > naive(cutoff)))
+    return rows.select("datetime", "load_mw")
 
 
 def new_values(payloads: DataFrame) -> DataFrame:
@@ -89,55 +75,31 @@ def new_values(payloads: DataFrame) -> DataFrame:
     return keep_last(timed, ["datetime"], ["_updated", "load_mw"]).select("datetime", "load_mw")
 
 
-def merge_batch(payloads: DataFrame, root: str, version: int, as_of: str, keep_days: int = KEEP_DAYS) -> None:
-    """Merges one batch into the history as ``version``; an empty batch changes nothing.
+def merge_batch(payloads: DataFrame, root: str, batch_id: int, as_of: str, keep_days: int = KEEP_DAYS) -> None:
+    """Merges one batch into the history; an empty batch changes nothing.
 
     Rows up to ``as_of`` minus ``keep_days`` leave the history, except that the
     very first batch is stored whole.
     """
     spark = payloads.sparkSession
-    fresh = stage(new_values(payloads), "batch")
-    days = [r["day"] for r in fresh.select(F.col("datetime").cast("date").alias("day")).distinct().collect()]
+    fresh = stage(new_values(payloads).withColumn("day", F.col("datetime").cast("date")), "batch")
+    days = [r["day"] for r in fresh.select("day").distinct().collect()]
     if not days:
         return
-    base = read_manifest(spark, root, before=version)
-    merged = fresh
-    if base is not None:
-        merged = combine_first(fresh, read_days(spark, root, base, days), "datetime", ["load_mw"])
-    dated = merged.withColumn("day", F.col("datetime").cast("date")).repartitionByRange("day", "datetime")
-    dated.sortWithinPartitions("day", "datetime").write.mode("overwrite").partitionBy("day").parquet(f"{root}/data/{version}")
-    cutoff = None if base is None else datetime.fromisoformat(as_of) - timedelta(days=keep_days)
-    versions = {**(base.days if base else {}), **{day: version for day in days}}
-    kept = [(day, v, cutoff) for day, v in sorted(versions.items()) if cutoff is None or day >= cutoff.date()]
-    spark.createDataFrame(kept, MANIFEST_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{root}/manifest/{version}")
-    expire_versions(spark, root)
-
-
-def expire_versions(spark: SparkSession, root: str, keep: int = KEEP_MANIFESTS) -> None:
-    """Removes all manifests but the newest, and data versions that none of those names.
-
-    Versions from the oldest kept manifest on stay, so a batch in the making, a
-    repeated batch and readers of a recent version find what they need.
-    """
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    files = folder(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def numbered(name: str) -> list[int]:
-        at = folder(f"{root}/{name}")
-        names = [s.getPath().getName() for s in files.listStatus(at)] if files.exists(at) else []
-        return sorted(int(n) for n in names if n.isdigit())
-
-    manifests = numbered("manifest")
-    kept = manifests[-keep:]
-    if len(manifests) <= keep:
-        return
-    rows = spark.read.schema(MANIFEST_SCHEMA).parquet(*[f"{root}/manifest/{v}" for v in kept])
-    named = {r[0] for r in rows.select("version").distinct().collect()}
-    for version in manifests[:-keep]:
-        files.delete(folder(f"{root}/manifest/{version}"), True)
-    for version in numbered("data"):
-        if version < kept[0] and version not in named:
-            files.delete(folder(f"{root}/data/{version}"), True)
+    # Two places take turns; the mark, written last, names the batch whose merge is complete, and its content.
+    place = f"{root}/merged/{batch_id % 2}"
+    content = fresh.agg(F.sum(F.xxhash64("datetime", "load_mw").cast("decimal(20,0)"))).first()[0]
+    mark = spark.createDataFrame([(batch_id, str(content))], MARK_SCHEMA)
+    if _stored(spark, f"{place}/mark", MARK_SCHEMA).intersect(mark).isEmpty():
+        newest, _ = last_batch(spark, root)
+        cutoff = None if newest is None else datetime.fromisoformat(as_of) - timedelta(days=keep_days)
+        base = read_rows(spark, root).where(F.col("day").isin(days)).select("datetime", "load_mw")
+        merged = combine_first(fresh.drop("day"), base, "datetime", ["load_mw"])
+        marked = merged.withColumns({"batch_id": F.lit(batch_id).cast("bigint"), "cutoff": F.lit(cutoff).cast("timestamp_ntz"), "day": F.col("datetime").cast("date")})
+        marked.write.mode("overwrite").parquet(f"{place}/rows")
+        mark.write.mode("overwrite").parquet(f"{place}/mark")
+    dated = spark.read.schema(HISTORY_SCHEMA).parquet(f"{place}/rows").repartitionByRange("day", "datetime")
+    dated.sortWithinPartitions("day", "datetime").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{root}/rows")
 
 
 def follow_history(

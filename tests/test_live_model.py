@@ -11,7 +11,7 @@ from loadweave.catalog import REGISTRY, feature_queries
 from loadweave.operators.features import FEATURES, TARGET, WEATHER, feature_table, horizon_features, read_contract
 from loadweave.plans.model import BoostingParams, backtest_report, boosted_trees, score, score_requests, train, walk_forward
 from loadweave.sources.payloads import LOAD_PAYLOAD
-from loadweave.streaming.live import current_version, follow_history, follow_predictions, live_prediction, merge_batch, read_current
+from loadweave.streaming.live import follow_history, follow_predictions, last_batch, live_prediction, merge_batch, read_current
 
 TABLES = "/root/testdata/sf0.001"
 START = datetime(2024, 1, 1)
@@ -62,9 +62,9 @@ def parsed(spark, *documents):
 
 def test_merge_rules(spark, tmp_path):
     root = str(tmp_path / "h")
-    assert current_version(spark, root) is None and read_current(spark, root).count() == 0
+    assert last_batch(spark, root) == (None, None) and read_current(spark, root).count() == 0
     merge_batch(parsed(spark, {"short_term": []}), root, 0, NOW)
-    assert current_version(spark, root) is None
+    assert last_batch(spark, root) == (None, None)
     merge_batch(parsed(spark, document(930, 940)), root, 1, NOW)
     merge_batch(parsed(spark, document(935, 945, 0.5, hole=937)), root, 2, NOW)
     index = lambda t: int((t - START).total_seconds() // 1800)
@@ -73,16 +73,16 @@ def test_merge_rules(spark, tmp_path):
     # The same batch again gives the same version; an empty one changes nothing.
     merge_batch(parsed(spark, document(935, 945, 0.5, hole=937)), root, 2, NOW)
     merge_batch(parsed(spark, {"short_term": None}), root, 3, NOW)
-    assert current_version(spark, root) == 2
+    assert last_batch(spark, root) == (2, datetime(2024, 1, 11))
     assert [(index(t), v) for t, v in rows(read_current(spark, root))] == wanted
 
 
-def test_version_without_log_entry_is_not_current(spark, tmp_path):
+def test_batch_numbers_may_start_anew(spark, tmp_path):
+    """A stream with a new checkpoint counts its batches from 0; its data are merged all the same."""
     root = str(tmp_path / "h")
-    merge_batch(parsed(spark, document(930, 940)), root, 1, NOW)
-    half = read_current(spark, root).limit(1).withColumn("day", F.col("datetime").cast("date"))
-    half.write.partitionBy("day").parquet(f"{root}/data/2")
-    assert current_version(spark, root) == 1 and read_current(spark, root).count() == 10
+    merge_batch(parsed(spark, document(930, 940)), root, 0, NOW)
+    merge_batch(parsed(spark, document(938, 950)), root, 0, NOW)
+    assert [v for _, v in rows(read_current(spark, root))] == [float(i) for i in range(930, 950)]
 
 
 @pytest.fixture(scope="module")
@@ -221,22 +221,53 @@ def test_live_predictions_survive_a_bad_batch(spark, training, tmp_path, monkeyp
 def test_a_batch_rewrites_only_its_days(spark, tmp_path):
     root = str(tmp_path / "h")
     merge_batch(parsed(spark, document(0, 240)), root, 1, "2024-01-06 00:00:00")
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "h" / "rows").glob("day=*/*.parquet")}
     merge_batch(parsed(spark, document(238, 250, 0.5)), root, 2, "2024-01-06 05:00:00")
-    assert sorted(p.name for p in (tmp_path / "h" / "data" / "2").glob("day=*")) == ["day=2024-01-05", "day=2024-01-06"]
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "h" / "rows").glob("day=*/*.parquet")}
+    assert sorted({p.parent.name for p in before.keys() & after.keys()}) == [f"day=2024-01-0{d}" for d in (1, 2, 3, 4)]
+    assert all(before[p] == after[p] for p in before.keys() & after.keys())
     got = rows(read_current(spark, root))
     assert [v for _, v in got] == [float(i) if i < 238 else i + 0.5 for i in range(250)]
 
 
-def test_old_versions_expire(spark, tmp_path):
+def test_rows_leave_the_history(spark, tmp_path):
     root = str(tmp_path / "h")
-    for version in range(18):
-        merge_batch(parsed(spark, document(48 * version, 48 * version + 50)), root, version, (START + timedelta(days=version)).isoformat())
-    names = lambda part: sorted(int(p.name) for p in (tmp_path / "h" / part).glob("[0-9]*"))
-    assert names("manifest") == [13, 14, 15, 16, 17]
-    # The oldest kept manifest reaches ten days back.
-    assert names("data") == list(range(3, 18))
-    cutoff = START + timedelta(days=7)
-    assert rows(read_current(spark, root)) == [(t, float(i)) for i in range(48 * 17 + 50) if (t := START + timedelta(minutes=30 * i)) > cutoff]
+    for batch in range(13):
+        merge_batch(parsed(spark, document(48 * batch, 48 * batch + 50)), root, batch, (START + timedelta(days=batch)).isoformat())
+    cutoff = START + timedelta(days=2)
+    assert last_batch(spark, root) == (12, cutoff)
+    assert rows(read_current(spark, root)) == [(t, float(i)) for i in range(48 * 12 + 50) if (t := START + timedelta(minutes=30 * i)) > cutoff]
+
+
+def test_a_killed_batch_is_finished_by_its_restart(spark, tmp_path):
+    """The stream dies after a touched day is gone and before it is written again; the restart brings all of it back."""
+    import shutil
+
+    import loadweave.streaming.live as live
+
+    def run():
+        follow_history(spark, str(tmp_path / "in"), str(tmp_path / "h"), str(tmp_path / "c"), lambda: "2024-01-06 05:00:00", files_per_batch=1).awaitTermination()
+
+    land(tmp_path / "in", "0.json", document(0, 240))
+    run()
+    land(tmp_path / "in", "1.json", document(238, 250, 0.5))
+    merge = live.merge_batch
+
+    def die(*arguments):
+        merge(*arguments)
+        shutil.rmtree(tmp_path / "h" / "rows" / "day=2024-01-05")
+        raise RuntimeError("killed")
+
+    live.merge_batch = die
+    try:
+        with pytest.raises(Exception, match="killed"):
+            run()
+    finally:
+        live.merge_batch = merge
+    assert len(rows(read_current(spark, str(tmp_path / "h")))) < 240
+    run()
+    got = rows(read_current(spark, str(tmp_path / "h")))
+    assert [v for _, v in got] == [float(i) if i < 238 else i + 0.5 for i in range(250)]
 
 
 @pytest.mark.skipif(not Path(TABLES).exists(), reason="test tables are not here")
