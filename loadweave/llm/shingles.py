@@ -2,30 +2,68 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 from loadweave.llm.columns import U, hash_runs, mix, text_bytes
 
-# Words are runs of ASCII letters and digits and of all other non-ASCII characters, in lower case.
-_IN_WORD = np.array([i >= 0x80 or chr(i).isalnum() for i in range(256)])
 WORDS = 5
+BETWEEN, IN_WORD, A_WORD = range(3)
+# Scripts written without blanks between words, by the first words of their characters' names.
+UNSPACED = ("CJK", "HIRAGANA", "KATAKANA", "BOPOMOFO", "YI", "THAI", "LAO", "KHMER", "MYANMAR", "TIBETAN")
+
+
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """Per code point: BETWEEN words, IN_WORD (letters, marks, digits), or A_WORD by itself (letters of unspaced scripts)."""
+    table = np.zeros(sys.maxunicode + 1, np.uint8)
+    for code in range(sys.maxunicode + 1):
+        if unicodedata.category(c := chr(code))[0] in "LMN":
+            unspaced = code >= 0x80 and unicodedata.name(c, "").startswith(UNSPACED)
+            table[code] = A_WORD if unspaced else IN_WORD
+    return table
+
+
+def byte_classes(data: np.ndarray) -> np.ndarray:
+    """The class of the character that each byte of UTF-8 text belongs to."""
+    table = _classes()
+    found = table[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    size = 2 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0)
+    code = (data[lead] & (0x7F >> size).astype(np.uint8)).astype(np.int64)
+    for k in range(1, 4):
+        code = np.where(k < size, code << 6 | data[np.minimum(lead + k, len(data) - 1)] & 0x3F, code)
+    for k in range(4):
+        found[lead[k < size] + k] = table[code[k < size]]
+    return found
 
 
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all words one after the other, and the offsets of the rows in them."""
+    """The hashes of all words one after the other, and the offsets of the rows in them.
+
+    Words are runs of letters, marks and digits in lower case; in scripts
+    written without blanks every letter is a word.
+    """
     data, offsets = text_bytes(pc.utf8_lower(column.cast(pa.large_string())))
     n = len(data)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    inside = _IN_WORD[data]
-    row = np.zeros(n + 1, bool)
-    row[offsets] = True
-    begins, closes = inside.copy(), inside.copy()
-    begins[1:] &= ~inside[:-1] | row[1:n]
-    closes[:-1] &= ~inside[1:] | row[1:n]
-    starts, ends = np.flatnonzero(begins), np.flatnonzero(closes) + 1
+    kind = byte_classes(data)
+    inside = kind != BETWEEN
+    cut = np.zeros(n + 1, bool)  # no word reaches over these places
+    cut[offsets] = True
+    cut[1:n] |= ~inside[:-1]
+    alone = kind == A_WORD
+    cut[:n] |= alone & (data & 0xC0 != 0x80)
+    cut[1:n] |= alone[:-1] & ~alone[1:]
+    cut[:n] |= ~inside
+    cut[n] = True
+    starts, ends = np.flatnonzero(inside & cut[:n]), np.flatnonzero(inside & cut[1:]) + 1
     return hash_runs(data, starts, ends), np.searchsorted(starts, offsets)
 
 

@@ -1,18 +1,18 @@
 """Near duplicates of texts and vectors, and components, against brute force."""
 
 import random
-import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 
 from loadweave.llm.components import components
 from loadweave.llm.dartminhash import near_duplicates, signatures
 from loadweave.llm.dartminhash import shared_counts as dartminhash_counts
 from loadweave.llm.pqindex import near_vectors
-from loadweave.llm.shingles import elements, similarities
+from loadweave.llm.shingles import elements, similarities, word_hashes
 
 
 class Groups:
@@ -29,8 +29,13 @@ class Groups:
         self.parent[max(a, b)] = min(a, b)
 
 
+def plain_words(text):
+    """Runs of letters, marks and digits; a Han, kana or Thai letter is a word."""
+    return [w for w in regex.findall(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[\p{L}\p{M}\p{N}--[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]]+", (text or "").lower(), regex.V1)]
+
+
 def weights(text):
-    words = re.findall(r"(?:[a-z0-9]|[^\x00-\x7f])+", (text or "").lower())
+    words = plain_words(text)
     if len(words) < 5:
         return Counter([tuple(words)] if words else [])
     return Counter(tuple(words[k : k + 5]) for k in range(len(words) - 4))
@@ -46,6 +51,27 @@ def similarity(a, b):
 TEXTS = ["a b c d e f g", "A b, c d e f", "x y", "", None, "a a a a a a a a a", "a a a a a a a a", "日 本 語 テ ス ト", "one"]
 
 
+def test_words_of_all_scripts():
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("ab é—«中文ไทよ1𝒳한국\u00a0\u3000👍.,", k=rng.randint(0, 30))) for _ in range(300)] + [None, ""]
+    found, offsets = word_hashes(pa.array(texts, pa.string()))
+    words = [plain_words(t) for t in texts]
+    assert np.diff(offsets).tolist() == [len(w) for w in words]
+    number = {}
+    for word, value in zip([w for ws in words for w in ws], found.tolist()):
+        assert number.setdefault(word, value) == value
+    assert len(set(number.values())) == len(number)
+
+
+def test_texts_without_blanks_are_near(spark):
+    rng = random.Random(5)
+    han = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(200))
+    thai = "".join(chr(0x0E01 + rng.randrange(40)) for _ in range(200))
+    rows = [(1, han), (2, han[:-1] + "。"), (3, han[100:] + han[:50][::-1]), (4, thai), (5, thai[:-2] + "กข"), (6, f"«{han}»")]
+    found = {r.doc_id: r.class_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4, 6: 1}
+
+
 def test_similarity_is_weighted_jaccard():
     pairs = [(a, b) for a in TEXTS for b in TEXTS]
     found = similarities(pa.array([a for a, _ in pairs], pa.string()), pa.array([b for _, b in pairs], pa.string()))
