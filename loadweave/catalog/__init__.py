@@ -9,6 +9,7 @@ from loadweave.catalog import (  # noqa: F401
     feature_queries,
     live_queries,
     reshape_queries,
+    seasonal_queries,
     source_queries,
 )
 from loadweave.catalog.registry import REGISTRY
