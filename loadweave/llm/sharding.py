@@ -67,8 +67,8 @@ def external_shuffle(docs: DataFrame, shards: int = 16, key: str = "doc_id", tex
         shard = np.searchsorted(bounds, place, "right") - 1
         return rows.append_column("shard", pa.array(shard, pa.int32())).append_column("slot", pa.array(place - bounds[shard], pa.int64()))
 
-    # Equal partitioning on both sides, so the join and the groups need no shuffle of their own.
-    scattered = bucketed.repartition(buckets, "_bucket").join(starts.repartition(buckets, "_bucket"), "_bucket")
+    # A bucket is a partition on both sides, so the join and the groups need no shuffle of their own.
+    scattered = bucketed.repartitionById(buckets, "_bucket").join(starts.repartitionById(buckets, "_bucket"), "_bucket")
     return scattered.groupBy("_bucket").applyInArrow(shuffle, schema)
 
 
