@@ -8,7 +8,7 @@ from loadweave.catalog.registry import READINGS, microseconds, query, readings,
 from loadweave.functions.timeutil import hour_floor, interval, step_floor
 from loadweave.operators.dedup import keep_first, keep_last, mean_per_key
 from loadweave.operators.quality import coverage, load_continuity, weather_continuity
-from loadweave.operators.reshape import number_slots
+from loadweave.operators.reshape import CELLS, number_slots, slot_cells
 from loadweave.operators.windows import history_features, step_to_previous
 from loadweave.session import stage
 
@@ -111,7 +111,7 @@ def slot_index(spark, folder):
         F.sum("value").alias("col_3"),
         F.min("value").alias("col_10"),
     )
-    long = number_slots(days, ["col_2", "col_3", "col_10"])
+    long = number_slots(days.withColumns({"year": F.lit(2024), CELLS: slot_cells(days, ["col_2", "col_3", "col_10"])}))
     return rounded(long.select("date", "statut", "slot_index", "load_mw"), "load_mw")
 
 

@@ -31,10 +31,6 @@ def first_of_each_name(df: DataFrame) -> DataFrame:
     return by_position.select(*[F.col(f"_{i}").alias(names[i]) for i in keep])
 
 
-def positional_names(df: DataFrame) -> DataFrame:
-    return df.toDF(*[f"col_{i}" for i in range(len(df.columns))])
-
-
 def require_columns(df: DataFrame, *groups: str | tuple[str, ...]) -> DataFrame:
     """Each group names one column, or alternatives of which one must exist."""
     for group in groups:

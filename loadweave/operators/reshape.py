@@ -1,82 +1,106 @@
-"""Wide daily load files to long half-hour rows."""
+"""Wide daily load files to long half-hour rows.
+
+Columns count by position, whatever their names: date, status, then one column per
+slot. The slots of a row travel as one array, so files of unlike width share a plan.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loadweave.functions.schema import drop_empty_columns, optional_column, positional_names
 from loadweave.functions.text import finite, number
 from loadweave.functions.timeutil import parse_day, slot_timestamp, utc_from_local
 from loadweave.operators.dedup import LOAD_FILE_KEY, mean_per_key
 from loadweave.operators.longseries import number_rows
 
 ROW = "_row"
-_ID_COLUMNS = ("date", "statut", "col_0", "col_1", ROW, "_rank", "_copies")
+CELLS = "_cells"
+
+
+def _value(df: DataFrame, name: str) -> Column:
+    return finite(number(F.trim(name)) if isinstance(df.schema[name].dataType, T.StringType) else name)
 
 
 def unpivot_slots(df: DataFrame, ids: list[str], slots: list[str]) -> DataFrame:
     """One row per slot column as (slot_col, load_mw); null values stay."""
-    values = df.select(*ids, *[finite(number(F.trim(s)) if isinstance(df.schema[s].dataType, T.StringType) else s).alias(s) for s in slots])
+    values = df.select(*ids, *[_value(df, s).alias(s) for s in slots])
     return values.unpivot(ids, slots, "slot_col", "load_mw")
 
 
-def slot_columns(df: DataFrame) -> list[str]:
-    """Slot columns in numeric order of position: col_2 before col_10."""
-    found = [name for name in df.columns if name not in _ID_COLUMNS]
-    if not found:
-        raise ValueError("no time-step columns left")
-    return sorted(found, key=lambda name: int(name.removeprefix("col_")))
+def slot_cells(df: DataFrame, slots: list[str]) -> Column:
+    """The slot columns of a row as an array of (filled, load_mw); filled: there was a value, a number or not."""
+    return F.array(*[F.struct(F.col(s).isNotNull().alias("filled"), _value(df, s).alias("load_mw")) for s in slots])
+
+
+def pack_year(df: DataFrame, year: int) -> DataFrame:
+    """Rows with a date as year, date, statut, _row, _cells; a ``_row`` column gives the order, else the content does."""
+    names = [name if name == ROW else f"_at_{i}" for i, name in enumerate(df.columns)]
+    day, *rest = [name for name in names if name != ROW]
+    if len(rest) < 2:
+        raise ValueError(f"no time-step columns in {year}")
+    rows = df.toDF(*names)
+    text = isinstance(rows.schema[day].dataType, T.StringType)
+    date = parse_day(day) if text else F.col(day).cast("date").cast("timestamp_ntz")
+    order = F.col(ROW) if ROW in names else F.xxhash64(day, *rest)
+    status, *slots = rest
+    packed = rows.select(F.lit(year).alias("year"), date.alias("date"), F.col(status).cast("string").alias("statut"), order.alias(ROW), slot_cells(rows, slots).alias(CELLS))
+    return packed.where(F.col("date").isNotNull())
+
 
+def used_positions(days: DataFrame) -> DataFrame:
+    """year, _used: ascending positions of the slots that have a value on some day of the year."""
+    filled = days.select("year", F.posexplode(F.col(f"{CELLS}.filled")).alias("_at", "_filled")).where("_filled")
+    return filled.select("year", "_at").distinct().groupBy("year").agg(F.sort_array(F.collect_list("_at")).alias("_used"))
 
-def number_slots(days: DataFrame, slots: list[str]) -> DataFrame:
-    """Long rows with ``slot_index``: 0-based order within the date by slot, then source row.
 
-    The order is known before the unpivot: slot ``p`` of copy ``r`` among the
-    ``m`` rows of a date comes at ``p * m + r``. Only the short wide rows are
-    ranked, and a date with one row, the normal case, needs no ranking.
+def number_slots(days: DataFrame) -> DataFrame:
+    """Packed days as year, date, statut, slot_index, load_mw; slots without a value in the whole year are left out.
+
+    slot_index: 0-based order within the year and date by slot, then source row. It is
+    known before the arrays are opened: slot ``p`` of copy ``r`` among the ``m`` rows of
+    a date comes at ``p * m + r``. Only the short wide rows are ranked, and only where a
+    date has several rows at all, which one aggregation over all years tells.
     """
-    copies = days.groupBy("date").agg(F.count(F.lit(1)).alias("_copies"))
+    copies = days.groupBy("year", "date").agg(F.count(F.lit(1)).alias("_copies"))
     most = copies.agg(F.max("_copies")).first()[0] or 1
     if most == 1:
         ranked = days.withColumns({"_rank": F.lit(0), "_copies": F.lit(1)})
     else:
-        ranked = number_rows(days, ROW, ["date"], "_rank").join(copies, "date")
-    long = unpivot_slots(ranked, ["date", "statut", "_rank", "_copies"], slots)
-    position = F.create_map(*[F.lit(x) for i, name in enumerate(slots) for x in (name, i)])
-    index = (position[F.col("slot_col")] * F.col("_copies") + F.col("_rank")).cast("int")
-    return long.withColumn("slot_index", index).drop("_rank", "_copies")
+        ranked = number_rows(days, ROW, ["year", "date"], "_rank").join(copies, ["year", "date"])
+    used = ranked.join(used_positions(days), "year")
+    values = F.transform("_used", lambda at: F.get(F.col(f"{CELLS}.load_mw"), at))
+    long = used.select("year", "date", "statut", "_rank", "_copies", F.posexplode(values).alias("_slot", "load_mw"))
+    return long.select("year", "date", "statut", (F.col("_slot") * F.col("_copies") + F.col("_rank")).cast("int").alias("slot_index"), "load_mw")
 
 
-def wide_to_long(df: DataFrame, year: int, step_minutes: int = 30, tz: str = "utc") -> DataFrame:
-    """Normalises one yearly wide file: date, status, then one column per slot.
+def wide_years_to_long(frames: dict[int, DataFrame], step_minutes: int = 30, tz: str = "utc") -> DataFrame:
+    """Normalises yearly wide files of any widths in one plan; frames: by year.
 
     Output: datetime, date, year, statut, slot_index, load_mw. ``tz="utc"``
     converts from local time, drops slots whose wall time is ambiguous and
     averages repeated keys; ``tz="local"`` keeps wall times as they are. A
     ``_row`` column, where present, gives the order of rows with equal dates.
+    A year without a date or a value gives no rows. The number of Spark jobs does not
+    depend on the number of years.
     """
-    order = F.col(ROW) if ROW in df.columns else None
-    raw = df.drop(ROW)
-    base = positional_names(raw)
-    if order is None:
-        base = base.withColumn(ROW, F.xxhash64(*base.columns))
-    else:
-        renamed = dict(zip(raw.columns, base.columns))
-        base = df.withColumnsRenamed(renamed)
-    first = base.schema["col_0"].dataType
-    day = parse_day("col_0") if isinstance(first, T.StringType) else F.col("col_0").cast("date").cast("timestamp_ntz")
-    dated = base.withColumn("date", day).where(F.col("date").isNotNull())
-    kept = drop_empty_columns(dated, keep=("date", "col_0", ROW))
-    days = optional_column(kept, "statut", "string", "col_1")
-    slots = slot_columns(days)
-    long = number_slots(days, slots)
+    if not frames:
+        raise ValueError("no yearly frames")
+    days = reduce(DataFrame.unionByName, [pack_year(df, year) for year, df in frames.items()])
+    long = number_slots(days)
     local = slot_timestamp("date", "slot_index", step_minutes)
     if tz == "local":
         timed = long.withColumn("datetime", local)
     else:
         timed = long.withColumns({"datetime": utc_from_local(local), "date": utc_from_local("date")})
         timed = timed.where(F.col("datetime").isNotNull())
-    out = timed.withColumn("year", F.lit(year)).select("datetime", "date", "year", "statut", "slot_index", "load_mw")
+    out = timed.select("datetime", "date", "year", "statut", "slot_index", "load_mw")
     return out if tz == "local" else mean_per_key(out, LOAD_FILE_KEY, "load_mw")
+
+
+def wide_to_long(df: DataFrame, year: int, step_minutes: int = 30, tz: str = "utc") -> DataFrame:
+    """Normalises one yearly wide file as ``wide_years_to_long`` does."""
+    return wide_years_to_long({year: df}, step_minutes, tz)

@@ -11,11 +11,11 @@ import warnings
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loadweave.operators.align import align_hourly, national_mean, resample_mean, union_all
+from loadweave.operators.align import align_hourly, national_mean, resample_mean
 from loadweave.operators.dedup import keep_first
 from loadweave.operators.quality import load_continuity, weather_continuity
 from loadweave.operators.report import finish_report, report_rows
-from loadweave.operators.reshape import wide_to_long
+from loadweave.operators.reshape import wide_years_to_long
 from loadweave.session import stage
 from loadweave.sources.files import FILE_ORDER, PLACE, listed_files, read_load_long, read_load_wide, read_weather, rejected_rows
 from loadweave.sources.report_text import read_report_lines
@@ -78,11 +78,10 @@ def build_hourly_dataset(spark: SparkSession, load_path: str, weather_path: str,
 
 
 def normalise_load_years(spark: SparkSession, root: str, years: str, out: str, step_minutes: int = 30, tz: str = "utc") -> list[int]:
-    """Wide yearly load files to long CSV by year; returns the years found."""
+    """Wide yearly load files to long CSV by year, all years in one plan; returns the years found."""
     frames = read_load_wide(spark, root, years)
-    longs = [wide_to_long(df, year, step_minutes, tz) for year, df in frames.items()]
-    if longs:
-        write_years(union_all(*longs), out)
+    if frames:
+        write_years(wide_years_to_long(frames, step_minutes, tz), out)
     return list(frames)
 
 

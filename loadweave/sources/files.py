@@ -35,6 +35,7 @@ PLACE = ("file", *FILE_ORDER)
 # Canonical stem of the yearly load files and the order of preference.
 WIDE_STEM = "Historique_consommation_INST_{year}"
 WIDE_SUFFIXES = ("parquet", "csv", "xlsx", "xls")
+WIDE_PATH = r"^(.*?/(\d{4})/([^/]+\.(parquet|csv|xlsx|xls)))(/.*)?$"  # entry, year, name, suffix
 CAPACITY_HEADER = r"^Type;(\d{4})$"
 
 
@@ -143,9 +144,8 @@ def choose_wide_files(spark: SparkSession, root: str, years: str) -> dict[int, s
     directory written by Spark under such a name counts as a file.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
-    pattern = r"^(.*?/(\d{4})/([^/]+\.(parquet|csv|xlsx|xls)))(/.*)?$"
     groups = {"entry": 1, "year": 2, "name": 3, "suffix": 4}
-    parts = listed.select(*[F.regexp_extract("path", pattern, i).alias(n) for n, i in groups.items()])
+    parts = listed.select(*[F.regexp_extract("path", WIDE_PATH, i).alias(n) for n, i in groups.items()])
     wanted = parts.where(F.col("year").isin([str(y) for y in parse_years(years)])).distinct()
     stem = F.replace(F.lit(WIDE_STEM), F.lit("{year}"), F.col("year"))
     canonical = F.col("name") == F.concat(stem, F.lit("."), F.col("suffix"))
@@ -155,22 +155,49 @@ def choose_wide_files(spark: SparkSession, root: str, years: str) -> dict[int, s
 
 
 def read_wide_file(spark: SparkSession, path: str) -> DataFrame:
-    """One wide file with its row order under ``_row``."""
-    if path.endswith(".parquet"):
-        raw = spark.read.parquet(path)
-    elif path.endswith(".csv"):
-        head = spark.read.text(path).first()
-        line = head[0] if head else ""
-        raw = spark.read.option("header", True).option("sep", ";" if line.count(";") > line.count(",") else ",").csv(path)
-    else:
+    """One wide Parquet file with its row order under ``_row``."""
+    if not path.endswith(".parquet"):
         raise NotImplementedError(f"spreadsheets are not read, convert to CSV or Parquet: {path}")
-    return raw.withColumn("_row", F.monotonically_increasing_id())
+    return spark.read.parquet(path).withColumn("_row", F.monotonically_increasing_id())
+
+
+def read_wide_texts(spark: SparkSession, paths: list[str]) -> dict[int, DataFrame]:
+    """Wide CSV files by the year in their path: text columns, their row order under ``_row``.
+
+    All files are scanned once and their headers dropped in one join; one row per year
+    reaches the driver. The frame of a year is a filter on the stored lines. The
+    separator is the more frequent one of ; and , in the header, the first line that is
+    not blank. Of equal names the later ones get their position appended.
+    """
+    lines = raw_lines(spark, paths).withColumn("year", F.regexp_extract("path", WIDE_PATH, 2).cast("int"))
+    body = lines.where(F.trim(F.replace("value", F.lit("\ufeff"))) != "")
+    place = F.struct("_block", "_id")
+    first = body.groupBy("year", "path").agg(F.min_by("value", place).alias("head"), F.min_by("_id", place).alias("_first"))
+    first = stage(first, "wide-headers")
+    rows = stage(body.join(first.select("path", "_first"), "path").where("_id <> _first").select("year", "value", "_id"), "wide-lines")
+    frames = {}
+    for r in sorted(first.groupBy("year").agg(F.min_by("head", "path").alias("head")).collect()):
+        head = r["head"].lstrip("\ufeff")
+        sep = ";" if head.count(";") > head.count(",") else ","
+        cells = next(csv.reader([head], delimiter=sep))
+        names = [f"{name}{i}" if name in cells[:i] else name or f"_c{i}" for i, name in enumerate(cells)]
+        schema = ", ".join(f"_c{i} string" for i in range(len(names)))
+        parsed = rows.where(F.col("year") == r["year"]).select(F.from_csv("value", schema, {"sep": sep}).alias("r"), F.col("_id").alias("_row"))
+        frames[r["year"]] = parsed.select("r.*", "_row").toDF(*names, "_row")
+    return frames
 
 
 def read_load_wide(spark: SparkSession, root: str, years: str) -> dict[int, DataFrame]:
-    """Wide yearly load files by year; years without a file are absent."""
+    """Wide yearly load files by year; years without a file are absent. Raises if a CSV file has no header."""
     chosen = choose_wide_files(spark, root, years)
-    return {year: read_wide_file(spark, path) for year, path in sorted(chosen.items())}
+    texts = {year: path for year, path in chosen.items() if path.endswith(".csv")}
+    frames = {year: read_wide_file(spark, path) for year, path in chosen.items() if year not in texts}
+    if texts:
+        frames |= read_wide_texts(spark, list(texts.values()))
+    missing = [path for year, path in chosen.items() if year not in frames]
+    if missing:
+        raise ValueError(f"no header in {', '.join(missing)}")
+    return dict(sorted(frames.items()))
 
 
 def read_cities(spark: SparkSession, path: str) -> DataFrame:

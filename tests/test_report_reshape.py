@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loadweave.functions.timeutil import utc_from_local
 from loadweave.operators.report import assign_blocks, report_to_long
-from loadweave.operators.reshape import wide_to_long
+from loadweave.operators.reshape import wide_to_long, wide_years_to_long
 
 
 def frame(spark, texts, file="f"):
@@ -137,6 +137,22 @@ def test_no_slots_is_an_error(spark):
         wide_to_long(spark.createDataFrame([("01/07/2020", "D")], "d string, s string"), 2020)
 
 
+def test_years_of_unlike_width_share_a_plan(spark):
+    old = wide(spark, ["01/07/2020", "01/07/2020"], 2).withColumnsRenamed({"h0": "x", "h1": "date2"})
+    new = wide(spark, ["01/07/2021", "x"], 5).withColumn("h3", F.when(F.col("date") == "x", 1.0)).withColumn("h4", F.lit("n/a"))
+    rows = wide_years_to_long({2020: old, 2021: new}, 60, tz="local").orderBy("datetime").collect()
+    assert [(r["year"], r["datetime"].hour, r["slot_index"], r["load_mw"]) for r in rows] == [
+        (2020, 0, 0, 0.0), (2020, 1, 1, 100.0), (2020, 2, 2, 1.0), (2020, 3, 3, 101.0),
+        (2021, 0, 0, 0.0), (2021, 1, 1, 1.0), (2021, 2, 2, 2.0), (2021, 3, 3, None),
+    ]
+
+
+def test_columns_of_equal_names_count_by_position(spark):
+    df = spark.createDataFrame([("01/07/2020", "D", 1.0, 2.0)], "date string, statut string, a double, b double").toDF("date", "date", "h", "h")
+    rows = wide_to_long(df, 2020, 720, tz="local").orderBy("slot_index").collect()
+    assert [(r["statut"], r["load_mw"]) for r in rows] == [("D", 1.0), ("D", 2.0)]
+
+
 def test_pivot_of_unpivot_is_identity(spark):
     days = [f"{d:02d}/07/2020" for d in range(1, 20)]
     source = wide(spark, days)

@@ -134,6 +134,33 @@ def test_wide_years_to_csv(spark, tmp_path):
     ]
 
 
+def test_wide_years_take_as_many_jobs_as_one(spark, tmp_path):
+    def jobs(years, name):
+        for year in years:
+            slots = range(2 + year % 3)
+            head = ";".join(["date", "statut", *[f"h{k}" for k in slots]])
+            write(tmp_path, f"{name}/{year}/a.csv", f"\n{head}\n" + "".join(f"{d:02d}/07/{year};D;{';'.join(str(year + k) for k in slots)}\n" for d in (1, 2)))
+        spark.sparkContext.setJobGroup(name, name)
+        found = normalise_load_years(spark, str(tmp_path / name), "2000-2010", str(tmp_path / f"out-{name}"), step_minutes=60, tz="local")
+        count = len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert found == years
+        return count
+
+    assert jobs([2001], "one") == jobs([2001, 2002, 2003, 2004, 2005], "many")
+    back = tables.read_years(spark, str(tmp_path / "out-many"), "datetime timestamp_ntz, date timestamp_ntz, statut string, slot_index int, load_mw double, year int")
+    assert sorted((r["datetime"], r["load_mw"]) for r in back.collect()) == [
+        (datetime(year, 7, d, k), float(year + k)) for year in range(2001, 2006) for d in (1, 2) for k in range(2 + year % 3)
+    ]
+
+
+def test_wide_csv_without_header_is_an_error(spark, tmp_path):
+    write(tmp_path, "2001/a.csv", "date,statut,h0\n01/07/2001,D,1\n")
+    write(tmp_path, "2002/a.csv", "\n\n")
+    with pytest.raises(ValueError, match="2002/a.csv"):
+        files.read_load_wide(spark, str(tmp_path), "2001-2002")
+
+
 def test_cities_and_capacity(spark, tmp_path):
     path = write(tmp_path, "c.csv", 'Agglomération,Population,Formule,Latitude,Longitude\nParis,100,"0,25",48.8,2.3\n"Lyon, Est",300,"0,75",45.7,-4.8\n')
     assert sorted(map(tuple, files.read_cities(spark, path).collect())) == [("Lyon, Est", 300, 0.75, 45.7, -4.8), ("Paris", 100, 0.25, 48.8, 2.3)]
