@@ -90,17 +90,36 @@ def naive_utc(instant: Column | str) -> Column:
 
 
 def utc_from_local(t: Column | str, zone: str = LOCAL_ZONE) -> Column:
-    """Naive local wall time to naive UTC.
+    """Naive local wall time to naive UTC, in any zone and at any of its offsets.
 
-    A wall time that occurs twice becomes null; one that does not exist moves
-    to the first valid instant (the transitions of the zone fall on full hours).
+    A wall time that occurs twice becomes null; one that does not exist moves to the
+    first valid instant, that is the second in which the clocks change. Two changes of
+    one zone are taken to be more than two days apart.
     """
     local = col(t)
-    here, there = F.lit(zone), F.lit("UTC")
-    utc = F.convert_timezone(here, there, local)
-    back = F.convert_timezone(there, here, utc)
-    hour_later = F.convert_timezone(there, here, utc + interval(hours=1))
-    return F.when(hour_later == local, F.lit(None)).when(back != local, hour_floor(utc)).otherwise(utc)
+    utc = F.convert_timezone(F.lit(zone), F.lit("UTC"), local)  # of two instants the one before the change
+    later = local + interval(days=1)
+    shift = local_from_utc(later, zone) - later
+    other = local - shift
+    twice = (other != utc) & (local_from_utc(other, zone) == local)
+    return F.when(twice, F.lit(None)).when(local_from_utc(utc, zone) != local, _clock_change(other, shift, zone)).otherwise(utc)
+
+
+def _clock_change(before: Column, shift: Column, zone: str) -> Column:
+    """The instant, in UTC and at most 36 hours after ``before``, from which local time is ahead by ``shift``.
+
+    Halving steps lead to the last of the seconds counted from ``before`` that are not
+    yet shifted; clocks change on whole seconds.
+    """
+
+    def step(at: Column, seconds: Column) -> Column:
+        ahead = at + interval(seconds=seconds)
+        return F.when(local_from_utc(ahead, zone) - ahead != shift, ahead).otherwise(at)
+
+    steps = F.array(*[F.lit(2**k).cast("decimal(18,6)") for k in range(16, -1, -1)])
+    after = F.aggregate(steps, before, step) + interval(seconds=1)
+    second = F.date_part(F.lit("SECOND"), after)
+    return after - interval(seconds=(second - F.floor(second)).cast("decimal(18,6)"))
 
 
 def local_from_utc(t: Column | str, zone: str = LOCAL_ZONE) -> Column:

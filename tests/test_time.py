@@ -1,4 +1,5 @@
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
+from zoneinfo import ZoneInfo
 
 import pandas as pd
 import pytest
@@ -30,6 +31,46 @@ def test_local_to_utc_around_both_clock_changes(spark, any_zone):
         assert got[stamp] == (None if pd.isna(utc) else utc.to_pydatetime()), stamp
 
 
+def first_valid(stamp, zone):
+    """UTC of a local time by the standard library: None if it occurs twice, the clock change if it does not exist."""
+    utc = lambda t, fold: t.replace(tzinfo=zone, fold=fold).astimezone(timezone.utc).replace(tzinfo=None)
+    wall = lambda t: t.replace(tzinfo=timezone.utc).astimezone(zone).replace(tzinfo=None)
+    early, late = sorted({utc(stamp, 0), utc(stamp, 1)})[0], sorted({utc(stamp, 0), utc(stamp, 1)})[-1]
+    if wall(early) == wall(late) == stamp:
+        return None if early != late else early
+    if early == late or stamp in (wall(early), wall(late)):
+        return next(t for t in (early, late) if wall(t) == stamp)
+    shift = wall(late) - late
+    low, high = int((early - datetime(1900, 1, 1)).total_seconds()), int((late - datetime(1900, 1, 1)).total_seconds())
+    at = lambda s: datetime(1900, 1, 1) + timedelta(seconds=s)
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (low, middle) if wall(at(middle)) - at(middle) == shift else (middle, high)
+    return at(high)
+
+
+@pytest.mark.parametrize(
+    "zone,start",
+    [
+        ("Australia/Lord_Howe", datetime(2024, 4, 6)),
+        ("Australia/Lord_Howe", datetime(2024, 10, 5)),
+        ("Asia/Kathmandu", datetime(1985, 12, 31)),
+        ("Europe/Paris", datetime(1976, 3, 27)),
+        ("Europe/Paris", datetime(1976, 9, 25)),
+        ("Europe/Paris", datetime(1995, 9, 23)),
+        ("America/St_Johns", datetime(2006, 4, 1)),
+        ("Africa/Monrovia", datetime(1972, 1, 6)),
+        ("Pacific/Apia", datetime(2011, 12, 28)),
+        ("UTC", datetime(2024, 3, 30)),
+    ],
+)
+def test_local_to_utc_in_any_zone(spark, zone, start):
+    info = ZoneInfo(zone)
+    stamps = [start + timedelta(minutes=7 * k, seconds=k % 60, microseconds=250000 * (k % 4)) for k in range(650)]
+    got = {r["t"]: r["u"] for r in ntz(spark, stamps).select("t", T.utc_from_local("t", zone).alias("u")).collect()}
+    assert [(s, got[s]) for s in stamps if got[s] != first_valid(s, info)] == []
+
+
 def test_floors_do_not_depend_on_the_session_zone(spark, any_zone):
     row = ntz(spark, ["2024-03-31 02:47:11.5"]).select(
         T.hour_floor("t").alias("h"), T.day_floor("t").alias("d"), T.step_floor("t", 30).alias("s"), T.epoch_seconds("t").alias("e")
