@@ -123,6 +123,32 @@ def load_payload_table(spark, folder):
     return payloads.load_table(parsed)
 
 
+_PAGE_FAULT = f"""(CASE event_id // {PAGE} % 5 WHEN 1 THEN 'malformed' WHEN 2 THEN 'no object' WHEN 3 THEN 'shape' END)"""
+
+
+def damaged_payloads(spark, folder):
+    """Load payloads of which two pages in five are whole."""
+    json, kind = F.col("json"), F.col("page") % 5
+    text = F.when(kind == 1, F.substring(json, F.lit(1), F.length(json) - 5)).when(kind == 2, F.concat(F.lit("["), json, F.lit("]")))
+    return load_payloads(spark, folder).select("page", text.when(kind == 3, '{"short_term": "none"}').otherwise(json).alias("json"))
+
+
+@query(
+    "load_payload_damaged",
+    f"""SELECT {_OFFSET_SQL.format(t='ts')} AS start_date, '2024-12-31T00:00:00+01:00' AS end_date,
+               {_OFFSET_SQL.format(t='ts')} AS updated_date, value AS consumption_mw FROM events WHERE event_type <> 'error' AND {_PAGE_FAULT} IS NULL""",
+)
+def load_payload_damaged(spark, folder):
+    good, _ = payloads.parse_payloads(damaged_payloads(spark, folder), "json", payloads.LOAD_PAYLOAD)
+    return payloads.flatten_load(good)
+
+
+@query("load_payload_rejects", f"SELECT DISTINCT CAST(event_id // {PAGE} AS BIGINT) AS page, {_PAGE_FAULT} AS fault FROM events WHERE {_PAGE_FAULT} IS NOT NULL")
+def load_payload_rejects(spark, folder):
+    _, rejected = payloads.parse_payloads(damaged_payloads(spark, folder), "json", payloads.LOAD_PAYLOAD)
+    return rejected.select("page", "fault")
+
+
 @query(
     "mix_payload_flatten",
     f"""SELECT event_type AS production_type, CASE WHEN user_id % 3 > 0 THEN 'SUB_' || user_id % 3 END AS production_subtype,

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loadweave.functions.timeutil import interval, utc_from_iso
 from loadweave.operators.dedup import CAPACITY_KEY, INTERVAL_KEY, MIX_KEY, keep_last
@@ -36,6 +37,35 @@ DATES = ("start_date", "end_date", "updated_date")
 PLACE = ("_row", "_block", "_value")
 
 
+def parse_payloads(df: DataFrame, column: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """JSON texts as (payloads, rejected): a damaged document loses only itself and is listed.
+
+    payloads: the columns of the schema, fields that it does not name left out.
+    rejected: the rows as they came with ``fault``: ``empty`` (null or blank),
+    ``malformed`` (no JSON), ``no object``, or ``shape`` (a field of the schema holds
+    something that is not of its type).
+    """
+    kind = T.StructType.fromDDL(schema)
+    document = F.try_parse_json(F.col(column))
+    parsed = df.withColumns({"_v": document, "_p": F.try_variant_get(document, "$", kind.simpleString())})
+
+    def misshapen(name: str):
+        held = F.try_variant_get("_v", f"$.{name}", "variant")
+        return held.isNotNull() & ~F.is_variant_null(held) & F.col("_p").getField(name).isNull()
+
+    shape = F.col("_p").isNull()
+    for name in kind.names:
+        shape = shape | misshapen(name)
+    blank = F.coalesce(F.trim(column), F.lit("")) == ""
+    fault = (
+        F.when(blank, "empty").when(F.col("_v").isNull(), "malformed")
+        .when(~F.startswith(F.schema_of_variant("_v"), F.lit("OBJECT")), "no object").when(shape, "shape")
+    )
+    judged = parsed.withColumn("_fault", fault)
+    good = judged.where(F.col("_fault").isNull()).select("_p.*")
+    return good, judged.where(F.col("_fault").isNotNull()).select(*df.columns, F.col("_fault").alias("fault"))
+
+
 def _values(df: DataFrame, blocks: str, *of_block: str) -> DataFrame:
     """Every value of every block as ``v`` with fields of its block, and its place in scan order."""
     rows = df.select(F.monotonically_increasing_id().alias("_row"), F.posexplode(blocks).alias("_block", "b"))

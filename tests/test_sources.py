@@ -253,6 +253,15 @@ def test_load_payload(spark):
     assert [(r["start_date"], r["consumption_mw"]) for r in rows] == [(datetime(2024, 5, 31, 22), 2.0)]
 
 
+def test_damaged_payloads_lose_only_themselves(spark):
+    whole = json.dumps({"short_term": [{"type": "REALISED", "values": [value("2024-06-01T00:00:00+02:00", 1)], "more": 1}], "extra": {}})
+    texts = {0: whole, 1: whole[:-3], 2: None, 3: " ", 4: "[1]", 5: '{"short_term": 7}', 6: '{"short_term": null}', 7: "{}"}
+    df = spark.createDataFrame(list(texts.items()), "id int, j string")
+    good, rejected = payloads.parse_payloads(df, "j", payloads.LOAD_PAYLOAD)
+    assert good.count() == 3 and [r["consumption_mw"] for r in payloads.flatten_load(good).collect()] == [1.0]
+    assert {r["id"]: r["fault"] for r in rejected.collect()} == {1: "malformed", 2: "empty", 3: "empty", 4: "no object", 5: "shape"}
+
+
 def test_mix_and_capacity_payloads(spark):
     mix = parsed(spark, payloads.MIX_PAYLOAD, {"generation_mix_15min_time_scale": [
         {"production_type": "WIND", "production_subtype": None, "values": [value("2024-01-01T00:00:00+01:00", 1), value("2024-01-01T00:00:00+01:00", 4, "2024-02-01T00:00:00+01:00")]},
