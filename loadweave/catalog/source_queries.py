@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from loadweave.catalog.registry import READINGS, TECHNOLOGIES, VARIABLES, WEATHER_ROWS, paris_to_utc, query, readings, rounded, table, weather_rows
 from loadweave.catalog.reshape_queries import COUNTS_SQL, HOURS, LONG_SQL, report_rows, wide_days
 from loadweave.functions.timeutil import hour_floor, step_floor
-from loadweave.plans.datasets import build_hourly_dataset, build_load_dataset, build_weather_dataset, normalise_reports
+from loadweave.plans.datasets import build_hourly_dataset, build_load_dataset, build_weather_dataset, normalise_load_years, normalise_reports
 from loadweave.session import scratch_path
 from loadweave.sources import files, payloads, tables
 from loadweave.sources.report_text import read_report_lines
@@ -339,6 +339,28 @@ def hourly_job(spark, folder):
     return rounded(build_hourly_dataset(spark, f"{root}/clean-load", f"{root}/clean-weather", f"{root}/hourly"), "temperature_2m")
 
 
+@query(
+    "wide_years_job",
+    """SELECT day + to_hours(CAST(hour AS INTEGER)) AS datetime, day AS date, year, 'D' AS statut, CAST(hour AS INTEGER) AS slot_index, round(v, 6) AS load_mw
+       FROM (SELECT CAST(2025 - y AS INTEGER) AS year, y, day, unnest(range(CASE WHEN y % 2 = 1 THEN 24 ELSE 12 END)) AS hour
+             FROM (SELECT DISTINCT y, CAST(ts AS DATE) - to_years(y - 1) + INTERVAL 0 DAY AS day FROM events CROSS JOIN (SELECT unnest([1, 2, 3]) AS y)))
+       LEFT JOIN (SELECT y AS vy, CAST(ts AS DATE) - to_years(y - 1) + INTERVAL 0 DAY AS vday, hour(ts) AS vhour, round(avg(value), 6) AS v
+                  FROM events CROSS JOIN (SELECT unnest([1, 2, 3]) AS y) GROUP BY 1, 2, 3) ON vy = y AND vday = day AND vhour = hour""",
+)
+def wide_years_job(spark, folder):
+    """Three yearly CSV files, the middle one with half the columns, through the whole job, local times kept."""
+    root = scratch_path(spark, "wide-years")
+    hours = [f"h{h:02d}" for h in HOURS]
+    days = rounded(wide_days(spark, folder, shift=0), *hours)
+    for back, width in enumerate((24, 12, 24)):
+        year = 2024 - back
+        moved = days.select(F.concat(F.substring("day", 1, 6), F.lit(str(year))).alias("day"), "status", *hours[:width])
+        moved.write.option("header", True).option("sep", ";").csv(f"{root}/raw/{year}/load.csv")
+    normalise_load_years(spark, f"{root}/raw", "2022-2024", f"{root}/long", step_minutes=60, tz="local")
+    schema = "datetime timestamp_ntz, date timestamp_ntz, statut string, slot_index int, load_mw double, year int"
+    return tables.read_years(spark, f"{root}/long", schema)
+
+
 @query(
     "report_job",
     f"""SELECT datetime, {paris_to_utc('day')} AS date, 2024 AS year, hour_interval, technology, CAST(value_mw AS DOUBLE) AS value_mw
