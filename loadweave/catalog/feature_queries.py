@@ -33,20 +33,36 @@ from loadweave.session import scratch_path, stage
 _LACKING = {"error": ("cloud_cover",), "signup": ("hour", "month", "load_lag_1h")}
 
 
-def _feature_maps(spark, folder):
-    """Per event a map of feature values; two event types lack some, one has a name too many."""
+# Scoring is work for the processor, and a small file holds many requests: tasks are counted in rows, not in bytes.
+REQUESTS_PER_TASK = 100_000
+
+
+def _spread(events, rows_per_task: int = REQUESTS_PER_TASK):
+    """Events dealt evenly over as many tasks as their rows are worth, however many splits their files have."""
+    tasks = max(-(-events.count() // rows_per_task), 1)
+    return events.repartition(tasks)
+
+
+def _feature_maps(spark, folder, dealt=lambda events: events):
+    """Per event a map of feature values; two event types lack some, one has a name too many.
+
+    An event without a type lacks all that any type lacks. The maps are built
+    from arrays, which Spark compiles; functions over array elements are
+    interpreted row by row.
+    """
     kind = F.col("event_type")
+    values = {**{name: F.col("value") + i for i, name in enumerate(FEATURES)}, "pressure": F.col("value")}
 
-    def present(name: str):
-        return ~kind.isin([k for k, names in _LACKING.items() if name in names])
+    def request(lacking=(), extra=()):
+        names = [name for name in values if name in extra or (name in FEATURES and name not in lacking)]
+        return F.map_from_arrays(F.array(*[F.lit(name) for name in names]), F.array(*[values[name] for name in names]))
 
-    entries = [
-        F.struct(F.lit(name).alias("k"), (F.col("value") + i).alias("v"), present(name).alias("present")) for i, name in enumerate(FEATURES)
-    ]
-    entries.append(F.struct(F.lit("pressure").alias("k"), F.col("value").alias("v"), (kind == "view").alias("present")))
-    kept = F.filter(F.array(*entries), lambda e: e["present"])
-    pairs = F.transform(kept, lambda e: F.struct(e["k"].alias("key"), e["v"].alias("value")))
-    return table(spark, folder, "events").select("event_id", F.map_from_entries(pairs).alias("features"))
+    requests = F.when(kind.isNull(), request({name for names in _LACKING.values() for name in names}))
+    for lacking_kind, names in _LACKING.items():
+        requests = requests.when(kind == lacking_kind, request(names))
+    requests = requests.when(kind == "view", request(extra=("pressure",))).otherwise(request())
+    events = dealt(table(spark, folder, "events").select("event_id", "event_type", "value"))
+    return events.select("event_id", requests.alias("features"))
 
 
 _MISSING_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{','.join(n for n in FEATURES if n in names)}'" for k, names in _LACKING.items()) + " ELSE '' END"
@@ -198,7 +214,7 @@ def score_stored_model(spark, folder):
 )
 def score_requests_query(spark, folder):
     """Feature maps of all events, most of them incomplete or with a name too many."""
-    result = score_requests(stored_model(spark, folder), _feature_maps(spark, folder))
+    result = score_requests(stored_model(spark, folder), _feature_maps(spark, folder, _spread))
     result = stage(result.select("event_id", "prediction", "missing_features", "extra_features"), "scored")
     return result.select("event_id", answered("prediction").alias("scored"), F.size("missing_features").alias("missing"), F.size("extra_features").alias("extra"))
 

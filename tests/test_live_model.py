@@ -286,3 +286,25 @@ def test_queries_run_their_model(spark, monkeypatch, name):
         use("coalesce(CAST(raise_error('the model ran') AS DOUBLE), 0D)")
     assert not any(use("CAST('NaN' AS DOUBLE)"))
     assert any(use("1D"))
+
+
+def test_request_maps_of_all_events(spark, tmp_path):
+    """Maps of every kind of event, also without type or value, keys repeated, from a file of one split: none lost, spread over tasks."""
+    kinds = ["view", "click", "error", "signup", "purchase", "other", None]
+    events = [(i % 40, kinds[i % 7], None if i % 5 == 0 else i / 4) for i in range(70)]
+    spark.createDataFrame(events, "event_id long, event_type string, value double").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    dealt = feature_queries._feature_maps(spark, str(tmp_path), lambda e: feature_queries._spread(e, 10))
+    lacking = {"error": {"cloud_cover"}, "signup": {"hour", "month", "load_lag_1h"}, None: {"cloud_cover", "hour", "month", "load_lag_1h"}}
+
+    def request(kind, value):
+        names = [(n, i) for i, n in enumerate(FEATURES) if n not in lacking.get(kind, ())] + [("pressure", 0)] * (kind == "view")
+        return {n: None if value is None else value + i for n, i in names}
+
+    flat = lambda pairs: sorted(repr((i, sorted(m.items()))) for i, m in pairs)
+    wanted = flat((i, request(kind, value)) for i, kind, value in events)
+    for maps in (dealt, feature_queries._feature_maps(spark, str(tmp_path))):
+        assert flat((r.event_id, r.features) for r in maps.collect()) == wanted
+    sizes = [r.n for r in dealt.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 7 and max(sizes) <= 20
+    none = feature_queries._feature_maps(spark, str(tmp_path), lambda e: feature_queries._spread(e.where("false"), 10))
+    assert none.count() == 0
